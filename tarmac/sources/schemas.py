@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+}
+
+
+def _struct(text: str = "", **nested: T.DataType) -> T.StructType:
+    """Fields written as `name type, name type`, then nested ones."""
+    fields = [field.split() for field in text.split(",") if field.strip()]
+    flat = [T.StructField(name, _TYPES[kind]) for name, kind in fields]
+    return T.StructType(flat + [T.StructField(name, kind) for name, kind in nested.items()])
 
 
 # Raw flight record. FL_DATE stays a string here: bad dates are dropped later, not at parse.
@@ -43,39 +55,52 @@ HOURLY_WEATHER = _struct(
 
 # One airport's hourly document: parallel arrays.
 HOURLY_DOCUMENT = _struct(
-    "hourly struct<time:array<string>,precipitation:array<double>,wind_speed_10m:array<double>>"
+    hourly=_struct(
+        time=T.ArrayType(T.StringType()),
+        precipitation=T.ArrayType(T.DoubleType()),
+        wind_speed_10m=T.ArrayType(T.DoubleType()),
+    )
 )
 
 # One airport's programme document; avgDelay may be a number or a text, so it is a text here.
 AIRPORT_EVENT = _struct(
-    """
-    groundStop struct<reason:string>,
-    groundDelay struct<reason:string,avgDelay:string>,
-    arrivalDelay struct<reason:string>
-    """
+    groundStop=_struct("reason string"),
+    groundDelay=_struct("reason string, avgDelay string"),
+    arrivalDelay=_struct("reason string"),
 )
 
 # One observation document list of a station.
-REPORT_DOCUMENT = "array<struct<rawOb:string>>"
+REPORT_DOCUMENT = T.ArrayType(_struct("rawOb string"))
 
 # The event record: one row per flight and date, every field nullable.
 EVENT = _struct(
-    """
-    mode string, query string, timestamp string,
-    flight struct<flight_id:string,carrier:string,origin:string,destination:string,
-        scheduled_departure:string,latitude:double,longitude:double,
-        origin_latitude:double,origin_longitude:double,
-        dest_latitude:double,dest_longitude:double,
-        altitude:bigint,velocity:bigint,status:string,accumulated_delay:bigint>,
-    weather struct<origin_risk:string,dest_risk:string,
-        conditions:struct<temperature:double,windSpeed:double,precipitation:double,
-            visibility:string,cloudLayers:string>>,
-    metar struct<raw_origin:string,raw_dest:string>,
-    risk struct<predicted_delay_minutes:bigint,confidence_score:double>,
-    root_cause struct<primary_cause:string,secondary_cause:string,faa_citations:array<string>>,
-    notam struct<active_notam:boolean,notam_type:string,message:string,
-        delay_penalty_minutes:bigint>,
-    recommendation struct<action:string,reasoning:string>,
-    ground_truth struct<actual_delay_minutes:bigint,actual_action_taken:string>
-    """
+    "mode string, query string, timestamp string",
+    flight=_struct(
+        """
+        flight_id string, carrier string, origin string, destination string,
+        scheduled_departure string, latitude double, longitude double,
+        origin_latitude double, origin_longitude double,
+        dest_latitude double, dest_longitude double,
+        altitude bigint, velocity bigint, status string, accumulated_delay bigint
+        """
+    ),
+    weather=_struct(
+        "origin_risk string, dest_risk string",
+        conditions=_struct(
+            """
+            temperature double, windSpeed double, precipitation double,
+            visibility string, cloudLayers string
+            """
+        ),
+    ),
+    metar=_struct("raw_origin string, raw_dest string"),
+    risk=_struct("predicted_delay_minutes bigint, confidence_score double"),
+    root_cause=_struct(
+        "primary_cause string, secondary_cause string", faa_citations=T.ArrayType(T.StringType())
+    ),
+    notam=_struct(
+        "active_notam boolean, notam_type string, message string, delay_penalty_minutes bigint"
+    ),
+    recommendation=_struct("action string, reasoning string"),
+    ground_truth=_struct("actual_delay_minutes bigint, actual_action_taken string"),
 )
