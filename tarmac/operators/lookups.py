@@ -289,7 +289,8 @@ def match_position(
     the parts up by equality, so no request is compared with every position of a carrier.
     """
     call_sign = F.upper(F.trim(F.col("callsign")))
-    row = F.struct(*order, call_sign.alias("callsign"), *[c for c in values if c not in order])
+    ordered = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order)]
+    row = F.struct(*ordered, call_sign.alias("callsign"), *values)
     named = positions.where(F.col("callsign").isNotNull() & (F.trim("callsign") != "")).select(
         call_sign.alias("_sign"), row.alias("_row")
     )

@@ -117,7 +117,7 @@ SCHEDULE = """select AIRLINE, FLIGHT_NUMBER, ORIGIN_AIRPORT, DESTINATION_AIRPORT
 @query(
     "j5_schedule_lookup",
     oracle(
-        """select request_id, carrier_iata, flight_number, ORIGIN_AIRPORT as schedule_origin, DESTINATION_AIRPORT as schedule_destination
+        """select request_id, carrier_iata, parsed.flight_number, ORIGIN_AIRPORT as schedule_origin, DESTINATION_AIRPORT as schedule_destination
            from parsed left join schedule on AIRLINE = carrier_iata and schedule.FLIGHT_NUMBER = parsed.flight_number""",
         "normalised", "requests", "dim_carrier", parsed=PARSED, schedule=SCHEDULE,
     ),
@@ -179,8 +179,8 @@ def resolve_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 HUB_SQL = """
     select request_id, icao_callsign, hubs[cast(i1 + 1 as int)] as origin,
       hubs[cast(case when i1 = i2 then (i2 + 1) % len(hubs) else i2 end + 1 as int)] as destination
-    from (select request_id, icao_callsign, hubs, h % len(hubs) as i1, (h // len(hubs)) % len(hubs) as i2
-      from (select request_id, carrier_icao || flight_number as icao_callsign, cast('0x' || md5(carrier_icao || flight_number) as uhugeint) as h,
+    from (select request_id, icao_callsign, hubs, cast(h % n as int) as i1, cast((h // n) % n as int) as i2
+      from (select request_id, carrier_icao || flight_number as icao_callsign, cast(len(coalesce(b.hubs, o.hubs)) as uhugeint) as n, cast('0x' || md5(carrier_icao || flight_number) as uhugeint) as h,
               coalesce(b.hubs, o.hubs) as hubs
             from parsed left join dim_hub b on b.carrier = carrier_iata, (select hubs from dim_hub where carrier = '*') o) x) y"""
 
