@@ -22,9 +22,11 @@ def calendar_parts(df: DataFrame, date: str) -> DataFrame:
     )
 
 
-def hhmm_number(value: Column, on_error: int) -> Column:
-    """A clock reading such as 1435, '1435' or '1435.0' as an integer."""
-    return F.coalesce(value.try_cast("double").try_cast("int"), F.lit(on_error))
+def hhmm_column(df: DataFrame, clock: str) -> Column:
+    """A clock column such as 1435, '1435' or '1435.0' as an integer; null if unreadable."""
+    if df.schema[clock].dataType.simpleString() == "int":
+        return F.col(clock)
+    return F.col(clock).try_cast("double").try_cast("int")
 
 
 def clock_parts(df: DataFrame, clock: str, on_error: int = 0) -> DataFrame:
@@ -33,16 +35,16 @@ def clock_parts(df: DataFrame, clock: str, on_error: int = 0) -> DataFrame:
     `on_error` is the reading used for a missing or unreadable value: 0 for the history,
     1200 for requests.
     """
-    reading = hhmm_number(F.col(clock), on_error)
-    hour = F.floor(reading / 100).cast("int")
-    minute = (reading % 100).cast("int")
-    return df.withColumns({"HOUR": hour, "MINUTE": minute, "TIME_OF_DAY": hour * 60 + minute})
+    read = df.withColumn("_reading", F.coalesce(hhmm_column(df, clock), F.lit(on_error)))
+    hour = F.call_function("div", F.col("_reading"), F.lit(100)).cast("int")
+    parts = read.withColumns({"HOUR": hour, "MINUTE": F.col("_reading") % 100})
+    return parts.withColumn("TIME_OF_DAY", F.col("HOUR") * 60 + F.col("MINUTE")).drop("_reading")
 
 
 def cyclic(
     df: DataFrame, column: str, period: float = 1440.0, sin_name: str = "SIN_TIME", cos_name: str = "COS_TIME"
 ) -> DataFrame:
-    angle = F.col(column) * F.lit(2 * math.pi) / F.lit(float(period))
+    angle = F.col(column) * F.lit(2 * math.pi / period)
     return df.withColumns({sin_name: F.sin(angle), cos_name: F.cos(angle)})
 
 
@@ -50,19 +52,25 @@ def is_rush(hour: Column) -> Column:
     return hour.isin(*RUSH_HOURS).cast("int")
 
 
-def scheduled_ts(date: Column, clock: Column) -> Column:
-    """Zone-free timestamp of a scheduled departure.
+def clock_reading(value: Column) -> Column:
+    """Whole HHMM number of a text or decimal clock such as '905' or '905.0'; null if unreadable."""
+    number = value.try_cast("double")
+    return F.when(number == F.floor(number), number).try_cast("int")
 
-    2400 becomes 00:00 of the same date, an unreadable clock 00:00, and four digits that are
-    no time of day (such as 2575) null.
+
+def scheduled_ts(date: Column, reading: Column) -> Column:
+    """Zone-free timestamp of a scheduled departure, from an integer clock reading HHMM.
+
+    2400 becomes 00:00 of the same date, an unreadable clock (null, negative or more than four
+    digits) 00:00, and four digits that are no time of day (such as 2575) null.
     """
-    number = clock.try_cast("double")
-    readable = number.between(0, 9999) & (number == F.floor(number)) & (number != 2400)
-    reading = F.when(readable, number).otherwise(F.lit(0.0)).cast("int")
-    hour = F.floor(reading / 100).cast("int")
-    minute = reading % 100
-    offset = F.make_dt_interval(F.lit(0), hour, minute)
-    return F.when((hour < 24) & (minute < 60), date.cast("timestamp_ntz") + offset)
+    no_time = reading.between(2401, 9999) | (reading.between(0, 2400) & (reading % 100 >= 60))
+    minutes = (
+        F.when(no_time, None)
+        .when(reading.between(0, 2399), F.call_function("div", reading, F.lit(100)).cast("int") * 60 + reading % 100)
+        .otherwise(0)
+    )
+    return date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
 
 
 def epoch_delay(scheduled: Column, actual: Column) -> Column:

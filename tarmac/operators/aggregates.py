@@ -29,7 +29,7 @@ def fit_encoder(
         .agg(F.count("_y").alias("n"), F.avg("_y").alias("mean"))
     )
     value = (F.col("n") * F.col("mean") + F.lit(smoothing) * global_mean) / (F.col("n") + F.lit(smoothing))
-    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    names = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
     return stats.select("column", "key", value.alias("value")).unionByName(
         names.select("column", F.lit(GLOBAL_KEY).alias("key"), global_mean.alias("value"))
     )
@@ -58,7 +58,7 @@ def weather_profile(
     Columns: airport, mean_delay. The global row is present in every case.
     """
     hit = df.where(F.col(delay) > 0).select(F.col(origin).alias("airport"), F.col(delay).cast("double").alias("delay"))
-    empty = df.sparkSession.range(1).select(F.lit(None).cast("string").alias("airport"), F.lit(None).cast("double").alias("delay"))
+    empty = df.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string").alias("airport"), F.lit(None).cast("double").alias("delay"))
     rolled = hit.unionByName(empty).rollup("airport").agg(F.avg("delay").alias("mean_delay"), F.grouping("airport").alias("_all"))
     is_global = F.col("_all") == 1
     return rolled.where(is_global | F.col("airport").isNotNull()).select(

@@ -168,11 +168,13 @@ def ground_truth(delay: Column, cancelled: Column) -> dict[str, Column]:
 
 
 def clean_flight_keys(df: DataFrame) -> DataFrame:
-    """Trimmed keys of a flight table, flight numbers without a trailing `.0`."""
-    return df.withColumns(
-        {
-            c: clean_key(F.col(c))
-            for c in ("AIRLINE", "ORIGIN_AIRPORT", "DESTINATION_AIRPORT", "FLIGHT_NUMBER")
-            if c in df.columns
-        }
-    )
+    """Trimmed text keys of a flight table, flight numbers without a trailing `.0`."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def cleaned(name: str) -> Column:
+        if kinds[name] in ("int", "bigint"):
+            return F.col(name).cast("string")
+        return clean_key(F.col(name)) if name == "FLIGHT_NUMBER" else F.trim(F.col(name).cast("string"))
+
+    keys = ("AIRLINE", "ORIGIN_AIRPORT", "DESTINATION_AIRPORT", "FLIGHT_NUMBER")
+    return df.withColumns({c: cleaned(c) for c in keys if c in kinds})

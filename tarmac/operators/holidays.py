@@ -46,7 +46,7 @@ def is_us_holiday(day: Column) -> Column:
 
 def us_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """Calendar of the years given, both included. At most 366 rows per year by construction."""
-    days = spark.range(1).select(
+    days = spark.range(0, 1, 1, 1).select(
         F.explode(F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year), F.lit(12), F.lit(31)))).alias("holiday_date")
     )
     return days.where(is_us_holiday(F.col("holiday_date")))

@@ -3,7 +3,7 @@
 One key may hold a large share of all rows, so nothing here sorts a whole key in one task.
 Rows are first reduced to distinct points in time (with map-side combine), the points of a
 key are cut into time buckets, and what a bucket needs from its neighbours is carried in as
-a few extra rows.
+a few extra rows. All window frames here are running ones: the cost per row is constant.
 """
 
 from __future__ import annotations
@@ -23,39 +23,64 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
+def whole_div(value: Column, by: int) -> Column:
+    """Floor of an integer division, exact for large numbers."""
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+
+
 def rolling_points(
     df: DataFrame,
     key: str,
     time: str,
     value: str,
     width: int,
-    bucket: int = DAY,
+    bucket: int = 0,
     at: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of `value` in [t - width, t) for every distinct (key, t). Columns: key, t, mean.
 
     The t are those of `df`, or also those of `at` if given. Times are in seconds. The mean
     is null where the range is empty.
+
+    A range sum is the sum of two running sums: what came before t in the bucket of t, and
+    what came from t - width on in that point's bucket (or less what came before it, if both
+    lie in one bucket). So the work per point does not depend on how many points a range has.
     """
     source = df.select(key, time, F.col(value).cast("double").alias("_v"))
     if at is not None:
         source = source.unionByName(at.select(key, time).distinct().withColumn("_v", F.lit(None).cast("double")))
     points = (
-        source.where(F.col(time).isNotNull())
-        .groupBy(key, time)
-        .agg(F.sum("_v").alias("_sum"), F.count("_v").alias("_n"))
+        source.groupBy(key, time)
+        .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"), F.count("_v").alias("_n"))
         .withColumn("_t", micros(F.col(time)))
     )
-    size, span = bucket * MICROS, width * MICROS
-    home = F.floor(F.col("_t") / size)
-    last = F.floor((F.col("_t") + span) / size)
-    # A point also goes to the later buckets whose first `width` seconds it can reach.
-    spread = points.withColumn("_home", home).withColumn("_bucket", F.explode(F.sequence(home, last)))
-    frame = W.partitionBy(key, "_bucket").orderBy("_t").rangeBetween(-span, -1)
+    size, span = max(bucket, width) * MICROS, width * MICROS
+
+    def mark(at_: Column, start: int, total: Column, count: Column) -> Column:
+        return F.struct(at_.alias("_at"), F.lit(start).alias("_start"), total.alias("_s"), count.alias("_c"))
+
+    # Every point stands at its own time, and once more, without a value, where its range
+    # starts. The start comes first on a tie, since the range includes that instant. A key's
+    # rows without a time are one point, which no join finds again.
+    own = mark(F.col("_t"), 0, F.col("_sum"), F.col("_n"))
+    start = mark(F.col("_t") - span, 1, F.lit(0.0), F.lit(0).cast("bigint"))
+    marks = (
+        points.select(key, time, "_t", F.inline(F.array(own, start)))
+        .withColumn("_bucket", whole_div(F.col("_at"), size))
+    )
+    inside = W.partitionBy(key, "_bucket")
+    sofar = inside.orderBy("_at", F.desc("_start")).rowsBetween(W.unboundedPreceding, 0)
+    same = F.col("_bucket") == whole_div(F.col("_t"), size)
+
+    def part(of: str) -> Column:
+        upto, total = F.sum(of).over(sofar), F.sum(of).over(inside)
+        return F.when(F.col("_start") == 0, upto - F.col(of)).when(same, -upto).otherwise(total - upto)
+
+    parts = marks.select(key, time, part("_s").alias("_s"), part("_c").alias("_c"))
     return (
-        spread.withColumn("mean", F.sum("_sum").over(frame) / F.nullif(F.sum("_n").over(frame), F.lit(0)))
-        .where(F.col("_bucket") == F.col("_home"))
-        .select(key, time, "mean")
+        parts.groupBy(key, time)
+        .agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+        .select(key, time, (F.col("_s") / F.nullif(F.col("_c"), F.lit(0))).alias("mean"))
     )
 
 
@@ -66,7 +91,7 @@ def rolling_mean(
     value: str,
     width: int = 7200,
     out: str = "rolling_mean",
-    bucket: int = DAY,
+    bucket: int = 0,
     history: DataFrame | None = None,
 ) -> DataFrame:
     """Every row with the mean of its key's rows in [t - width, t); 0 where there are none.
@@ -113,7 +138,7 @@ def asof_points(
         .groupBy(*by, "_k")
         .agg(F.max(match).alias("_match"))
     )
-    cell = F.floor(F.col("_k") / bucket)
+    cell = whole_div(F.col("_k"), bucket)
     both = (
         left_points.withColumns({"_bucket": cell, "_side": F.lit(1), "_match": F.lit(None)})
         .unionByName(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.clock import calendar_parts, clock_parts, cyclic, is_rush, scheduled_ts
+from tarmac.functions.clock import calendar_parts, clock_parts, clock_reading, cyclic, is_rush, scheduled_ts
 from tarmac.functions.text import route_key
 from tarmac.operators.cleaning import clean_flight_keys, clean_target, parse_date, rename_flight_columns
 from tarmac.operators.holidays import holiday_week
@@ -17,7 +17,10 @@ CONGESTION_SECONDS = 7200
 
 
 def with_schedule(df: DataFrame) -> DataFrame:
-    return df.withColumn("SCHEDULED_TS", scheduled_ts(F.col("FL_DATE"), F.col("SCHEDULED_DEPARTURE")))
+    clock = F.col("SCHEDULED_DEPARTURE")
+    if df.schema["SCHEDULED_DEPARTURE"].dataType.simpleString() not in ("int", "bigint"):
+        clock = clock_reading(clock)
+    return df.withColumn("SCHEDULED_TS", scheduled_ts(F.col("FL_DATE"), clock))
 
 
 def add_congestion(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
