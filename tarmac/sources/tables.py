@@ -34,7 +34,8 @@ def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType, keep_
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if keep_corrupt:
         declared = declared.add(CORRUPT, T.StringType())
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        # With pruning a line's missing columns go unnoticed unless they are selected.
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", "false")
     df = reader.schema(declared).csv(path)
     columns = [F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
     return df.select(*columns, *([CORRUPT] if keep_corrupt else []))
