@@ -76,36 +76,37 @@ def fill_const(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, column: str, out: str = "median", band: float = 0.0005) -> DataFrame:
+def exact_median(df: DataFrame, column: str, out: str = "median", band: float = 0.0005, cells: int = 10_000) -> DataFrame:
     """One row with the exact median; null without values.
 
-    A mergeable sketch brackets the median, then the rows outside the bracket collapse into
-    one counter on each side. What is ranked at the end are only the distinct values of the
-    middle thousandth of the rows.
+    A mergeable sketch brackets the median within the middle thousandth of the rows. The rows
+    outside the bracket collapse into one counter on each side, those inside into counters per
+    value, which equal-width cells divide. The running total goes over the cells only; values
+    are ranked in the one or two cells that hold the median.
     """
     value = F.col(column).cast("double")
     accuracy = int(5 / band)
     bracket = df.agg(F.percentile_approx(value, [0.5 - band, 0.5 + band], accuracy).alias("b")).scalar()
     present = df.where(value.isNotNull()).select(value.alias("v"), bracket.alias("b"))
-    low, high = F.col("b")[0], F.col("b")[1]
-    side = F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0)
+    v, low, high = F.col("v"), F.col("b")[0], F.col("b")[1]
+    share = F.coalesce((v - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    cell = F.when(v < low, -1).when(v > high, cells + 1).otherwise(F.floor(share * cells).cast("int"))
     counts = (
-        present.select(side.alias("side"), F.when(side == 0, F.col("v")).alias("v"))
-        .groupBy("side", "v")
+        present.select(cell.alias("cell"), F.when(v.between(low, high), v).alias("v"))
+        .groupBy("cell", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    order = W.orderBy("side", "v")
-    ranked = counts.withColumns(
-        {
-            "upto": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)),
-            "total": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
-        }
+    upto = W.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    totals = counts.groupBy("cell").agg(F.sum("n").alias("cell_n")).select(
+        "cell", (F.sum("cell_n").over(upto) - F.col("cell_n")).alias("before"), "cell_n", F.sum("cell_n").over(whole).alias("total")
     )
-    first_rank = F.floor((F.col("total") + 1) / 2)
-    second_rank = F.floor(F.col("total") / 2) + 1
-    before = F.col("upto") - F.col("n")
-    lower = F.when((before < first_rank) & (first_rank <= F.col("upto")), F.col("v"))
-    upper = F.when((before < second_rank) & (second_rank <= F.col("upto")), F.col("v"))
+    first, second = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    middle = totals.where((F.col("before") < second) & (F.col("before") + F.col("cell_n") >= first))
+    inside = W.partitionBy("cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.join(middle, "cell").withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    lower = F.when((F.col("upto") - F.col("n") < first) & (first <= F.col("upto")), F.col("v"))
+    upper = F.when((F.col("upto") - F.col("n") < second) & (second <= F.col("upto")), F.col("v"))
     return ranked.agg(((F.max(lower) + F.max(upper)) / 2).alias(out))
 
 

@@ -79,16 +79,19 @@ def missing_rows(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append the rows of keys the table at `path` lacks, partitioned by key; the whole table.
+    """Add the rows of keys the table at `path` lacks; the whole table.
 
-    A run that died half-way left no committed files, so it can simply be repeated. The list
-    of loaded keys is the table's partition list.
+    Rows are stored partitioned by key, and a key is listed as loaded only once all its rows
+    are. A run that died in between left keys unlisted: repeating it replaces their rows.
     """
     spark = df.sparkSession
-    if table_exists(spark, path):
-        df = missing_rows(df, spark.read.parquet(path), key)
-    df.hint("rebalance", F.col(key)).write.mode("append").partitionBy(key).parquet(path)
-    return spark.read.parquet(path)
+    rows, keys = f"{path}/rows", f"{path}/keys"
+    if table_exists(spark, keys):
+        df = missing_rows(df, spark.read.parquet(keys), key)
+    df.hint("rebalance", F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(rows)
+    df.select(key).distinct().write.mode("append").parquet(keys)
+    stored = spark.read.schema(df.schema).parquet(rows)
+    return stored.join(spark.read.parquet(keys), key, "left_semi")
 
 
 def save_table(df: DataFrame, path: str) -> DataFrame:

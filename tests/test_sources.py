@@ -129,3 +129,12 @@ def test_shared_folder(spark):
     with pytest.raises(ValueError):
         workspace.shared_folder(Session(None, "yarn"))
     assert workspace.shared_folder(Session(None, "local[2]"))
+
+
+def test_a_half_loaded_key_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "w")
+    full = spark.createDataFrame([("007", 1), ("007", 2), ("B", 3)], "AIRPORT string, v int")
+    # Rows of a run that died before it listed its keys.
+    spark.createDataFrame([("007", 1)], "AIRPORT string, v int").write.partitionBy("AIRPORT").parquet(f"{path}/rows")
+    got = tables.append_missing(full, path, "AIRPORT")
+    assert sorted((r["AIRPORT"], r["v"]) for r in got.collect()) == [("007", 1), ("007", 2), ("B", 3)]
