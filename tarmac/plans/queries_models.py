@@ -43,7 +43,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         rows = fill_median(rows, column, default, reference=flights(spark, sf_dir))
     rows = tables.save_table(rows, f"{folder}/rows")
     encoder = tables.save_table(aggregates.fit_encoder(rows, models.TARGET), f"{folder}/encoder")
-    return encoder, tables.save_table(models.even(models.prepare(rows, encoder)), f"{folder}/encoded")
+    return encoder, tables.save_table(models.even(models.prepare(rows, encoder), rows), f"{folder}/encoded")
 
 
 @query("m2_fit_delay")
