@@ -16,11 +16,11 @@ from tarmac.sources.fixed_values import FEATURES
 CONGESTION_SECONDS = 7200
 
 
-def with_schedule(df: DataFrame) -> DataFrame:
+def with_schedule(df: DataFrame, on_clock_error: int = 0) -> DataFrame:
     clock = F.col("SCHEDULED_DEPARTURE")
     if df.schema["SCHEDULED_DEPARTURE"].dataType.simpleString() not in ("int", "bigint"):
         clock = clock_reading(clock)
-    return df.withColumn("SCHEDULED_TS", scheduled_ts(F.col("FL_DATE"), clock))
+    return df.withColumn("SCHEDULED_TS", scheduled_ts(F.col("FL_DATE"), F.coalesce(clock, F.lit(on_clock_error))))
 
 
 def add_congestion(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def add_features(
     SCHEDULED_DEPARTURE. `history` (ORIGIN_AIRPORT, FL_DATE, SCHEDULED_DEPARTURE,
     DEPARTURE_DELAY) supplies the congestion for requests; the flights themselves otherwise.
     """
-    flights = with_schedule(clean_flight_keys(df))
+    flights = with_schedule(clean_flight_keys(df), on_clock_error)
     if history is not None:
         history = with_schedule(clean_flight_keys(history)).select("ORIGIN_AIRPORT", "SCHEDULED_TS", "DEPARTURE_DELAY")
     flights = add_congestion(flights, history)

@@ -265,13 +265,14 @@ ROLLING = """select ORIGIN, ts, sum(s) over w / nullif(sum(n) over w, 0) as cong
 @query(
     "f6_rolling_mean",
     oracle(
-        """select t.ORIGIN as ORIGIN_AIRPORT, t.FL_NUMBER as FLIGHT_NUMBER, t.ts as SCHEDULED_TS, t.DEP_DELAY as DEPARTURE_DELAY,
-             avg(t.DEP_DELAY) over (partition by t.ORIGIN order by t.ts range between interval 2 hours preceding and interval 1 microsecond preceding) as raw_mean
-           from training t""",
+        """select ORIGIN as ORIGIN_AIRPORT, FL_NUMBER as FLIGHT_NUMBER, ts as SCHEDULED_TS, DEP_DELAY as DEPARTURE_DELAY,
+             coalesce(avg(DEP_DELAY) over (partition by ORIGIN order by ts
+               range between interval 2 hours preceding and interval 1 microsecond preceding), 0) as congestion
+           from training""",
         "flights",
         training=TRAINING,
-    ).replace("select t.ORIGIN as", "select ORIGIN_AIRPORT, FLIGHT_NUMBER, SCHEDULED_TS, DEPARTURE_DELAY, coalesce(raw_mean, 0) as congestion from (select t.ORIGIN as") + ") q",
-)
+    ),
+)
 def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_schedule(training_rows(flights(spark, sf_dir)))
     return timeline.rolling_mean(

@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import is_landing_snapshot, si_to_aviation
-from tarmac.sources.schemas import AIRPORT_EVENT, HOURLY_DOCUMENT, REPORT_DOCUMENT
+from tarmac.sources.schemas import AIRPORT_EVENT, CURRENT_DOCUMENT, DAILY_DOCUMENT, HOURLY_DOCUMENT, REPORT_DOCUMENT
 
 MAX_VECTORS = 1000
 MIN_VECTOR_LENGTH = 13
 MIN_FEED_LENGTH = 17
 
 
+def _zip_arrays(document: str, names: tuple[str, ...]) -> Column:
+    """Parallel arrays of a document as rows; an absent array counts as empty."""
+    return F.inline(F.arrays_zip(*[F.coalesce(F.col(f"{document}.{n}"), F.array()).alias(n) for n in names]))
+
+
 def explode_hourly(df: DataFrame, airport: str = "airport", payload: str = "payload") -> DataFrame:
     """One airport document of parallel hourly arrays per row -> one row per hour.
 
     Missing precipitation is 0 and missing wind 10.
     """
     hourly = df.select(F.col(airport).alias("AIRPORT"), F.from_json(payload, HOURLY_DOCUMENT)["hourly"].alias("h"))
-    rows = hourly.select(
-        "AIRPORT", F.inline(F.arrays_zip(F.col("h.time"), F.col("h.precipitation"), F.col("h.wind_speed_10m")))
-    )
+    rows = hourly.select("AIRPORT", _zip_arrays("h", ("time", "precipitation", "wind_speed_10m")))
     time = F.col("time").try_cast("timestamp_ntz")
     return rows.where(F.col("time").isNotNull()).select(
         "AIRPORT",
@@ -34,6 +37,24 @@ def explode_hourly(df: DataFrame, airport: str = "airport", payload: str = "payl
     )
 
 
+def parse_current_weather(df: DataFrame, airport: str = "airport", payload: str = "payload") -> DataFrame:
+    """Current readings per airport; an absent document gives the calm default readings."""
+    calm = {"temperature_2m": 20.0, "precipitation": 0.0, "windspeed_10m": 8.0, "weather_code": 0.0}
+    now = F.from_json(payload, CURRENT_DOCUMENT)["current"]
+    read = df.select(F.col(airport).alias("airport"), now.alias("now"))
+    return read.select(
+        "airport", *[F.when(F.col("now").isNull(), F.lit(v)).otherwise(F.coalesce(f"now.{n}", F.lit(0.0))).alias(n) for n, v in calm.items()]
+    )
+
+
+def parse_daily_weather(df: DataFrame, airport: str = "airport", payload: str = "payload") -> DataFrame:
+    """Daily documents (parallel arrays, one entry per day) -> one row per airport and day."""
+    names = ("time", "weathercode", "temperature_2m_max", "precipitation_sum", "windspeed_10m_max")
+    daily = df.select(F.col(airport).alias("airport"), F.from_json(payload, DAILY_DOCUMENT)["daily"].alias("d"))
+    rows = daily.select("airport", _zip_arrays("d", names))
+    return rows.select("airport", F.col("time").try_cast("date").alias("date"), *names[1:]).where(F.col("date").isNotNull())
+
+
 def vectors_to_positions(vectors: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Positional arrays of text (`v`) to positions: units, landing flag, call sign UNK if blank.
 

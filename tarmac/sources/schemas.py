@@ -62,6 +62,25 @@ HOURLY_DOCUMENT = _struct(
     )
 )
 
+# Current weather of an airport, and its daily document of one-element arrays.
+CURRENT_DOCUMENT = _struct(
+    current=_struct("temperature_2m double, precipitation double, windspeed_10m double, weather_code double")
+)
+DAILY_DOCUMENT = _struct(
+    daily=_struct(
+        time=T.ArrayType(T.StringType()),
+        weathercode=T.ArrayType(T.DoubleType()),
+        temperature_2m_max=T.ArrayType(T.DoubleType()),
+        precipitation_sum=T.ArrayType(T.DoubleType()),
+        windspeed_10m_max=T.ArrayType(T.DoubleType()),
+    )
+)
+
+# Raw reports of weather stations.
+REPORT = T.StructType(
+    [T.StructField("station", T.StringType()), T.StructField("valid", T.TimestampNTZType()), T.StructField("metar", T.StringType())]
+)
+
 # One airport's programme document; avgDelay may be a number or a text, so it is a text here.
 AIRPORT_EVENT = _struct(
     groundStop=_struct("reason string"),

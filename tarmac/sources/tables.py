@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.sources.schemas import FLIGHT, HOURLY_WEATHER, RAW_FLIGHT
+from tarmac.sources.schemas import FLIGHT, HOURLY_WEATHER, RAW_FLIGHT, REPORT
 
 CORRUPT = "_corrupt_record"
 
@@ -56,6 +56,11 @@ def read_weather(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Raw station reports (station, valid, metar) from CSV."""
+    return read_csv_by_name(spark, path, REPORT)
+
+
 def write_flights(
     df: DataFrame, path: str, fmt: str = "parquet", partition: Sequence[str] = ("YEAR", "MONTH"), mode: str = "overwrite"
 ) -> None:

@@ -35,16 +35,18 @@ def keep_newest(batch: DataFrame, batch_id: int, path: str, time: str = "snapsho
     current one, so a failure at any moment leaves a readable snapshot. A repeated batch
     finds its own number stored and does nothing.
     """
-    spark = batch.sparkSession
-    newest = batch.agg(F.max(time).alias("t")).first()["t"]
-    stored = _stored(spark, path)
-    if newest is None or (stored is not None and (newest < stored[1] or batch_id <= stored[2])):
-        return
-    slot = 0 if stored is None else 1 - stored[0]
-    rows = batch.where(F.col(time) == F.lit(newest)).withColumnRenamed(time, "snapshot_time")
-    rows.withColumns({"batch": F.lit(batch_id).cast("bigint"), "slot": F.lit(slot)}).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("slot").parquet(path)
+    batch = batch.persist()  # read for its newest time and again for its rows
+    try:
+        newest = batch.agg(F.max(time).alias("t")).first()["t"]
+        stored = _stored(batch.sparkSession, path)
+        if newest is None or (stored is not None and (newest < stored[1] or batch_id <= stored[2])):
+            return
+        slot = 0 if stored is None else 1 - stored[0]
+        rows = batch.where(F.col(time) == F.lit(newest)).withColumnRenamed(time, "snapshot_time")
+        marked = rows.withColumns({"batch": F.lit(batch_id).cast("bigint"), "slot": F.lit(slot)})
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)
+    finally:
+        batch.unpersist()
 
 
 def read_newest(spark: SparkSession, path: str) -> DataFrame:

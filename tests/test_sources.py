@@ -138,3 +138,21 @@ def test_a_half_loaded_key_is_replaced(spark, tmp_path):
     spark.createDataFrame([("007", 1)], "AIRPORT string, v int").write.partitionBy("AIRPORT").parquet(f"{path}/rows")
     got = tables.append_missing(full, path, "AIRPORT")
     assert sorted((r["AIRPORT"], r["v"]) for r in got.collect()) == [("007", 1), ("007", 2), ("B", 3)]
+
+
+def test_weather_documents(spark):
+    now = json.dumps({"current": {"temperature_2m": 1.5, "weather_code": 61}})
+    day = json.dumps({"daily": {"time": ["2023-05-01", "bad"], "weathercode": [3, 4], "precipitation_sum": [None, 1.0], "windspeed_10m_max": [7.5]}})
+    df = spark.createDataFrame([("ATL", now, day), ("JFK", "broken", "{}")], "airport string, now string, day string")
+    got = {r["airport"]: tuple(r)[1:] for r in feeds.parse_current_weather(df, payload="now").collect()}
+    assert got == {"ATL": (1.5, 0.0, 0.0, 61.0), "JFK": (20.0, 0.0, 8.0, 0.0)}
+    rows = feeds.parse_daily_weather(df, payload="day").collect()
+    assert [(r["airport"], str(r["date"]), *tuple(r)[2:]) for r in rows] == [("ATL", "2023-05-01", 3.0, None, None, 7.5)]
+
+
+def test_report_file(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("station,valid,metar\nKATL,2023-05-01 05:52,KATL 010552Z\nKATL,2023-05-01 04:52,KATL 010452Z\n")
+    from tarmac.operators.lookups import first_report
+
+    rows = first_report(tables.read_reports(spark, str(tmp_path / "r.csv")), "station", "valid", "metar").collect()
+    assert [(r["station"], str(r["day"]), r["report"]) for r in rows] == [("KATL", "2023-05-01", "KATL 010452Z")]
