@@ -39,6 +39,14 @@ def session(cpus: str) -> SparkSession:
     return spark
 
 
+def scale(sf_dir: str) -> float | str:
+    name = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -56,7 +64,7 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), "spark": spark.version,
+                "sf": scale(sf_dir), "cpus": int(cpus), "spark": spark.version,
             }
         )
     )

@@ -157,21 +157,27 @@ def lookup_flights(requests: DataFrame, history: DataFrame, query: str = "query"
     return chosen.select(*requests.columns, "matched", *[F.col(f"_flight.{c}").alias(c) for c in NORMALISED])
 
 
-def schedule_routes(history: DataFrame) -> DataFrame:
-    """First known origin and destination per carrier and flight number."""
-    return first_by(keyed_history(history), ["_airline", "_number"], list(HISTORY_ORDER)).select(
-        "_airline", "_number", F.struct(F.col("ORIGIN_AIRPORT").alias("origin"), F.col("DESTINATION_AIRPORT").alias("destination")).alias("_schedule")
-    )
+def schedule_routes(history: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """First known origin and destination per carrier and flight number.
+
+    With `wanted` (_airline, _number) only those flights are kept before anything is sorted.
+    """
+    flights = keyed_history(history)
+    if wanted is not None:
+        flights = flights.join(wanted, ["_airline", "_number"], "left_semi")
+    route = F.struct(F.col("ORIGIN_AIRPORT").alias("origin"), F.col("DESTINATION_AIRPORT").alias("destination"))
+    firsts = first_by(flights, ["_airline", "_number"], list(HISTORY_ORDER))
+    return firsts.select("_airline", "_number", route.alias("_schedule"))
 
 
 def schedule_lookup(
     df: DataFrame, history: DataFrame, carrier: str = "carrier_iata", number: str = "flight_number"
 ) -> DataFrame:
     """Adds schedule_origin and schedule_destination; null where the history has no such flight."""
-    routes = schedule_routes(history)
+    asked = df.withColumns({"_airline": F.col(carrier), "_number": F.trim(F.replace(F.col(number), F.lit(".0"), F.lit("")))})
+    routes = schedule_routes(history, asked.select("_airline", "_number").distinct())
     return (
-        df.withColumns({"_airline": F.col(carrier), "_number": F.trim(F.replace(F.col(number), F.lit(".0"), F.lit("")))})
-        .join(routes, ["_airline", "_number"], "left")
+        asked.join(routes, ["_airline", "_number"], "left")
         .withColumns({"schedule_origin": F.col("_schedule.origin"), "schedule_destination": F.col("_schedule.destination")})
         .drop("_airline", "_number", "_schedule")
     )
