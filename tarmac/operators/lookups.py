@@ -107,7 +107,7 @@ def keyed_history(history: DataFrame) -> DataFrame:
     """Normalised flights with cleaned lookup keys."""
     return history.withColumns(
         {
-            "_airline": clean_key(F.col("AIRLINE"), upper=True),
+            "_airline": F.upper(F.trim("AIRLINE")),
             "_number": clean_key(F.col("FLIGHT_NUMBER")),
             "ORIGIN_AIRPORT": F.trim("ORIGIN_AIRPORT"),
             "DESTINATION_AIRPORT": F.trim("DESTINATION_AIRPORT"),
