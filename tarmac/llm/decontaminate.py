@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.llm.shared import in_batches, spans_of, utf8
 from tarmac.llm.words import ALPHANUMERIC, mix, words
@@ -112,11 +113,11 @@ def _benchmark_blocks(benchmark: DataFrame, window: int) -> Iterator[list[Patter
         yield pattern_sets(rows, window)
 
 
-STATE = "doc_id bigint, text string, n_words bigint, hits binary, items array<bigint>"
+STATE = "text string, n_words bigint, hits binary, items array<bigint>"
 
 
 def _pass(sent, last: bool):
-    """Search one block of the benchmark in a batch of (doc_id, text, n_words, hits, items)."""
+    """Search one block of the benchmark in a batch of (row, text, n_words, hits, items)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = utf8(batch.column(1))
@@ -144,47 +145,53 @@ def _pass(sent, last: bool):
             return _summary(batch.column(0), counts, hits, items)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(counts), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))],
-            names=["doc_id", "text", "n_words", "hits", "items"],
+            names=["row", "text", "n_words", "hits", "items"],
         )
 
     return work
 
 
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<bigint>"
+RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<bigint>"
 
 
-def _summary(ids: pa.Array, counts: np.ndarray, hits: list[bytes | None], items: list[list[int] | None]) -> pa.RecordBatch:
+def _summary(rows: pa.Array, counts: np.ndarray, hits: list[bytes | None], items: list[list[int] | None]) -> pa.RecordBatch:
     n_hit = [0 if h is None else int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in hits]
     names = [",".join(sorted(map(str, x or ()))) for x in items]
     return pa.RecordBatch.from_arrays(
         [
-            ids, pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in items], pa.int64()),
+            rows, pa.array(counts), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in items], pa.int64()),
             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()),
             pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, counts.tolist())], pa.bool_()),
             pa.array([x or [] for x in items], pa.list_(pa.int64())),
         ],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+        names=["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items for every row of `docs`.
-
-    Words are runs of 0-9, a-z (A-Z in lower case) and characters beyond ASCII. A null or empty
-    text has no words and is not contaminated; items of null or no words match nothing; an empty
-    benchmark hits nothing. Repeated rows are judged each; an item_id that several items share
-    counts once, an item without id contaminates but is not listed. Other columns are ignored.
-    """
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs` (with a column text), whole, as `row`, and what `contamination` tells of each."""
     spark = docs.sparkSession
-    state = docs.select(
-        "doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<bigint>").alias("items")
-    )
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    state = docs.select(row, "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<bigint>").alias("items"))
+    kind = state.schema["row"]
     blocks = _benchmark_blocks(benchmark, window)
     block = next(blocks, [])
     while True:
         following = next(blocks, None)
         work = _pass(spark.sparkContext.broadcast(block), last=following is None)
-        state = in_batches(state, work, RESULT if following is None else STATE)
+        rest = T.StructType.fromDDL(RESULT if following is None else STATE)
+        state = in_batches(state, work, T.StructType([kind, *rest.fields]))
         if following is None:
             return state
         block = following
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items for every row of `docs`.
+
+    Words are runs of 0-9, a-z (A-Z in lower case) and characters beyond ASCII. A null or empty
+    text has no words and is not contaminated; items of null or no words match nothing; an empty
+    benchmark hits nothing. Repeated rows are judged each; an item_id that several items share
+    counts once, an item without id contaminates but is not listed. Other columns are ignored.
+    """
+    return judged(docs.select("doc_id", "text"), benchmark, window).select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import decontaminate, minhash, packing, secret_scan
+from tarmac.llm import decontaminate, minhash, packing, secret_scan, sharding, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -69,6 +69,16 @@ from documents d left join sizes using (doc_id) join roots using (doc_id)
 """
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,3 +109,19 @@ select w.doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(h.n, 0)::bigin
   sha256(coalesce(listed, '')) as items_sha256, coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) as contaminated
 from words w left join hits h using (doc_id) left join items i using (doc_id)
 """
+
+
+@query
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op10_warc_round_trip"] = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
+  case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from p left join f using (payload_digest)
+"""

@@ -18,8 +18,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarmac.llm.shared import in_batches
+from tarmac.llm.shared import in_batches, with_value
 
 # The words an assignment may begin with, and the prefixes of tokens that end in a checksum.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -153,22 +155,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     )
 
 
-def _masked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out, count = [], []
-    for text in batch.column(1):
+def _mask_texts(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts:
         value = text.as_py()
         spans = scan(value) if value else []
         out.append(mask(value, spans) if spans else value)
-        count.append(len(spans))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(count, pa.int64()), *batch.columns[2:]], names=["doc_id", "text", "n_secrets", *batch.schema.names[2:]])
+    return pa.array(out, pa.string())
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, any others) with every secret replaced by its kind in brackets, and n_secrets.
+    """`docs` with every secret in `text` replaced by its kind in brackets.
 
-    A null text stays null.
+    All columns stay as they are otherwise; a null text stays null, an empty one empty.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_secrets")]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id bigint", "text string", "n_secrets bigint", *(f"`{c}` {kinds[c]}" for c in others)])
-    return in_batches(docs.select("doc_id", "text", *others), _masked, schema)
+    found = with_value(docs, _mask_texts, T.StringType(), "masked")
+    return found.select(*(F.col("masked").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import tarmac
 from tarmac.workspace import new_folder
@@ -30,7 +32,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """`work` on every Arrow batch of `df`, inside the tasks."""
     ready(df.sparkSession)
 
@@ -64,3 +66,14 @@ def spans_of(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         last = min(max(last, first + 1), n)
         yield first, last
         first = last
+
+
+def with_value(docs: DataFrame, work: Callable[[pa.Array], pa.Array], kind: T.DataType, out: str = "value") -> DataFrame:
+    """Rows of `docs` whole, as `row`, beside what `work` makes of their texts; no join, no shuffle."""
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField(out, kind)])
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), work(batch.column(1))], names=["row", out])
+
+    return in_batches(rows, per_batch, schema)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarmac.llm.shared import in_batches, spans_of, utf8
+from tarmac.llm.shared import spans_of, utf8, with_value
 from tarmac.llm.words import ALPHANUMERIC, LETTERS, mix, words
 
 WINDOW, STRIDE = 32, 16
@@ -308,29 +309,30 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> t
     return [r.text for r in rows], np.array([r.toxic for r in rows], np.float64)
 
 
-def _scored(sent):
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, offsets = utf8(batch.column(2))
+def _score_texts(sent):
+    def work(texts: pa.Array) -> pa.Array:
+        raw, offsets = utf8(texts)
         score = [np.zeros(0)]
         for a, b in spans_of(offsets, BLOCK):
             score.append(sent.value.score(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-        score = np.concatenate(score)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        return pa.array(np.concatenate(score))
 
     return work
 
 
-def score_documents(docs: DataFrame, network: Network) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text).
-
-    Null and empty texts and texts without words score 0. Repeated rows are scored each; a row
-    without doc_id is not held out; other columns are ignored; an empty table gives no rows.
-    """
+def scored(docs: DataFrame, network: Network) -> DataFrame:
+    """The rows of `docs` (with a column text), whole, as `row`, and their `score`."""
     sent = docs.sparkSession.sparkContext.broadcast(network)  # its size is fixed by BITS
-    rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
-    return in_batches(rows, _scored(sent), "doc_id bigint, held_out boolean, score double, predicted int")
+    return with_value(docs, _score_texts(sent), T.DoubleType(), "score")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """Fit on `labels` (doc_id, toxic) and score every document. Null labels are not used."""
-    return score_documents(docs, fit(*training_sample(docs, labels, size)))
+    """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text), fitted on `labels` (doc_id, toxic).
+
+    Null and empty texts and texts without words score 0. Null labels are not used; with fewer than
+    two texts of a class to learn from, every text gets the same score. Repeated rows are scored
+    each; a row without doc_id is not held out; other columns are ignored; an empty table gives no
+    rows.
+    """
+    rows = scored(docs.select("doc_id", "text"), fit(*training_sample(docs, labels, size)))
+    return rows.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
