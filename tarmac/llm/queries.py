@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import decontaminate, minhash, packing, secret_scan, sharding, toxicity, warc
+from tarmac.llm import decontaminate, minhash, packing, prefix_forest, secret_scan, sharding, site_style, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -125,3 +125,13 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
   case when page_id <> first then first end as refers_to
 from p left join f using (payload_digest)
 """
+
+
+@query
+def op1_site_style_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.search(table(spark, sf_dir, "embeddings"))
