@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.llm import decontaminate, minhash, packing, prefix_forest, secret_scan, sharding, site_style, toxicity, warc
+from tarmac.llm import decontaminate, language, minhash, packing, prefix_forest, secret_scan, sharding, site_style, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -135,3 +135,8 @@ def op1_site_style_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
