@@ -43,7 +43,7 @@ _CODES = _codes()
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams of all texts, each set off by blanks, and where each text's begin (n + 1)."""
-    parts = [b" " + t.encode() + b"  " for t in texts]
+    parts = [b"  " + t.encode() + b"  " for t in texts]
     begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     c = _CODES[np.frombuffer(b"".join([*parts, b"  "]), np.uint8)]
     gram = mix(mix(mix(c[:-2]) + c[1:-1]) + c[2:])
@@ -155,4 +155,4 @@ def identify(pages: DataFrame, docs: DataFrame, size: int = SAMPLE) -> DataFrame
         return F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
 
     judged = joined.withColumn("p", _softmax(total))
-    return judged.select("page_id", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), best(F.col("post")).alias("text_lang"), "declared")
+    return judged.select("page_id", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), F.when(F.col("post").isNotNull(), best(F.col("post"))).alias("text_lang"), "declared")

@@ -53,6 +53,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
+_SERIAL = re.compile(r"\d{3,}")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -82,7 +83,7 @@ def _named(tag: str, attributes: str) -> tuple[str, str]:
     found: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
-    names = sorted(_DIGITS.sub("0", x) for key in ("class", "id") for x in found.get(key, "").split())
+    names = sorted(_SERIAL.sub("0", x) for key in ("class", "id") for x in found.get(key, "").split())
     label = ".".join([tag, *names])
     words = {w.lower() for x in names for w in _WORD.findall(x)}
     if words & REMARKS:
@@ -303,6 +304,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     table gives no rows.
     """
     nodes = node_importance(pages).where((F.col("importance") < LOW) & (F.col("pages") >= PAGES))
-    noise = stored(nodes.groupBy("host").agg(F.collect_set("node").alias("noise")), "noise")  # few nodes a host, as digits in names are folded
+    noise = stored(nodes.groupBy("host").agg(F.collect_set("node").alias("noise")), "noise")  # few nodes a host, as serial numbers in names are folded
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(noise, "host", "left")
     return in_batches(rows.select("page_id", "url", "html", "noise"), _extract, "page_id bigint, url string, text string, n_chars bigint")
