@@ -30,9 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without doc_id stay, as nothing tells them apart.
     """
     dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    once = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
-    return once.unionByName(docs.where("doc_id is null")).select(*(f"`{c}`" for c in docs.columns))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    named = rows.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
+    once = named.withColumn("n", first).where("n = 1").select("row")
+    return once.unionByName(rows.where("doc_id is null").select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
