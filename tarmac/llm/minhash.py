@@ -5,12 +5,13 @@ at least 0.75. The steps:
 
 1. Equal shingle sets become one class (grouped by a 128-bit digest of the set, combined
    before the shuffle), so copies never meet as pairs.
-2. A class has a signature of 128 MinHash values. Each of 32 orders takes eight of them, in an
+2. A class has a signature of 128 MinHash values. Each of 24 orders takes eight of them, in an
    order of its own, as a sort key. All keys are range-partitioned and sorted, ties broken by
    the document, so no region, however crowded, lands in one task.
 3. In every order a class becomes a candidate with the neighbours that follow it and share a
-   prefix of at least three values. In a thin region that takes in the whole region; in a
-   crowded one the nearest neighbours share more values, so the depth follows the region.
+   prefix of at least three values, up to the first that shares six. In a thin region that
+   takes in the whole region; in a crowded one the nearest neighbours share more values, so the
+   depth follows the region.
    Rows at partition borders are matched in a second small step.
 4. Candidates are confirmed on the full sets, the best of every class first. Only pairs of
    classes that the confirmed links do not yet connect are looked at again, first the best for
@@ -18,8 +19,8 @@ at least 0.75. The steps:
    change the result.
 5. Components grow by alternating star contraction over stored tables.
 
-A pair at the threshold shares a prefix of three in an order with probability 0.42, so all 32
-orders miss it with probability 2.4e-8, in a region with few other documents.
+A pair at the threshold shares a prefix of three in an order with probability 0.42, so all 24
+orders miss it with probability 2e-6, in a region with few other documents.
 """
 
 from __future__ import annotations
@@ -38,10 +39,11 @@ from tarmac.llm.words import SPACED, mix, sequences, words
 
 SHINGLE = 5
 VALUES = 128
-ORDERS = 32
+ORDERS = 24
 DEPTH = 8
 LEAST = 3
 NEIGHBOURS = 4
+SURE = 6
 BLOCK = 2 << 20
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64))
 _FACTORS = (_SEEDS[:VALUES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -134,10 +136,13 @@ def _sort_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _near(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows at most NEIGHBOURS apart that share an order and LEAST values; positions and shared depth."""
     left, right, depth = [], [], []
+    open_ = np.ones(len(ids), bool)
     for step in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
         same = keys[:-step] == keys[step:]
         shared = np.logical_and.accumulate(same, axis=1).sum(axis=1)
-        at = np.flatnonzero((orders[:-step] == orders[step:]) & (shared >= LEAST) & (ids[:-step] != ids[step:]))
+        shared[orders[:-step] != orders[step:]] = 0
+        at = np.flatnonzero((shared >= LEAST) & (ids[:-step] != ids[step:]) & open_[:-step])
+        open_[:-step] &= shared < SURE
         left.append(at), right.append(at + step), depth.append(shared[at])
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(left or empty), np.concatenate(right or empty), np.concatenate(depth or empty)
@@ -273,7 +278,7 @@ def linked_components(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.struct("weight", "a", "b").alias("p"))
     best = ends.groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-    texts = stored(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "texts")
+    texts = stored(texts.join(ends.select("id").distinct(), "id", "left_semi"), "texts")
     best = stored(best, "best")
     roots = components(confirmed(best, texts))
     apart = stored(_rooted(pairs.join(best, ["a", "b"], "left_anti"), roots), "apart")
