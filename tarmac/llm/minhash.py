@@ -45,6 +45,7 @@ LEAST = 3
 NEIGHBOURS = 4
 SURE = 6
 BLOCK = 2 << 20
+FILTER_BITS = 1 << 23
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64))
 _FACTORS = (_SEEDS[:VALUES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (_SEEDS[VALUES:] >> np.uint64(32)).astype(np.uint32)
@@ -270,7 +271,29 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where("ra <> rb")
 
 
-def linked_components(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in `ids` (id), one row each.
+
+    A bit map of FILTER_BITS bits, of that size however many ids there are, keeps most other texts
+    out of the shuffle; the join then settles which rows belong.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    marked = ids.select((bit + 1).alias("x"))
+    cells = marked.groupBy(F.bitmap_bucket_number("x").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for cell, bits in cells:  # at most FILTER_BITS / 32768 rows
+        table[(cell - 1) * len(bits) : cell * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table, bitorder="little").astype(bool))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(sent.value[batch.column(2).to_numpy(zero_copy_only=False)]))
+
+    rows = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    near = in_batches(rows.withColumn("bit", bit), work, "id bigint, text string, bit bigint").select("id", "text")
+    return near.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def linked_components(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, root) of the components of the true links among candidate pairs.
 
     First the best pair of every class, then the best of every two components, then all pairs
@@ -278,7 +301,7 @@ def linked_components(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.struct("weight", "a", "b").alias("p"))
     best = ends.groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-    texts = stored(texts.join(ends.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = stored(texts_of(docs, stored(ends.select("id").distinct(), "ids")), "texts")
     best = stored(best, "best")
     roots = components(confirmed(best, texts))
     apart = stored(_rooted(pairs.join(best, ["a", "b"], "left_anti"), roots), "apart")
@@ -311,8 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "classes",
     )
     pairs = stored(candidates(classes), "pairs")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").dropDuplicates(["id"])
-    roots = linked_components(pairs, texts)
+    roots = linked_components(pairs, docs)
     rooted = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("component")
     )
