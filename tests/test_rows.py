@@ -37,11 +37,11 @@ def test_fill_median_uses_the_reference_rows(spark):
 
 def test_samples_and_splits_ignore_partitioning(spark):
     df = spark.range(20_000).withColumnRenamed("id", "k")
-    small = [r["k"] for r in ordering.sample_n(df, 7, ["k"]).collect()]
-    again = [r["k"] for r in ordering.sample_n(df.repartition(13), 7, ["k"]).collect()]
-    counted = [r["k"] for r in ordering.sample_n(df.repartition(5), 7, ["k"], direct_below=1).collect()]
-    assert small == again == counted and len(small) == 7
-    assert ordering.sample_n(df.limit(3), 7, ["k"], direct_below=1).count() == 3
+    for n in (0, 1, 7, 5_000, 19_999, 20_000, 30_000):
+        rows = df.orderBy(ordering.hash_key(["k"], 42)).limit(n).collect()
+        assert sorted(ordering.sample_n(df.repartition(13), n, ["k"]).collect()) == sorted(rows)
+    assert ordering.sample_n(df.limit(3), 7, ["k"]).count() == 3
+    assert ordering.sample_n(df.limit(0), 7, ["k"]).count() == 0
     train, test = ordering.split(df, ["k"])
     other = ordering.split(df.repartition(3), ["k"])[1]
     assert {r["k"] for r in test.collect()} == {r["k"] for r in other.collect()}
