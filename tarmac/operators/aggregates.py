@@ -97,10 +97,11 @@ def citation_relevance(df: DataFrame, cause: str, citations: str) -> DataFrame:
     return df.agg(F.avg(hit.cast("double")).alias("relevance"), F.count(F.lit(1)).alias("n"))
 
 
-def precision_at_k(hits: DataFrame, query: str, rank: str, relevant: Column, k: int) -> DataFrame:
-    """Mean over queries of the share of relevant rows among the first k."""
+def precision_at_k(queries: DataFrame, hits: DataFrame, query: str, rank: str, relevant: Column, k: int) -> DataFrame:
+    """Mean over all `queries` of the share of relevant rows among the first k hits; 0 for a query without hits."""
     per_query = hits.where(F.col(rank) <= k).groupBy(query).agg((F.sum(relevant.cast("int")) / F.lit(k)).alias("p"))
-    return per_query.agg(F.avg("p").alias("precision"), F.count(F.lit(1)).alias("queries"))
+    asked = queries.select(query).distinct().join(per_query, query, "left")
+    return asked.agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("precision"), F.count(F.lit(1)).alias("queries"))
 
 
 def snapshot_summary(positions: DataFrame, by: Sequence[str], total: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.clock import epoch_delay, epoch_hhmm, iso_hhmm
 from tarmac.functions.text import clean_key
-from tarmac.operators.ordering import first_by
+from tarmac.operators.ordering import first_by, one_per
 from tarmac.sources import dimensions as dims
 from tarmac.sources import fixed_values as fixed
 
@@ -196,7 +196,7 @@ def resolve_route(
     schedule: DataFrame,
     key: str = "iata_flight",
 ) -> DataFrame:
-    """Route, scheduled clock and delay per request from four tiers, each one row per key.
+    """Route, scheduled clock and delay per request from four tiers; of a key's rows the newest counts.
 
     Tables (first column `key`): search (origin, destination, sched_epoch, real_epoch),
     feed (origin, destination, sched_epoch, real_epoch), second (origin, destination,
@@ -206,7 +206,8 @@ def resolve_route(
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
+        one = one_per(df, [key], ("sched_epoch", "scheduled", "real_epoch"))
+        return one.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
 
     joined = requests
     for name, table in (("_s", search), ("_f", feed), ("_a", second), ("_t", schedule)):
@@ -322,10 +323,13 @@ def match_position(
 
 
 def join_events(df: DataFrame, events: DataFrame, airport: str = "destination") -> DataFrame:
-    """The destination's programme documents; null structs where there is none."""
-    side = events.select(
-        F.col("airport_id").alias("_airport"), F.struct("groundStop", "groundDelay", "arrivalDelay").alias("programme")
-    )
+    """The destination's programme document; null structs where there is none.
+
+    Of an airport's documents the first counts, by a column `seq` if there is one.
+    """
+    order = [F.col("seq").asc_nulls_last()] if "seq" in events.columns else []
+    one = first_by(events, ["airport_id"], [*order, F.xxhash64(*events.columns)])
+    side = one.select(F.col("airport_id").alias("_airport"), F.struct("groundStop", "groundDelay", "arrivalDelay").alias("programme"))
     return df.withColumn("_airport", F.upper(F.col(airport))).join(side, "_airport", "left").drop("_airport")
 
 
@@ -338,13 +342,15 @@ def station(code: Column) -> Column:
 def resolve_report(df: DataFrame, airport: str, tiers: Sequence[DataFrame], out: str) -> DataFrame:
     """Raw report per airport from the first tier that has one, else a routine text.
 
-    A tier is a table (station, report) with one row per station.
+    A tier is a table (station, report); of a station's reports that say something the newest
+    counts, by a column `valid` if there is one.
     """
     df = df.withColumn("_station", station(F.col(airport)))
     found = []
     for i, tier in enumerate(tiers):
         found.append(f"_report{i}")
-        df = df.join(tier.select(F.col("station").alias("_station"), F.col("report").alias(found[-1])), "_station", "left")
+        one = one_per(tier.where(F.trim("report") != ""), ["station"], ("valid",))
+        df = df.join(one.select(F.col("station").alias("_station"), F.col("report").alias(found[-1])), "_station", "left")
     routine = F.concat("_station", F.lit(" " + fixed.ROUTINE_REPORT))
     filled = [F.when(F.trim(c) != "", F.col(c)) for c in found]
     return df.withColumn(out, F.coalesce(*filled, routine)).drop("_station", *found)
@@ -357,7 +363,7 @@ def resolve_day_report(
 
     `day_reports` (station, day, report) has one row per station and day; `date` is a text.
     """
-    day = day_reports.select(
+    day = one_per(day_reports, ["station", "day"]).select(
         F.col("station").alias("_of"), F.date_format("day", "yyyy-MM-dd").alias(date), F.col("report").alias("_day_report")
     )
     current = resolve_report(df, airport, tiers, out).withColumn("_of", station(F.col(airport)))

@@ -216,7 +216,7 @@ def cascade(
     and adds its own. With S the running sum of (former own delay - slack), the delay taken
     over is S - min(0, lowest S so far), so sums and minima are enough. `chunk` (a day, say)
     sorts before `order` and cuts a key's legs into pieces; a piece needs only the sum and
-    the lowest point of those before it.
+    the lowest point of those before it. Legs without key or chunk form one of their own.
     """
     legs = [chunk, *order]
     inside = W.partitionBy(key, chunk).orderBy(*legs)
@@ -229,14 +229,14 @@ def cascade(
         .agg(F.sum(gain).alias("_sum"), F.min("_s").alias("_piece_low"))
         .withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
         .withColumn("_low_before", F.min(F.col("_base") + F.col("_piece_low")).over(before))
-        .select(key, chunk, "_base", "_low_before")
+        .select(F.col(key).alias("_key"), F.col(chunk).alias("_chunk"), "_base", "_low_before")
     )
     lowest = F.least(F.lit(0), F.col("_low_before"), F.col("_base") + F.col("_low"))
     return (
-        steps.join(pieces, [key, chunk])
+        steps.join(pieces, F.col(key).eqNullSafe(F.col("_key")) & F.col(chunk).eqNullSafe(F.col("_chunk")))
         .withColumn(carried, F.col("_base") + F.col("_s") - lowest)
         .withColumn(total, F.col(carried) + F.col(own))
-        .drop("_s", "_low", "_base", "_low_before")
+        .drop("_s", "_low", "_base", "_low_before", "_key", "_chunk")
     )
 
 
@@ -245,6 +245,7 @@ def leg_cause(df: DataFrame, key: str, order: Sequence[str], out: str = "leg_cau
 
     The first leg is found by a minimum per key, so no key is sorted as a whole.
     """
-    first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    weather = F.struct(*order) == F.col("_first")
-    return df.join(first, key).withColumn(out, F.when(weather, F.lit("Weather")).otherwise(F.lit("Late Aircraft"))).drop("_first")
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
+    weather = F.struct(*order).eqNullSafe(F.col("_first"))
+    joined = df.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(out, F.when(weather, F.lit("Weather")).otherwise(F.lit("Late Aircraft"))).drop("_first", "_key")

@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.ordering import one_per
+from tarmac.sources import fixed_values as fixed
+
 FEATURE_READINGS = {"precipitation": "PRECIP", "wind_speed_10m": "WIND"}
 
 
@@ -21,14 +24,11 @@ def join_weather(
 ) -> DataFrame:
     """Hourly readings at one end of the flight; 0 where there is no reading.
 
-    `weather` has one row per AIRPORT, YEAR, MONTH, DAY, HOUR. Hour 24 matches no row.
+    Of several readings for an airport and hour the highest counts. Hour 24 matches no row.
     """
-    side = weather.select(
-        F.col("AIRPORT").alias(airport),
-        F.make_date("YEAR", "MONTH", "DAY").alias(date),
-        F.col("HOUR").alias(hour),
-        *[F.col(c).cast("double").alias(f"_{c}") for c in readings],
-    )
+    side = weather.groupBy(
+        F.col("AIRPORT").alias(airport), F.make_date("YEAR", "MONTH", "DAY").alias(date), F.col("HOUR").alias(hour)
+    ).agg(*[F.max(F.col(c).cast("double")).alias(f"_{c}") for c in readings])
     joined = df.join(side, [airport, date, hour], "left")
     return joined.withColumns(
         {f"{prefix}_{name}": F.coalesce(F.col(f"_{c}"), F.lit(0.0)) for c, name in readings.items()}
@@ -76,9 +76,11 @@ def pick_weather(
 
     `now_weather` has airport, weather_code, temperature_2m, precipitation, windspeed_10m;
     `day_weather` has airport, date, weathercode, temperature_2m_max, precipitation_sum,
-    windspeed_10m_max. A missing reading is 0. `date` is a yyyy-MM-dd text.
+    windspeed_10m_max. Of an airport's documents the newest counts, by a column `time` if there
+    is one; an airport without a current one has calm readings. Any other missing reading is 0.
+    `date` is a yyyy-MM-dd text.
     """
-    now = now_weather.select(
+    now = one_per(now_weather, ["airport"], ("time",)).select(
         F.col("airport").alias(airport),
         F.struct(
             F.col("weather_code").cast("double").alias("code"),
@@ -87,7 +89,7 @@ def pick_weather(
             F.col("precipitation").cast("double").alias("precipitation"),
         ).alias("_now"),
     )
-    day = day_weather.select(
+    day = one_per(day_weather, ["airport", "date"]).select(
         F.col("airport").alias(airport),
         F.date_format("date", "yyyy-MM-dd").alias(date),
         F.struct(
@@ -99,9 +101,12 @@ def pick_weather(
     )
     joined = df.join(now, airport, "left").join(day, [airport, date], "left")
     live = F.coalesce(F.col(date) == today, F.lit(True)) | (F.col(date) == "")
+    calm = F.col("_now").isNull()
     return joined.withColumns(
         {
-            f"{prefix}_{r}": F.coalesce(F.when(live, F.col(f"_now.{r}")).otherwise(F.col(f"_day.{r}")), F.lit(0.0))
+            f"{prefix}_{r}": F.coalesce(
+                F.when(live & calm, F.lit(fixed.CALM_READINGS[r])).when(live, F.col(f"_now.{r}")).otherwise(F.col(f"_day.{r}")), F.lit(0.0)
+            )
             for r in READINGS
         }
     ).drop("_now", "_day")

@@ -220,13 +220,13 @@ def match_position(spark: SparkSession, sf_dir: str) -> DataFrame:
         """select DEST as destination, count(*) as n, coalesce(max(payload->'$.groundStop'->>'$.reason'), '-') as stop_reason,
              coalesce(max(payload->'$.groundDelay'->>'$.reason'), '-') as hold_reason,
              coalesce(max(payload->'$.arrivalDelay'->>'$.reason'), '-') as arrival_reason
-           from flights left join airport_events on airport_id = DEST group by DEST""",
+           from flights left join (select * from airport_events qualify row_number() over (partition by airport_id order by seq) = 1) e on airport_id = DEST group by DEST""",
         "flights",
         "airport_events",
     ),
 )
 def join_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = feeds.parse_airport_events(view(spark, sf_dir, "airport_events"))
+    events = feeds.parse_airport_events(view(spark, sf_dir, "airport_events"), keep=("seq",))
     arrivals = flights(spark, sf_dir).groupBy(F.lower("DEST").alias("destination")).agg(F.count(F.lit(1)).alias("n"))
     joined = lookups.join_events(arrivals, events)
     return joined.select(
@@ -260,20 +260,15 @@ def known_and_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
            left join newest r on r.station = case when len(code) = 4 then upper(code) else 'K' || upper(code) end""",
         "flights",
         reports=REPORTS_SQL,
-        newest="select station, arg_max(metar, valid) as report from reports where substr(station, 2, 1) < 'P' group by station",
+        newest="select station, arg_max(metar, valid) as report from reports group by station",
     ),
 )
 def resolve_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = F.when(F.col("FL_NUMBER") % 10 == 0, "PANC").when(F.col("FL_NUMBER") % 10 == 1, F.lower("ORIGIN")).otherwise(F.col("ORIGIN"))
     codes = flights(spark, sf_dir).groupBy(mixed.alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    newest = (
-        reports(spark, sf_dir)
-        .where(F.substring("station", 2, 1) < "P")
-        .groupBy("station")
-        .agg(F.max_by("metar", "valid").alias("report"))
-    )
-    nothing = newest.select("station", F.lit("").alias("report"))
-    return lookups.resolve_report(codes, "code", [nothing, newest], "report")
+    every = reports(spark, sf_dir).withColumnRenamed("metar", "report")
+    nothing = every.select("station", F.lit("").alias("report"))
+    return lookups.resolve_report(codes, "code", [nothing, every], "report")
 
 
 ENCODER_COLUMNS = ("AIRLINE", "ORIGIN", "DEST", "FL_NUMBER", "ROUTE")
@@ -401,8 +396,8 @@ def first_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle(
         """select tail, fl_day, leg, own_delay, slack, cast(s - least(0, min(s) over w) as bigint) as carried_delay,
              cast(s - least(0, min(s) over w) + own_delay as bigint) as total_delay
-           from (select *, sum(own_delay - slack) over w - own_delay as s from legs window w as (partition by tail order by fl_day, leg)) t
-           window w as (partition by tail order by fl_day, leg)""",
+           from (select *, sum(own_delay - slack) over w - own_delay as s from legs window w as (partition by tail order by fl_day nulls first, leg)) t
+           window w as (partition by tail order by fl_day nulls first, leg)""",
         "legs",
     ),
 )
@@ -413,7 +408,7 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "w4_leg_cause",
     oracle(
-        """select tail, fl_day, leg, case when row_number() over (partition by tail order by fl_day, leg) = 1 then 'Weather' else 'Late Aircraft' end as leg_cause from legs""",
+        """select tail, fl_day, leg, case when row_number() over (partition by tail order by fl_day nulls first, leg) = 1 then 'Weather' else 'Late Aircraft' end as leg_cause from legs""",
         "legs",
     ),
 )

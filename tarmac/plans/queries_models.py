@@ -113,7 +113,7 @@ def basic_sources(spark: SparkSession, sf_dir: str, **more) -> Sources:
         calendar=holidays.us_holidays(spark, 2023, 2024),
         now_weather=now,
         day_weather=day,
-        programmes=feeds.parse_airport_events(view(spark, sf_dir, "airport_events")),
+        programmes=feeds.parse_airport_events(view(spark, sf_dir, "airport_events"), keep=("seq",)),
         today=TODAY,
         current_reports=[newest_reports(spark, sf_dir)],
         **more,
@@ -144,9 +144,9 @@ ANALYZE_STEPS = {
           'LIVE', 'Scheduled (Route: ' || coalesce(ORIGIN_AIRPORT, hub1) || ' -> ' || coalesce(DESTINATION_AIRPORT, hub2) || ')', null
         from hubs left join schedule on AIRLINE = carrier_iata and schedule.FLIGHT_NUMBER = hubs.flight_number""",
     "weathered": f"""
-        select f.*, {risk_sql("case when live then no.weather_code else xo.weathercode end", "case when live then no.windspeed_10m else xo.windspeed_10m_max end",
+        select f.*, {risk_sql("case when live then no.weather_code else xo.weathercode end", "case when live and no.airport is null then 8 when live then no.windspeed_10m else xo.windspeed_10m_max end",
                               "case when live then no.precipitation else xo.precipitation_sum end")} as origin_risk,
-          {risk_sql("case when live then nd.weather_code else xd.weathercode end", "case when live then nd.windspeed_10m else xd.windspeed_10m_max end",
+          {risk_sql("case when live then nd.weather_code else xd.weathercode end", "case when live and nd.airport is null then 8 when live then nd.windspeed_10m else xd.windspeed_10m_max end",
                     "case when live then nd.precipitation else xd.precipitation_sum end")} as dest_risk
         from (select *, timestamp = '{TODAY}' as live from found) f
         left join now_weather no on no.airport = f.origin left join now_weather nd on nd.airport = f.destination
@@ -201,8 +201,9 @@ def full_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Sources]:
     embedder = retrieval.fit_text_embedder(text, "text")
     documents = tables.save_table(retrieval.embed(text, "text", embedder, "vector").drop("text"), new_folder(spark, "corpus"))
     # A reply for two requests in three; its search text is a document's own text.
-    asked = requests.where(F.col("request_id") % 3 != 0).select("request_id", (F.col("request_id") % 200).alias("doc_id"))
-    wanted = asked.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left")
+    searched = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = requests.where(F.col("request_id") % 3 != 0).select("request_id", (F.col("request_id") % searched.select(F.max("doc_id") + 1).scalar()).alias("doc_id"))
+    wanted = asked.join(searched, "doc_id", "left")
     replies = wanted.select(
         "request_id",
         F.to_json(F.struct(F.lit("Storm over the field").alias("primary_cause"), F.lit("Congestion").alias("secondary_cause"), F.col("text").alias("search_query"))).alias("cause_text"),

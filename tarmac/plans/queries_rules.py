@@ -261,20 +261,21 @@ def day_and_now(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return now, day
 
 
-PICK_SQL = """select ORIGIN as origin, d as timestamp, n,
+PICK_SQL = """select o as origin, d as timestamp, n,
     coalesce(case when live then nw.weather_code else dw.weathercode end, 0) as o_code,
-    coalesce(case when live then nw.temperature_2m else dw.temperature_2m_max end, 0) as o_temperature,
-    coalesce(case when live then nw.windspeed_10m else dw.windspeed_10m_max end, 0) as o_wind,
+    coalesce(case when live and nw.airport is null then 20e0 when live then nw.temperature_2m else dw.temperature_2m_max end, 0) as o_temperature,
+    coalesce(case when live and nw.airport is null then 8e0 when live then nw.windspeed_10m else dw.windspeed_10m_max end, 0) as o_wind,
     coalesce(case when live then nw.precipitation else dw.precipitation_sum end, 0) as o_precipitation
   from (select *, d = '2024-01-20' or d = '' as live from (
-      select ORIGIN, case when FL_NUMBER%40=0 then '' else strftime(FL_DATE, '%Y-%m-%d') end as d, count(*) as n from flights group by all) a) f
-  left join now_weather nw on nw.airport = ORIGIN left join day_weather dw on dw.airport = ORIGIN and strftime(dw.date, '%Y-%m-%d') = d"""
+      select case when FL_NUMBER%97=0 then 'XXX' else ORIGIN end as o, case when FL_NUMBER%40=0 then '' else strftime(FL_DATE, '%Y-%m-%d') end as d, count(*) as n from flights group by all) a) f
+  left join now_weather nw on nw.airport = o left join day_weather dw on dw.airport = o and strftime(dw.date, '%Y-%m-%d') = d"""
 
 
 @query("d2_pick_weather", oracle(PICK_SQL, "flights", "weather_hourly", **WEATHER_STEPS))
 def pick_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(F.col("FL_NUMBER") % 40 == 0, "").otherwise(F.date_format("FL_DATE", "yyyy-MM-dd"))
-    asked = flights(spark, sf_dir).groupBy(F.col("ORIGIN").alias("origin"), day.alias("timestamp")).agg(F.count(F.lit(1)).alias("n"))
+    origin = F.when(F.col("FL_NUMBER") % 97 == 0, "XXX").otherwise(F.col("ORIGIN"))  # an airport without weather
+    asked = flights(spark, sf_dir).groupBy(origin.alias("origin"), day.alias("timestamp")).agg(F.count(F.lit(1)).alias("n"))
     return weather.pick_weather(asked, *day_and_now(spark, sf_dir), TODAY, "origin", "timestamp", "o")
 
 
@@ -289,7 +290,7 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Flights with a made-up weather risk per end and a prediction, the input of the rules below.
 RISKY = """
-    select FL_DATE, AIRLINE, FL_NUMBER, ORIGIN as origin, DEST as destination, DEP_DELAY as prediction,
+    select FL_DATE, AIRLINE, FL_NUMBER, case when FL_NUMBER%97=0 then 'XXX' else ORIGIN end as origin, DEST as destination, DEP_DELAY as prediction,
       cast(greatest(0, trunc(coalesce(DEP_DELAY, 0))) as bigint) as baseline,
       case FL_NUMBER%5 when 0 then 'High' when 1 then 'Moderate' else 'Low' end as origin_risk,
       case CRS_DEP_TIME%7 when 0 then 'High' when 1 then 'Moderate' else 'Low' end as dest_risk,
@@ -301,7 +302,7 @@ RISKY = """
 def risky(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flights(spark, sf_dir)
     return rows.select(
-        "FL_DATE", "AIRLINE", "FL_NUMBER", F.col("ORIGIN").alias("origin"), F.col("DEST").alias("destination"),
+        "FL_DATE", "AIRLINE", "FL_NUMBER", F.expr("case when FL_NUMBER%97=0 then 'XXX' else ORIGIN end").alias("origin"), F.col("DEST").alias("destination"),
         F.col("DEP_DELAY").alias("prediction"), rules.baseline(F.coalesce("DEP_DELAY", F.lit(0.0))).alias("baseline"),
         F.expr("case FL_NUMBER%5 when 0 then 'High' when 1 then 'Moderate' else 'Low' end").alias("origin_risk"),
         F.expr("case CRS_DEP_TIME%7 when 0 then 'High' when 1 then 'Moderate' else 'Low' end").alias("dest_risk"),
@@ -311,8 +312,8 @@ def risky(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROFILE = """select * from (select ORIGIN as airport, case when ORIGIN = 'BOS' then 0e0 else avg(DELAY_DUE_WEATHER) end as mean_delay
-      from flights where DELAY_DUE_WEATHER > 0 and ORIGIN <> 'SEA' group by ORIGIN)
-    union all select '_GLOBAL_MEAN_', avg(DELAY_DUE_WEATHER) from flights where DELAY_DUE_WEATHER > 0 and ORIGIN <> 'SEA'"""
+      from flights where DELAY_DUE_WEATHER > 0 group by ORIGIN)
+    union all select '_GLOBAL_MEAN_', avg(DELAY_DUE_WEATHER) from flights where DELAY_DUE_WEATHER > 0"""
 FUSED = """
     select FL_DATE, AIRLINE, FL_NUMBER, origin, destination, origin_risk, dest_risk, status, baseline,
       greatest(baseline, cast(trunc(greatest(
@@ -324,8 +325,7 @@ FUSED = """
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flights(spark, sf_dir).where(F.col("ORIGIN") != "SEA")
-    table = weather_profile(rows, "ORIGIN", "DELAY_DUE_WEATHER")
+    table = weather_profile(flights(spark, sf_dir), "ORIGIN", "DELAY_DUE_WEATHER")
     return table.withColumn("mean_delay", F.when(F.col("airport") == "BOS", 0.0).otherwise(F.col("mean_delay")))
 
 
@@ -418,19 +418,19 @@ def root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PROGRAMME_SQL = f"""
     select destination, active_notam, notam_type, message, cast(penalty as bigint) as delay_penalty_minutes, n from (
-      select DEST as destination, count(*) as n, any_value(payload) as p from flights left join airport_events on airport_id = DEST group by DEST) f,
-      lateral (select coalesce((p->'$.groundStop'), (p->'$.groundDelay'), (p->'$.arrivalDelay')) is not null as active_notam,
-        case when (p->'$.groundStop') is not null then 'FAA GROUND STOP' when (p->'$.groundDelay') is not null then 'GROUND DELAY PROGRAM'
-          when (p->'$.arrivalDelay') is not null then 'ATC ARRIVAL DELAY' else 'None' end as notam_type,
-        case when (p->'$.groundStop') is not null then 'ATC GROUND STOP IN EFFECT: ' || ((p->'$.groundStop')->>'$.reason') || '. All inbound flights held at origin.'
-          when (p->'$.groundDelay') is not null then 'FAA GDP IN EFFECT: ' || ((p->'$.groundDelay')->>'$.reason') || '. Arrival capacity reduced.'
-          when (p->'$.arrivalDelay') is not null then 'FAA METERING DELAY: ' || ((p->'$.arrivalDelay')->>'$.reason') || '.' else {_quoted(fixed.NO_PROGRAMME_MESSAGE)} end as message,
-        case when (p->'$.groundStop') is not null then 120 when (p->'$.groundDelay') is not null then 1 when (p->'$.arrivalDelay') is not null then 30 else 0 end as penalty) x"""
+      select DEST as destination, count(*) as n, any_value(payload) as p from flights left join (select * from airport_events qualify row_number() over (partition by airport_id order by seq) = 1) e on airport_id = DEST group by DEST) f,
+      lateral (select coalesce(nullif(p->'$.groundStop', '{{}}'), nullif(p->'$.groundDelay', '{{}}'), nullif(p->'$.arrivalDelay', '{{}}')) is not null as active_notam,
+        case when nullif(p->'$.groundStop', '{{}}') is not null then 'FAA GROUND STOP' when nullif(p->'$.groundDelay', '{{}}') is not null then 'GROUND DELAY PROGRAM'
+          when nullif(p->'$.arrivalDelay', '{{}}') is not null then 'ATC ARRIVAL DELAY' else 'None' end as notam_type,
+        case when nullif(p->'$.groundStop', '{{}}') is not null then 'ATC GROUND STOP IN EFFECT: ' || ((p->'$.groundStop')->>'$.reason') || '. All inbound flights held at origin.'
+          when nullif(p->'$.groundDelay', '{{}}') is not null then 'FAA GDP IN EFFECT: ' || ((p->'$.groundDelay')->>'$.reason') || '. Arrival capacity reduced.'
+          when nullif(p->'$.arrivalDelay', '{{}}') is not null then 'FAA METERING DELAY: ' || ((p->'$.arrivalDelay')->>'$.reason') || '.' else {_quoted(fixed.NO_PROGRAMME_MESSAGE)} end as message,
+        case when nullif(p->'$.groundStop', '{{}}') is not null then 120 when nullif(p->'$.groundDelay', '{{}}') is not null then 1 when nullif(p->'$.arrivalDelay', '{{}}') is not null then 30 else 0 end as penalty) x"""
 
 
 @query("d9_atc_constraint", oracle(PROGRAMME_SQL, "flights", "airport_events"))
 def atc_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = feeds.parse_airport_events(view(spark, sf_dir, "airport_events"))
+    events = feeds.parse_airport_events(view(spark, sf_dir, "airport_events"), keep=("seq",))
     arrivals = flights(spark, sf_dir).groupBy(F.col("DEST").alias("destination")).agg(F.count(F.lit(1)).alias("n"))
     joined = lookups.join_events(arrivals, events)
     return joined.select("destination", "n", rules.atc_constraint(F.col("programme")).alias("p")).select("destination", "n", "p.*")

@@ -107,12 +107,14 @@ def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a6_precision_at_k",
     oracle(
-        """select avg(p) as precision, count(*) as queries from (
-             select query_id, count(*) filter (where e.label = query_id) / 5e0 as p from hits join embeddings e on e.vec_id = doc_id where rank <= 5 group by query_id) t""",
+        """select avg(coalesce(p, 0e0)) as precision, count(*) as queries from (select id as query_id from centroids union all select -1) q left join (
+             select query_id, count(*) filter (where e.label = query_id) / 5e0 as p from hits join embeddings e on e.vec_id = doc_id where rank <= 5 group by query_id) t using (query_id)""",
         **UP_TO_HITS,
     ),
 )
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("label"))
     labelled = hits(spark, sf_dir).join(labels, "doc_id")
-    return aggregates.precision_at_k(labelled, "query_id", "rank", F.col("label") == F.col("query_id"), 5)
+    # One query more that finds nothing.
+    asked = centroids(spark, sf_dir).select(F.col("id").alias("query_id")).unionByName(spark.range(-1, 0).withColumnRenamed("id", "query_id"))
+    return aggregates.precision_at_k(asked, labelled, "query_id", "rank", F.col("label") == F.col("query_id"), 5)

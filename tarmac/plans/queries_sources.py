@@ -103,11 +103,17 @@ POSITIONS_SQL = """
       on_ground, (not on_ground and coalesce(alt_m < 3048, false) and coalesce(vert_rate < -1, false)) as is_landing
     from (select *, count(*) over (partition by event_id // 50) as total,
             row_number() over (partition by event_id // 50 order by event_id) as place from state_vectors) t
-    where place <= 40 and event_id%29 <> 0 and lon is not null and lat is not null"""
+    where event_id%29 <> 0 and lon is not null and lat is not null"""
 
 
 @query("s4_parse_state_vectors", oracle(POSITIONS_SQL, "state_vectors"))
 def parse_state_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.parse_state_vectors(snapshots(spark, sf_dir), keep=("snapshot",))
+
+
+@query("l2_first_vectors", oracle(POSITIONS_SQL.replace("where event_id", "where place <= 40 and event_id"), "state_vectors"))
+def first_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut as a feature of its own: the first 40 of the 50 vectors of a snapshot."""
     return feeds.parse_state_vectors(snapshots(spark, sf_dir), keep=("snapshot",), max_vectors=40)
 
 
@@ -245,14 +251,14 @@ def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle(
         """select '{"type":"STREAM_UPDATE","timestamp":"' || cast(FL_DATE as varchar) || '","updates":[{"flight_id":"'
              || AIRLINE || cast(FL_NUMBER as varchar) || '","route":"' || ORIGIN || ' -> ' || DEST
-             || '","predicted_delay":' || cast(DEP_DELAY as varchar) || ',"status":"'
+             || '","predicted_delay":' || cast(coalesce(DEP_DELAY, 0e0) as varchar) || ',"status":"'
              || case when DEP_DELAY > 15 then 'DELAYED' else 'ON TIME' end || '","metar":null}]}' as message
-           from flights where DEP_DELAY is not null""",
+           from flights""",
         "flights",
     ),
 )
 def to_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = flights(spark, sf_dir).where(F.col("DEP_DELAY").isNotNull())
+    scored = flights(spark, sf_dir).withColumn("DEP_DELAY", F.coalesce("DEP_DELAY", F.lit(0.0)))
     return scored.select(
         tables.to_message(
             F.concat("AIRLINE", F.col("FL_NUMBER").cast("string")),

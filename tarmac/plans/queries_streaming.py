@@ -37,7 +37,7 @@ def position_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def position_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, checkpoint = new_folder(spark, "positions"), new_folder(spark, "checkpoint")
-    stream = positions.position_stream(position_source(spark, sf_dir), max_vectors=40)
+    stream = positions.position_stream(position_source(spark, sf_dir))
     jobs.append_stream(stream, out, checkpoint, once=True).awaitTermination()
     snapshot = ((F.unix_seconds("snapshot_time") - 1_704_067_200) / 300).cast("bigint")
     return spark.read.parquet(out).withColumn("snapshot", snapshot).drop("snapshot_time")
@@ -46,7 +46,7 @@ def position_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "t2_latest_snapshot",
     oracle(
-        f"""select * exclude (snapshot) from ({POSITIONS_SQL.replace('place <= 40', 'place <= 1000')}) p
+        f"""select * exclude (snapshot) from ({POSITIONS_SQL}) p
             where snapshot = (select max(event_id) // 50 from state_vectors)""",
         "state_vectors",
     ),

@@ -13,9 +13,9 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# 20 airports and 17 carriers the views draw from.
-_A = "'ATLORDDFWDENJFKLAXSFOSEAMIABOSCLTPHXIAHMCOEWRMSPDTWPHLLGABWI'"
-_C = "'DLAAUAWNB6ASNKF9HAMQYXOOOHYV9EQXG4'"
+# Codes of 20 airports and 17 carriers, one after the other, for views in SQL that both engines run.
+_A = "'" + "".join(code for code, *_ in fixed.AIRPORTS[:20]) + "'"
+_C = "'" + "".join(code for code, *_ in fixed.CARRIER_NAMES[:17]) + "'"
 
 
 def airport(index: str) -> str:
@@ -62,13 +62,15 @@ _VIEWS = {
           cast(event_id%21-12 as double) as vert_rate
         from events""",
     "airport_events": f"""
-        select {airport('n_nationkey')} as airport_id,
+        select {airport('n_nationkey%20')} as airport_id, n_nationkey as seq,
           case n_nationkey%4 when 0 then '{{"groundStop":{{"reason":"thunderstorms"}}}}'
             when 1 then '{{"groundDelay":{{"reason":"wind","avgDelay":"1 hours 15 minutes"}}}}'
-            when 2 then '{{"arrivalDelay":{{"reason":"volume"}}}}' else '{{}}' end as payload
-        from nation where n_nationkey < 20""",
+            when 2 then '{{"arrivalDelay":{{"reason":"volume"}}}}'
+            else case when n_nationkey%8=3 then '{{"groundStop":{{}}}}' else '{{}}' end end as payload
+        from nation""",
     "legs": """
-        select o_custkey%50 as tail, o_orderkey%40 as fl_day, o_orderkey as leg,
+        select case when o_orderkey%41=0 then null else o_custkey%50 end as tail,
+          case when o_orderkey%37=0 then null else o_orderkey%40 end as fl_day, o_orderkey as leg,
           case when o_orderkey%5<2 then (o_orderkey*11)%60 else 0 end as own_delay,
           (o_orderkey*13)%30 as slack
         from orders""",

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tarmac.functions.geo import is_landing_snapshot, si_to_aviation
 from tarmac.sources.schemas import AIRPORT_EVENT, CURRENT_DOCUMENT, DAILY_DOCUMENT, HOURLY_DOCUMENT, REPORT_DOCUMENT
 
-MAX_VECTORS = 1000
 MIN_VECTOR_LENGTH = 13
 MIN_FEED_LENGTH = 17
 
@@ -93,30 +92,41 @@ def positions(named: DataFrame, keep: tuple[str, ...], sign: Column, ground: str
 
 
 def parse_state_vectors(
-    df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), max_vectors: int = MAX_VECTORS
+    df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = (), max_vectors: int | None = None
 ) -> DataFrame:
-    """One snapshot document per row -> one row per aircraft, from its first `max_vectors`.
+    """One snapshot document per row -> one row per aircraft; `total` is the size of the snapshot.
 
-    The cut comes before the validity filter; `total` is the size of the whole snapshot.
+    With `max_vectors` only so many vectors are opened, counted before the validity filter.
     """
     states = F.from_json(payload, "states array<array<string>>")["states"]
     opened = df.select(*keep, states.alias("s")).where(F.col("s").isNotNull())
-    vectors = opened.select(*keep, F.size("s").cast("bigint").alias("total"), F.explode(F.slice("s", 1, max_vectors)).alias("v"))
+    wanted = F.col("s") if max_vectors is None else F.slice("s", 1, max_vectors)
+    vectors = opened.select(*keep, F.size("s").cast("bigint").alias("total"), F.explode(wanted).alias("v"))
     return vectors_to_positions(vectors, (*keep, "total"))
 
 
-def parse_airport_events(df: DataFrame, airport: str = "airport_id", payload: str = "payload") -> DataFrame:
+def _programmes(document: Column, members: Column) -> list[Column]:
+    """The three programmes of a document; one without any member counts as absent."""
+    return [F.when(F.size(members[f.name]) > 0, document[f.name]).alias(f.name) for f in AIRPORT_EVENT]
+
+
+_MEMBERS = ",".join(f"{f.name}:map<string,string>" for f in AIRPORT_EVENT)
+
+
+def parse_airport_events(df: DataFrame, airport: str = "airport_id", payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """One programme document per airport and row -> its three optional programmes."""
-    return df.select(F.col(airport).alias("airport_id"), F.from_json(payload, AIRPORT_EVENT).alias("e")).select(
-        "airport_id", "e.groundStop", "e.groundDelay", "e.arrivalDelay"
-    )
+    document, members = F.from_json(payload, AIRPORT_EVENT), F.from_json(payload, f"struct<{_MEMBERS}>")
+    opened = df.select(F.col(airport).alias("airport_id"), *keep, document.alias("e"), members.alias("m"))
+    return opened.select("airport_id", *keep, *_programmes(F.col("e"), F.col("m")))
 
 
 def parse_airport_event_list(df: DataFrame, payload: str = "payload") -> DataFrame:
     """A document that lists all airports' programmes -> one row per listed airport."""
     fields = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in AIRPORT_EVENT)
-    listed = df.select(F.explode(F.from_json(payload, f"array<struct<airportId:string,{fields}>>")).alias("e"))
-    return listed.select(F.col("e.airportId").alias("airport_id"), "e.groundStop", "e.groundDelay", "e.arrivalDelay")
+    documents = F.from_json(payload, f"array<struct<airportId:string,{fields}>>")
+    members = F.from_json(payload, f"array<struct<{_MEMBERS}>>")
+    listed = df.select(F.posexplode(F.arrays_zip(documents.alias("e"), members.alias("m"))).alias("seq", "x"))
+    return listed.select(F.col("x.e.airportId").alias("airport_id"), F.col("seq").cast("bigint").alias("seq"), *_programmes(F.col("x.e"), F.col("x.m")))
 
 
 def parse_flight_feed(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -173,3 +173,21 @@ FEATURES = (
     "CRS_ELAPSED_TIME", "AIRLINE", "ORIGIN_AIRPORT", "DESTINATION_AIRPORT",
     "FLIGHT_NUMBER", "ROUTE",
 )
+
+# The readings of an airport that has no current weather document.
+CALM_READINGS = {"code": 0.0, "temperature": 20.0, "wind": 8.0, "precipitation": 0.0}
+
+# The five named scenarios; columns are those of FEATURES that vary.
+SCENARIO_COLUMNS = (
+    "name", "MONTH", "DAY", "DAY_OF_WEEK", "HOUR", "MINUTE", "IS_RUSH_HOUR",
+    "CONCURRENT_DELAYS_AT_ORIGIN", "IS_HOLIDAY", "IS_HOLIDAY_WEEK", "ORIGIN_PRECIP",
+    "ORIGIN_WIND", "DEST_PRECIP", "DEST_WIND", "DISTANCE", "CRS_ELAPSED_TIME", "AIRLINE",
+    "ORIGIN_AIRPORT", "DESTINATION_AIRPORT", "FLIGHT_NUMBER",
+)
+SCENARIOS = (
+    ("1. The Early Bird (Clear Weather, No Congestion)", 7, 23, 4, 7, 10, 1, 0.0, 0, 0, 0.0, 5.0, 0.0, 5.0, 2704.0, 335.0, "DL", "SFO", "BOS", "400"),
+    ("2. The Rush Hour Thunderstorm", 7, 23, 4, 17, 30, 1, 45.0, 0, 0, 1.5, 30.0, 0.0, 5.0, 2475.0, 390.0, "AA", "JFK", "LAX", "100"),
+    ("3. The Perfect Mid-Day Cruise", 7, 23, 4, 14, 0, 0, 5.0, 0, 0, 0.0, 5.0, 0.0, 5.0, 888.0, 150.0, "UA", "DEN", "ORD", "200"),
+    ("4. The Holiday Cascade", 12, 23, 3, 19, 15, 1, 60.0, 0, 1, 0.0, 10.0, 0.0, 5.0, 990.0, 160.0, "WN", "MDW", "MCO", "500"),
+    ("5. The Windy Destination", 7, 23, 4, 9, 0, 1, 10.0, 0, 0, 0.0, 5.0, 0.0, 35.0, 2704.0, 390.0, "B6", "BOS", "SFO", "300"),
+)

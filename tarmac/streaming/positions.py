@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tarmac.sources.feeds import MAX_VECTORS, parse_state_vectors
+from tarmac.sources.feeds import parse_state_vectors
 from tarmac.sources.tables import table_exists
 
 POLL = "300 seconds"
 
 
 def position_stream(
-    source: DataFrame, payload: str = "payload", time: str = "snapshot_time", max_vectors: int = MAX_VECTORS
+    source: DataFrame, payload: str = "payload", time: str = "snapshot_time", max_vectors: int | None = None
 ) -> DataFrame:
     """Stream of snapshot documents (time, payload) -> stream of positions. Keeps no state."""
     return parse_state_vectors(source, payload, (time,), max_vectors)

@@ -135,3 +135,23 @@ def test_dimensions(spark):
     quoted = dims.inline_table(spark, ["a"], [("O'Hare \\ \n\"x\"",)]).first()["a"]
     assert quoted == "O'Hare \\ \n\"x\""
     assert dims.dim_city(spark).where(F.col("code") == "ATL").first()["city"] == "Atlanta"
+
+
+def test_repeated_documents_never_multiply_requests(spark):
+    """Two rows for a key on every right side: one row per request, from the newest or first."""
+    asked = spark.createDataFrame([("DL1", "ord"), ("DL2", "jfk")], "iata_flight string, destination string")
+    events = spark.createDataFrame(
+        [("ORD", 2, None, ("second", "1")), ("ORD", 1, None, ("first", "2"))],
+        "airport_id string, seq int, groundStop struct<reason:string>, groundDelay struct<reason:string,avgDelay:string>",
+    ).withColumn("arrivalDelay", F.lit(None).cast("struct<reason:string>"))
+    rows = lookups.join_events(asked, events).select("destination", "programme.groundDelay.reason").collect()
+    assert sorted((r[0], r[1]) for r in rows) == [("jfk", None), ("ord", "first")]
+    reports = spark.createDataFrame([("KORD", 1, "old"), ("KORD", 2, "new"), ("KORD", 3, " ")], "station string, valid int, report string")
+    rows = lookups.resolve_report(asked, "destination", [reports], "r").collect()
+    assert sorted(r["r"][:9] for r in rows) == ["KJFK AUTO", "new"]
+    feed = "iata_flight string, origin string, destination string, sched_epoch bigint, real_epoch bigint"
+    search = spark.createDataFrame([("DL1", "AAA", "BBB", 100, None), ("DL1", "CCC", "DDD", 200, None)], feed)
+    none = spark.createDataFrame([], feed)
+    second = spark.createDataFrame([], "iata_flight string, origin string, destination string, scheduled string, delay double, status string, departed string, arrived string")
+    rows = lookups.resolve_route(asked.select("iata_flight"), search, none, second, none.select("iata_flight", "origin", "destination")).collect()
+    assert sorted((r["iata_flight"], r["origin"]) for r in rows) == [("DL1", "CCC"), ("DL2", None)]

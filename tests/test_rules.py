@@ -143,3 +143,15 @@ def rules_flight_type():
     from tarmac.sources.schemas import EVENT
 
     return EVENT["flight"].dataType
+
+
+def test_programme_without_members_is_not_active(spark):
+    rows = [("ORD", '{"groundStop":{}}'), ("JFK", '{"groundStop":{},"arrivalDelay":{"reason":"volume"}}'), ("LAX", '{"groundStop":{"other":1}}')]
+    events = parse_airport_events(spark.createDataFrame(rows, "airport_id string, payload string"))
+    flights = spark.createDataFrame([(r[0],) for r in rows], "destination string")
+    got = lookups.join_events(flights, events).select("destination", rules.atc_constraint(F.col("programme")).alias("p")).collect()
+    assert {r["destination"]: r["p"]["notam_type"] for r in got} == {"ORD": "None", "JFK": "ATC ARRIVAL DELAY", "LAX": "FAA GROUND STOP"}
+    listed = spark.createDataFrame([('[{"airportId":"ORD","groundStop":{}},{"airportId":"JFK","groundDelay":{"reason":"wind"}}]',)], "payload string")
+    assert {r["airport_id"]: (r["seq"], r["groundStop"], r["groundDelay"] and r["groundDelay"]["reason"]) for r in parse_airport_event_list(listed).collect()} == {
+        "ORD": (0, None, None), "JFK": (1, None, "wind")
+    }

@@ -124,3 +124,11 @@ def test_cascade_without_slack_carries_everything(spark):
     rows = timeline.leg_cause(timeline.cascade(df, "tail", ["leg"], "own", "slack", "day"), "tail", ["day", "leg"]).collect()
     got = {r["leg"]: (r["total_delay"], r["leg_cause"]) for r in rows}
     assert got == {1: (90, "Weather"), 2: (90, "Late Aircraft"), 3: (90, "Late Aircraft")}
+
+
+def test_legs_without_tail_or_day_stay(spark):
+    legs = spark.createDataFrame([(1, 1, 10, 30, 0), (None, 1, 11, 20, 5), (1, None, 12, 40, 10), (None, 1, 13, 0, 5)], "tail int, day int, leg int, own int, slack int")
+    rows = timeline.leg_cause(timeline.cascade(legs, "tail", ["leg"], "own", "slack", "day"), "tail", ["day", "leg"]).collect()
+    assert {r["leg"]: (r["total_delay"], r["leg_cause"]) for r in rows} == {
+        12: (40, "Weather"), 10: (70, "Late Aircraft"), 11: (20, "Weather"), 13: (15, "Late Aircraft")
+    }
