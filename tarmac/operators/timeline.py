@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 MICROS = 1_000_000
 DAY = 86_400
+PIECES = 8
 
 
 def micros(time: Column) -> Column:
@@ -34,52 +35,77 @@ def rolling_points(
     time: str,
     value: str,
     width: int,
-    bucket: int = 0,
+    pieces: int = PIECES,
     at: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of `value` in [t - width, t) for every distinct (key, t). Columns: key, t, mean.
 
-    The t are those of `df`, or also those of `at` if given. Times are in seconds. The mean
-    is null where the range is empty.
+    The t are those of `df`, or those of `at` if given; then only the parts of `df` that their
+    ranges touch are kept. Times are in seconds, `pieces` a divisor of the width in microseconds.
+    The mean is null where the range is empty. Null and NaN values are left out.
 
-    A range sum is the sum of two running sums: what came before t in the bucket of t, and
-    what came from t - width on in that point's bucket (or less what came before it, if both
-    lie in one bucket). So the work per point does not depend on how many points a range has.
+    Time is cut into buckets of width / pieces. A range is the tail of the bucket it starts in,
+    the whole buckets after it, and the head of the bucket of t: a running sum from the end, a
+    sum of bucket totals and a running sum from the start. Nothing is subtracted, so neither a
+    large value nor one that is no number spoils a sum it is not part of.
     """
-    source = df.select(key, time, F.col(value).cast("double").alias("_v"))
+    span = width * MICROS
+    if span % pieces:
+        raise ValueError(f"{pieces} pieces do not divide {span} microseconds")
+    size = span // pieces
+    number = F.col(value).cast("double")
+    source = df.select(key, time, F.when(~F.isnan(number), number).alias("_v"))
     if at is not None:
-        source = source.unionByName(at.select(key, time).distinct().withColumn("_v", F.lit(None).cast("double")))
+        asked = at.select(key, time).distinct()
+        ends = asked.select(F.min(time).alias("low"), F.max(time).alias("high"))
+        low = ends.select((F.col("low").cast("timestamp") - F.expr(f"interval {width} seconds")).cast(df.schema[time].dataType)).scalar()
+        cell = whole_div(micros(F.col(time)), size)
+        touched = asked.withColumn("_bucket", F.explode(F.sequence(cell - pieces, cell))).select(key, "_bucket").distinct()
+        # The outer times prune files; the buckets then leave what some range can hold.
+        source = source.where(F.col(time).between(low, ends.select("high").scalar()))
+        source = source.withColumn("_bucket", cell).join(touched, [key, "_bucket"], "left_semi").drop("_bucket")
+        source = source.withColumn("_wanted", F.lit(False)).unionByName(asked.withColumns({"_v": F.lit(None).cast("double"), "_wanted": F.lit(True)}))
+    else:
+        source = source.withColumn("_wanted", F.lit(True))
     points = (
         source.groupBy(key, time)
-        .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"), F.count("_v").alias("_n"))
+        .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"), F.count("_v").alias("_n"), F.max("_wanted").alias("_wanted"))
         .withColumn("_t", micros(F.col(time)))
     )
-    size, span = max(bucket, width) * MICROS, width * MICROS
-
-    def mark(at_: Column, start: int, total: Column, count: Column) -> Column:
-        return F.struct(at_.alias("_at"), F.lit(start).alias("_start"), total.alias("_s"), count.alias("_c"))
-
-    # Every point stands at its own time, and once more, without a value, where its range
-    # starts. The start comes first on a tie, since the range includes that instant. A key's
-    # rows without a time are one point, which no join finds again.
-    own = mark(F.col("_t"), 0, F.col("_sum"), F.col("_n"))
-    start = mark(F.col("_t") - span, 1, F.lit(0.0), F.lit(0).cast("bigint"))
-    marks = (
-        points.select(key, time, "_t", F.inline(F.array(own, start)))
-        .withColumn("_bucket", whole_div(F.col("_at"), size))
-    )
+    zero = F.lit(0).cast("bigint")
+
+    def mark(at_: Column, kind: int, total: Column, count: Column) -> Column:
+        return F.struct(at_.alias("_at"), F.lit(kind).alias("_kind"), total.alias("_s"), count.alias("_c"))
+
+    # Every point stands at its own time (kind 1) and, without a value, where its range starts
+    # (kind 2). The sum of the whole buckets before a bucket stands at its beginning (kind 0). A
+    # key's rows without a time are one point, which no join finds again.
+    own = mark(F.col("_t"), 1, F.col("_sum"), F.col("_n"))
+    start = mark(F.col("_t") - span, 2, F.lit(0.0), zero)
+    marks = points.select(key, time, "_wanted", F.inline(F.array(own, start))).where("_kind = 1 or _wanted")
+    marks = marks.withColumn("_bucket", whole_div(F.col("_at"), size))
+    if pieces > 1:
+        totals = points.groupBy(key, whole_div(F.col("_t"), size).alias("_bucket")).agg(F.sum("_sum").alias("_s"), F.sum("_n").alias("_c"))
+        ahead = totals.withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") + 1, F.col("_bucket") + (pieces - 1))))
+        whole = ahead.groupBy(key, "_bucket").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+        marks = marks.unionByName(
+            whole.select(key, F.lit(None).cast(df.schema[time].dataType).alias(time), F.lit(False).alias("_wanted"), (F.col("_bucket") * size).alias("_at"), F.lit(0).alias("_kind"), "_s", "_c", "_bucket")
+        )
     inside = W.partitionBy(key, "_bucket")
-    sofar = inside.orderBy("_at", F.desc("_start")).rowsBetween(W.unboundedPreceding, 0)
-    same = F.col("_bucket") == whole_div(F.col("_t"), size)
+    head = inside.orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, -1)
+    tail = inside.orderBy(F.desc("_at"), "_kind").rowsBetween(W.unboundedPreceding, -1)
 
     def part(of: str) -> Column:
-        upto, total = F.sum(of).over(sofar), F.sum(of).over(inside)
-        return F.when(F.col("_start") == 0, upto - F.col(of)).when(same, -upto).otherwise(total - upto)
+        return F.when(F.col("_kind") == 1, F.sum(of).over(head)).when(F.col("_kind") == 2, F.sum(F.when(F.col("_kind") == 1, F.col(of))).over(tail))
+
+    parts = marks.withColumns({"_ps": part("_s"), "_pc": part("_c")}).where("_wanted")
+
+    def both(of: str, none: Column) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_kind") == 2, F.col(of))), none) + F.coalesce(F.max(F.when(F.col("_kind") == 1, F.col(of))), none)
 
-    parts = marks.select(key, time, part("_s").alias("_s"), part("_c").alias("_c"))
     return (
         parts.groupBy(key, time)
-        .agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+        .agg(both("_ps", F.lit(0.0)).alias("_s"), both("_pc", zero).alias("_c"))
         .select(key, time, (F.col("_s") / F.nullif(F.col("_c"), F.lit(0))).alias("mean"))
     )
 
@@ -91,7 +117,7 @@ def rolling_mean(
     value: str,
     width: int = 7200,
     out: str = "rolling_mean",
-    bucket: int = 0,
+    pieces: int = PIECES,
     history: DataFrame | None = None,
 ) -> DataFrame:
     """Every row with the mean of its key's rows in [t - width, t); 0 where there are none.
@@ -99,9 +125,9 @@ def rolling_mean(
     The values come from `history` (same columns) if given, else from the rows themselves.
     """
     if history is None:
-        points = rolling_points(df, key, time, value, width, bucket)
+        points = rolling_points(df, key, time, value, width, pieces)
     else:
-        points = rolling_points(history, key, time, value, width, bucket, at=df)
+        points = rolling_points(history, key, time, value, width, pieces, at=df)
     points = points.withColumnRenamed("mean", out)
     return df.join(points, [key, time], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 

@@ -290,6 +290,21 @@ def rolling_mean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "event_type", F.round("mean_value", 6).alias("mean_value"))
 
 
+# Values of very different size, some of them no numbers.
+MIXED = "case when event_id%50=0 then cast('nan' as double) when event_id%97=0 then 1e15 else 0.25e0 end"
+
+
+@query(
+    "f6_rolling_mean_mixed",
+    f"""select a.event_id, coalesce(sum(b.v) / nullif(count(b.v), 0), 0) as mean_value
+        from events a left join (select event_type, ts, case when event_id%50<>0 then {MIXED} end as v from events) b
+          on a.event_type = b.event_type and b.ts >= a.ts - interval 2 hours and b.ts < a.ts group by a.event_id""",
+)
+def rolling_mean_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("mixed", F.expr(MIXED))
+    return timeline.rolling_mean(events, "event_type", "ts", "mixed", 7200, "mean_value").select("event_id", "mean_value")
+
+
 @query(
     "f7_is_holiday",
     oracle(

@@ -29,11 +29,11 @@ def loop_mean(rows, key, at, width):
     return sum(inside) / len(inside) if inside else 0.0
 
 
-@pytest.mark.parametrize("width, bucket", [(7200, 0), (7200, 86_400), (600, 3600), (100_000, 60)])
-def test_rolling_mean_equals_loop(spark, width, bucket):
-    rows = random_flights(width + bucket)
+@pytest.mark.parametrize("width, pieces", [(7200, 8), (7200, 1), (600, 2), (100_000, 64)])
+def test_rolling_mean_equals_loop(spark, width, pieces):
+    rows = random_flights(width + pieces)
     df = spark.createDataFrame(rows, "id int, k string, t timestamp_ntz, v double")
-    got = {r["id"]: r["rolling_mean"] for r in timeline.rolling_mean(df, "k", "t", "v", width, bucket=bucket).collect()}
+    got = {r["id"]: r["rolling_mean"] for r in timeline.rolling_mean(df, "k", "t", "v", width, pieces=pieces).collect()}
     assert got == pytest.approx({i: loop_mean(rows, k, t, width) for i, k, t, _ in rows}, abs=1e-9)
 
 
@@ -54,6 +54,22 @@ def test_rolling_mean_over_a_history(spark):
     assert got == pytest.approx({i: loop_mean(rows, k, t, 7200) for i, k, t in asked}, abs=1e-9)
 
 
+def test_large_values_and_no_numbers_spoil_nothing(spark):
+    rows = [(1, 0, float("nan")), (2, 10, 1e17), (3, 100, 0.5), (4, 110, 0.25), (5, 215, 1.0), (6, 216, None), (7, 300, 2.0)]
+    df = spark.createDataFrame([(i, "A", minutes(m), v) for i, m, v in rows], "id int, k string, t timestamp_ntz, v double")
+    for pieces in (1, 8):
+        got = {r["id"]: r["rolling_mean"] for r in timeline.rolling_mean(df, "k", "t", "v", 7200, pieces=pieces).collect()}
+        assert got == {1: 0.0, 2: 0.0, 3: 1e17, 4: (1e17 + 0.5) / 2, 5: 0.375, 6: pytest.approx(1.75 / 3), 7: 1.0}
+
+
+def test_history_is_cut_to_the_asked_ranges(spark):
+    history = spark.range(1000).select(F.lit("A").alias("k"), F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz").alias("t"), F.lit(1.0).alias("v"))
+    asked = spark.createDataFrame([("A", dt.datetime(1970, 1, 2))], "k string, t timestamp_ntz")
+    points = timeline.rolling_points(history, "k", "t", "v", 7200, at=asked)
+    assert [(r["k"], r["mean"]) for r in points.collect()] == [("A", 1.0)]
+    assert "LeftSemi" in points._jdf.queryExecution().optimizedPlan().toString()
+
+
 def loop_asof(left, right, direction):
     out = {}
     for i, k, t in left:
