@@ -76,9 +76,16 @@ def _filled(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+def whole_json(text: Column) -> Column:
+    """Top-level members of a text that is one JSON object and nothing else; null otherwise."""
+    body = F.trim(text)
+    members = F.from_json(body, "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    return F.when(body.startswith("{") & body.endswith("}"), members)
+
+
 def action_reply(text: Column, default_action: str, default_reasoning: str) -> Column:
-    """Action and reasoning of an outside model's reply; null if unreadable."""
-    members = embedded_json(text)
+    """Action and reasoning of an outside model's reply; null unless the whole reply is JSON."""
+    members = whole_json(text)
     return F.when(
         members.isNotNull(),
         F.struct(

@@ -142,12 +142,16 @@ def lookup_flights(requests: DataFrame, history: DataFrame, query: str = "query"
     wanted = asked.where("_has_id").select(*keys).distinct()
     found = first_by(dated.join(wanted, keys, "left_semi"), keys, order).select(*keys, F.struct(*NORMALISED).alias("_found"))
 
-    def opening(df: DataFrame) -> Column:
-        row = F.struct(*NORMALISED)
-        return df.orderBy(*order).limit(1).select(row.alias("r")).scalar()
+    # Both opening rows from one pass: the least row in HISTORY_ORDER, of all and of the late.
+    row = F.struct(*order, "DAY_OF_WEEK")
+    opening = flights.agg(F.struct(F.min(row).alias("first"), F.min(F.when(F.col("DEPARTURE_DELAY") > 30, row)).alias("late")).alias("o")).scalar()
 
-    first_row = opening(flights)
-    first_late = F.coalesce(opening(flights.where(F.col("DEPARTURE_DELAY") > 30)), first_row)
+    def opened(name: str) -> Column:
+        found_row = opening.getField(name)
+        return F.when(found_row.isNotNull(), F.struct(*[found_row.getField(c).alias(c) for c in NORMALISED]))
+
+    first_row = opened("first")
+    first_late = F.coalesce(opened("late"), first_row)
     chosen = asked.join(found, keys, "left").withColumns(
         {
             "matched": F.when(~F.col("_has_id"), "none_asked").when(F.col("_found").isNull(), "first_row").otherwise("id"),

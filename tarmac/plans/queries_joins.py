@@ -11,7 +11,7 @@ from tarmac.plans.queries_sources import REPORTS_SQL, reports, snapshots
 from tarmac.plans.registry import query
 from tarmac.plans.views import airport, flights, oracle, table, view
 from tarmac.sources import dimensions as dims
-from tarmac.sources import feeds
+from tarmac.sources import feeds, tables
 
 
 def _asof(direction: str) -> str:
@@ -469,6 +469,8 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
         "FL_DATE", F.when(F.col("FL_NUMBER") % 50 == 0, "ZZ").otherwise(F.col("AIRLINE")).alias("AIRLINE"), "ORIGIN", "DEST",
         "FL_NUMBER", F.concat("ORIGIN", F.lit("_"), "DEST").alias("ROUTE"),
     )
-    return aggregates.encode(rows, fit_encoder(spark, sf_dir), ENCODER_COLUMNS)
+    # Read once per column, so it is stored first.
+    encoder = tables.save_table(fit_encoder(spark, sf_dir), new_folder(spark, "encoder"))
+    return aggregates.encode(rows, encoder, ENCODER_COLUMNS)
 
 

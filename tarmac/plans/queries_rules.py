@@ -184,7 +184,7 @@ def first_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select event_id, case event_id%6 when 0 then null when 5 then null when 1 then 'Unknown' else event_type end as primary_cause,
          case event_id%6 when 0 then null when 5 then null when 2 then 'None' else 'user ' || cast(user_id as varchar) end as secondary_cause,
          case event_id%6 when 0 then null when 5 then null when 1 then 'find ' || event_type when 2 then event_type else 'find ' || event_type end as search_query,
-         case event_id%6 when 0 then null when 5 then null when 3 then 'HOLD' when 4 then 'DIVERT' else 'PROCEED NORMALLY' end as action
+         case when event_id%6 in (0, 5) or user_id%2 = 1 then null when event_id%6 = 3 then 'HOLD' when event_id%6 = 4 then 'DIVERT' else 'PROCEED NORMALLY' end as action
        from events""",
 )
 def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +208,7 @@ def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = (
         F.when(kind == 0, F.lit("I cannot tell."))
         .when(kind == 5, F.lit('{"primary_cause": "cut off'))
+        .when(F.col("user_id") % 2 == 0, F.to_json(members))
         .otherwise(F.concat(F.lit("Here you are:\n```json\n"), F.to_json(members), F.lit("\n```")))
     )
     cause = text.cause_reply(F.col("reply"))

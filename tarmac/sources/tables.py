@@ -25,13 +25,14 @@ def table_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
 def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
     """A headed CSV read with the schema's types, columns matched by name.
 
-    Columns the file lacks are null, columns the schema lacks are not parsed into a type.
+    Columns the file lacks are null, columns the schema lacks are not parsed into a type. All files
+    of a folder must have the same header; one that differs fails the read, never shifts columns.
     Unreadable values become null; with `keep_corrupt` the line itself is kept beside them.
     """
     header = spark.read.option("header", True).csv(path).columns
     types = {f.name: f.dataType for f in schema}
     declared = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
     if keep_corrupt:
         declared = declared.add(CORRUPT, T.StringType())
         # With pruning a line's missing columns go unnoticed unless they are selected.

@@ -156,3 +156,21 @@ def test_report_file(spark, tmp_path):
 
     rows = first_report(tables.read_reports(spark, str(tmp_path / "r.csv")), "station", "valid", "metar").collect()
     assert [(r["station"], str(r["day"]), r["report"]) for r in rows] == [("KATL", "2023-05-01", "KATL 010452Z")]
+
+
+def test_files_with_another_column_order_fail(spark, tmp_path):
+    """Two extracts whose columns stand in a different order are never read by position."""
+    (tmp_path / "a.csv").write_text("FL_DATE,ORIGIN,DEST\n2023-01-01,ORD,LAX\n")
+    (tmp_path / "b.csv").write_text("FL_DATE,DEST,ORIGIN\n2023-01-02,LAX,ORD\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_flights(spark, str(tmp_path)).select("ORIGIN", "DEST").collect()
+    assert tables.read_flights(spark, str(tmp_path / "b.csv")).select("ORIGIN", "DEST").first() == ("ORD", "LAX")
+
+
+def test_folders_are_removed(spark, tmp_path):
+    from tarmac.workspace import remove_folder
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    remove_folder(spark, path)
+    assert not (tmp_path / "t").exists()
