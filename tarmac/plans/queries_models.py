@@ -191,11 +191,15 @@ def analyze_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_event(analyze(view(spark, sf_dir, "requests"), basic_sources(spark, sf_dir)))
 
 
-def full_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Sources]:
-    """Requests and sources with a model, positions, a searchable corpus and replies."""
+def full_sources(spark: SparkSession, sf_dir: str, two_stage: bool = False) -> tuple[DataFrame, Sources]:
+    """Requests and sources with a model (or the two-stage pair), positions, a searchable corpus and replies."""
     requests = view(spark, sf_dir, "requests")
     encoder, rows = prepared(spark, sf_dir)
-    model: PipelineModel = models.fit_delay(rows, SMALL)
+    fitted: dict[str, PipelineModel] = {}
+    if two_stage:
+        fitted["classifier"], fitted["late_model"] = models.fit_two_stage(rows, SMALL)
+    else:
+        fitted["model"] = models.fit_delay(rows, SMALL)
     documents = corpus(spark, sf_dir).drop("vector")
     text = documents.withColumn("text", retrieval.corpus_text(F.col("title"), F.col("content")))
     embedder = retrieval.fit_text_embedder(text, "text")
@@ -213,7 +217,7 @@ def full_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Sources]:
     positions = feeds.parse_state_vectors(snapshots(spark, sf_dir), keep=("snapshot",))
     profile = aggregates.weather_profile(flights(spark, sf_dir), "ORIGIN", "DELAY_DUE_WEATHER")
     sources = basic_sources(
-        spark, sf_dir, model=model, encoder=encoder, profile=profile, positions=positions,
+        spark, sf_dir, **fitted, encoder=encoder, profile=profile, positions=positions,
         position_order=("snapshot", "callsign", "lat", "lon"), corpus=documents, embedder=embedder,
         replies=replies, day_reports=day,
     )
@@ -225,6 +229,12 @@ def analyze_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_event(analyze(*full_sources(spark, sf_dir)))
 
 
+@query("analyze_two_stage")
+def analyze_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late or not first, then minutes of the late."""
+    return flat_event(analyze(*full_sources(spark, sf_dir, two_stage=True)))
+
+
 @query("x12_prompt_text")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = analyze(view(spark, sf_dir, "requests"), basic_sources(spark, sf_dir))
