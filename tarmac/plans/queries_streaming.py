@@ -58,31 +58,21 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.read_newest(spark, out).drop("snapshot_time")
 
 
-# A row is sent once the watermark, one hour behind the newest flight, has reached its time.
-CLOSED = """select p.ORIGIN as ORIGIN_AIRPORT, p.ts as SCHEDULED_TS, r.congestion as CONCURRENT_DELAYS_AT_ORIGIN
-    from (select distinct ORIGIN, ts from training) p join rolling r using (ORIGIN, ts)
-    where congestion is not null and p.ts <= (select max(ts) - interval 1 hour from training)"""
+# A flight is sent once the watermark, one hour behind the newest flight, has reached its time.
+CLOSED = """select ORIGIN as ORIGIN_AIRPORT, FL_NUMBER as FLIGHT_NUMBER, ts as SCHEDULED_TS, DEP_DELAY as DEPARTURE_DELAY,
+      coalesce(avg(DEP_DELAY) over (partition by ORIGIN order by ts
+        range between interval 2 hours preceding and interval 1 microsecond preceding), 0) as CONCURRENT_DELAYS_AT_ORIGIN
+    from training qualify ts <= (select max(ts) - interval 1 hour from training)"""
 
 
-@query(
-    "t3_congestion_stream",
-    oracle(
-        CLOSED,
-        "flights",
-        training=TRAINING,
-        rolling="""select ORIGIN, ts, sum(s) over w / nullif(sum(n) over w, 0) as congestion
-            from (select ORIGIN, ts, sum(DEP_DELAY) as s, count(*) as n from training group by ORIGIN, ts) p
-            window w as (partition by ORIGIN order by ts range between interval 2 hours preceding and interval 1 microsecond preceding)""",
-    ),
-)
+@query("t3_congestion_stream", oracle(CLOSED, "flights", training=TRAINING))
 def congestion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per flight that the watermark has reached."""
     out, checkpoint = new_folder(spark, "congestion"), new_folder(spark, "checkpoint")
     lines = jobs.file_stream(spark, sf_dir, table(spark, sf_dir, "lineitem").schema, names="lineitem.parquet")
-    stream = congestion.congestion_stream(with_schedule(training_rows(flights_over(lines))))
+    stream = congestion.congestion_stream(with_schedule(training_rows(flights_over(lines))), keep=("FLIGHT_NUMBER", "DEPARTURE_DELAY"))
     jobs.append_stream(stream, out, checkpoint, once=True).awaitTermination()
-    points = with_schedule(training_rows(flights(spark, sf_dir))).select("ORIGIN_AIRPORT", "SCHEDULED_TS").distinct()
-    sent = spark.read.parquet(out).withColumn("SCHEDULED_TS", F.col("SCHEDULED_TS").cast("timestamp_ntz"))
-    return points.join(sent, ["ORIGIN_AIRPORT", "SCHEDULED_TS"])
+    return spark.read.parquet(out).withColumn("SCHEDULED_TS", F.col("SCHEDULED_TS").cast("timestamp_ntz"))
 
 
 @query("t4_score_stream")
