@@ -235,7 +235,22 @@ def analyze_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_event(analyze(*full_sources(spark, sf_dir, two_stage=True)))
 
 
-@query("x12_prompt_text")
+# Without positions every flight has altitude and speed 0.
+PROMPT_SQL = f"""
+    select request_id, concat_ws(chr(10), 'Explain and decide the following flight event. Weather risks are given facts.',
+      'Flight: ' || carrier || ' ' || flight_id || ' from ' || origin || ' to ' || a.destination, 'Status: ' || coalesce(status, 'unknown'),
+      'Altitude (ft): 0', 'Speed (kt): 0', 'Predicted delay (min): ' || delay, 'Origin weather risk: ' || origin_risk, 'Destination weather risk: ' || dest_risk,
+      'Origin report: ' || raw_origin, 'Destination report: ' || raw_dest, 'Airport programme: ' || a.notam_type,
+      'Programme message: ' || coalesce(p.message, {_quoted(fixed.NO_PROGRAMME_MESSAGE)}), 'Programme delay (min): ' || penalty, 'Cause: ' || primary_cause,
+      'Guideline: ' || citation, 'A programme overrides the predicted delay. Below 15 minutes with low risks, proceed normally.',
+      'Reply with one JSON object: "primary_cause", "secondary_cause", "search_query", "action", "reasoning".') as prompt
+    from ({ANALYZE_SQL}) a left join programmes p on p.destination = a.destination"""
+
+
+@query(
+    "x12_prompt_text",
+    oracle(PROMPT_SQL, "normalised", "requests", "dim_carrier", "dim_hub", "weather_hourly", "airport_events", "dim_recommendation", **ANALYZE_STEPS),
+)
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = analyze(view(spark, sf_dir, "requests"), basic_sources(spark, sf_dir))
     return prompt_text(events).select("request_id", "prompt")
