@@ -24,6 +24,7 @@ from tarmac.llm.words import mix
 SAMPLE = 500  # documents of each language that the model is fitted on, at most
 LONGEST = 20_000  # characters of a document in that sample, at most
 BUCKETS = 1 << 15
+BLOCK = 1 << 19  # characters
 TEMPER = 0.25  # neighbouring trigrams say much the same, so each counts a quarter
 DRAW = 5.0  # pages that a level of the priors counts as much as
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
@@ -56,11 +57,24 @@ class Model:
     weights: np.ndarray  # log probability of each bucket in each language, buckets in rows
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
-        """Tempered log likelihood of each text in each language; 0 for a text without letters."""
-        gram, begins = trigrams(texts)
-        blank = gram == trigrams([""])[0][0]
-        rows = self.weights[gram] * ~blank[:, None]
-        return np.add.reduceat(rows, begins[:-1], axis=0) * TEMPER if texts else np.zeros((0, len(self.languages)))
+        """Tempered log likelihood of each text in each language; 0 for a text without letters.
+
+        Worked through in blocks, as every byte has a row of weights.
+        """
+        out = np.zeros((len(texts), len(self.languages)))
+        blank = trigrams([""])[0][0]
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size + len(texts[last]) <= BLOCK):
+                size += len(texts[last])
+                last += 1
+            gram, begins = trigrams(texts[first:last])
+            rows = self.weights[gram]
+            rows[gram == blank] = 0
+            out[first:last] = np.add.reduceat(rows, begins[:-1], axis=0) * TEMPER
+            first = last
+        return out
 
 
 def fit(texts: list[str], languages: list[str]) -> Model:
