@@ -93,7 +93,8 @@ def training_sample(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], lis
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(F.length("text") <= LONGEST)
     ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= size).select("doc_id")
-    rows = known.select("doc_id", "text", "lang").join(ids.distinct(), "doc_id", "left_semi").orderBy("doc_id").collect()
+    ids = F.broadcast(ids.distinct())  # `size` rows a language
+    rows = known.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").orderBy("doc_id").collect()
     return [r.text for r in rows], [r.lang for r in rows]
 
 
