@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.shared import in_batches, stored
+from tarmac.llm.shared import in_batches, spans_of, stored, utf8
 
 CAPACITY = 4096
 END = 1
 CELL_ROWS = 20_000
 CACHE = 400_000
 STRETCH = 1 << 20
+BORDER = b"|"
 _SPACE = re.compile(rb"[\x09-\x0d ]")
 
 
@@ -48,31 +49,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.fresh: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.border = self._ids([BORDER.decode()])[0]
 
-    def learn(self, stretches: set[bytes]) -> None:
-        todo = list(stretches)
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            for stretch, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self.fresh[stretch] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if len(text) <= STRETCH:
-            return self._encode(text)
-        out, at = [], 0
-        while at < len(text):
-            border = _SPACE.search(text, at + STRETCH)
-            end = border.end() if border else len(text)
-            out.append(self._encode(text[at:end]))
-            at = end
-        return b"".join(out)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, text: bytes) -> bytes:
-        stretches = text.split()
+    def learn(self, stretches: set[bytes]) -> None:
+        """Encode new stretches, many at a time with a border between; those that hold the border's sign, alone."""
+        joined = [x for x in stretches if BORDER not in x] if len(self.border) == 1 else []
+        groups = [joined[k : k + 64] for k in range(0, len(joined), 64)]
+        for group, ids in zip(groups, self._ids([b"\n|\n".join(x).decode() for x in groups])):
+            raw, first = ids.tobytes(), 0
+            for stretch, last in zip(group, [*np.flatnonzero(ids == self.border[0]).tolist(), len(ids)]):
+                self.fresh[stretch] = raw[4 * first : 4 * last]
+                first = last + 1
+        alone = list(stretches.difference(joined))
+        for stretch, ids in zip(alone, self._ids([x.decode() for x in alone])):
+            self.fresh[stretch] = ids.tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; new stretches of all are learnt together."""
+        split = [text.split() for text in texts]
         fresh, old = self.fresh, self.old
         unknown = set()
-        for x in set(stretches):
+        for x in set().union(*split):
             if x not in fresh:
                 if x in old:
                     fresh[x] = old[x]
@@ -80,11 +80,21 @@ class Encoder:
                     unknown.add(x)
         if unknown:
             self.learn(unknown)
-        out = b"".join([fresh[x] for x in stretches])
+        out = [b"".join([fresh[x] for x in own]) for own in split]
         if len(fresh) > CACHE:
             self.old, self.fresh = fresh, {}
         return out
 
+    def encode_long(self, text: bytes) -> bytes:
+        """The ids of one long text, worked through in stretches that end at white space."""
+        out, at = [], 0
+        while at < len(text):
+            border = _SPACE.search(text, at + STRETCH)
+            end = border.end() if border else len(text)
+            out += self.encode([text[at:end]])
+            at = end
+        return b"".join(out)
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
@@ -93,15 +103,19 @@ def encoder(path: str) -> Encoder:
 
 def _cut(path: str, capacity: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(path).encode
+        known = encoder(path)
         last = np.array([END], "<u4").tobytes()
         size = 4 * capacity
         rows, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(batch.column(1)):
-            ids = encode((text.as_py() or "").encode()) + last
-            for k in range(0, len(ids), size):
-                own = ids[k : k + size]
-                rows.append(i), piece.append(k // size), start.append(k // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
+        raw, offsets = utf8(batch.column(1))
+        for a, b in spans_of(offsets, STRETCH):
+            texts = [raw[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
+            found = [known.encode_long(texts[0])] if b == a + 1 else known.encode(texts)
+            for i, ids in zip(range(a, b), found):
+                ids += last
+                for k in range(0, len(ids), size):
+                    own = ids[k : k + size]
+                    rows.append(i), piece.append(k // size), start.append(k // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
         taken = batch.column(0).take(pa.array(rows, pa.int64()))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([taken, *(pa.array(x, t) for x, t in zip((piece, start, length, crc), kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
