@@ -11,7 +11,8 @@ at least 0.75. The steps:
 3. In every order a class becomes a candidate with the neighbours that follow it and share a
    prefix of at least three values, up to the first that shares six. In a thin region that
    takes in the whole region; in a crowded one the nearest neighbours share more values, so the
-   depth follows the region.
+   depth follows the region. There a class is also a candidate with the stretch's hub, the key
+   that most of its classes have: what many changed copies were made from.
    Rows at partition borders are matched in a second small step.
 4. Candidates are confirmed on the full sets, the best of every class first. Only pairs of
    classes that the confirmed links do not yet connect are looked at again, first the best for
@@ -149,6 +150,27 @@ def _near(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.nda
     return np.concatenate(left or empty), np.concatenate(right or empty), np.concatenate(depth or empty)
 
 
+def _hubs(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of a crowded stretch (equal in order and SURE values) its hub: a row with the commonest key there."""
+    n = len(ids)
+    empty = np.zeros(0, np.int64)
+    if n <= NEIGHBOURS:
+        return empty, empty
+    new_key = np.ones(n, bool)
+    new_key[1:] = (keys[1:] != keys[:-1]).any(axis=1) | (orders[1:] != orders[:-1])
+    new_run = np.ones(n, bool)
+    new_run[1:] = (keys[1:, :SURE] != keys[:-1, :SURE]).any(axis=1) | (orders[1:] != orders[:-1])
+    block = np.flatnonzero(new_key)
+    size = np.diff(np.append(block, n))
+    run = np.cumsum(new_run) - 1
+    order = np.lexsort((-block, size, run[block]))  # the largest block of a run comes last, the first of equal ones
+    last = np.append(run[block][order][1:] != run[block][order][:-1], True)
+    hub = block[order[last]][run]
+    crowded = np.bincount(run)[run] > NEIGHBOURS
+    rows = np.flatnonzero(crowded & (ids != ids[hub]))
+    return rows, hub[rows]
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one sorted partition; its first and last rows, for the border, as rows with a place."""
     place = TaskContext.get().partitionId()
@@ -179,7 +201,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             orders, keys, ids = (np.concatenate([x, y]) for x, y in zip(held, (orders, keys, ids)))
         left, right, depth = _near(orders, keys, ids)
         new = right >= old
-        left, right, depth = left[new], right[new], depth[new]
+        rows, hubs = _hubs(orders[old:], keys[old:], ids[old:])
+        left, right = np.concatenate([left[new], rows + old]), np.concatenate([right[new], hubs + old])
+        depth = np.concatenate([depth[new], np.full(len(rows), SURE)])
         a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
         n = len(a)
         none = np.full(n, -1, np.int32)
@@ -297,21 +321,30 @@ def linked_components(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, root) of the components of the true links among candidate pairs.
 
     First the best pair of every class, then the best of every two components, then all pairs
-    between components that are still apart.
+    between components that are still apart, and beside them each class with the best partner of
+    every candidate it was not linked to, and that one's: in a crowded region a changed copy sorts
+    next to other changed copies, whose best partner is what they all were copied from.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.struct("weight", "a", "b").alias("p"))
-    best = ends.groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    chosen = stored(ends.groupBy("id").agg(F.max("p").alias("p")).select("id", "p.a", "p.b"), "chosen")
+    best = chosen.select("a", "b").distinct()
     texts = stored(texts_of(docs, stored(ends.select("id").distinct(), "ids")), "texts")
     best = stored(best, "best")
     roots = components(confirmed(best, texts))
-    apart = stored(_rooted(pairs.join(best, ["a", "b"], "left_anti"), roots), "apart")
-    if apart.isEmpty():
+    cross = stored(_rooted(pairs, roots), "cross")
+    if cross.isEmpty():
         return roots
-    per_two = apart.groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(F.max(F.struct("weight", "a", "b")).alias("p"))
+    partner = chosen.select("id", (F.col("a") + F.col("b") - F.col("id")).alias("other"))
+    further = partner.join(partner.select(F.col("id").alias("other"), F.col("other").alias("third")), "other").select("id", "other", "third")
+    wider = [cross.select(F.col(x).alias("x"), F.col(m).alias("id")).join(further, "id").select("x", F.explode(F.array("other", "third")).alias("other")).where("x <> other") for x, m in (("a", "b"), ("b", "a"))]
+    wider = wider[0].unionByName(wider[1]).select(F.least("x", "other").alias("a"), F.greatest("x", "other").alias("b")).distinct()
+    wider = wider.join(pairs, ["a", "b"], "left_anti").withColumn("weight", F.lit(0).cast("long"))
+    apart = stored(cross.select("a", "b", "weight").unionByName(wider).join(best, ["a", "b"], "left_anti"), "apart")
+    per_two = _rooted(apart, roots).groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(F.max(F.struct("weight", "a", "b")).alias("p"))
     second = stored(per_two.select("p.a", "p.b"), "second")
     stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
     roots = components(stars.unionByName(confirmed(second, texts)))
-    rest = stored(_rooted(apart.drop("ra", "rb").join(second, ["a", "b"], "left_anti"), roots), "rest")
+    rest = stored(_rooted(apart.join(second, ["a", "b"], "left_anti"), roots), "rest")
     if rest.isEmpty():
         return roots
     stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
