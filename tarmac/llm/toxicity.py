@@ -210,13 +210,13 @@ class Network:
         return out
 
 
-def label_ties(buckets: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Per bucket the log odds of the label, drawn towards 0 by two standard errors."""
-    seen = np.unique(rows.astype(np.int64) << BITS | buckets)
-    bucket, row = seen & ((1 << BITS) - 1), seen >> BITS
-    bad = np.bincount(bucket, label[row], 1 << BITS)
-    good = np.bincount(bucket, 1 - label[row], 1 << BITS)
-    n = np.bincount(np.asarray(label[np.unique(rows)], int), minlength=2) + 1
+def label_ties(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Per bucket the log odds of the label, drawn towards 0 by two standard errors.
+
+    seen: how many texts of either class have each bucket; texts: how many there are of either.
+    """
+    good, bad = seen
+    n = texts + 1
     odds = np.log((bad + 0.5) / n[1]) - np.log((good + 0.5) / n[0])
     error = 2 * np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
     return (np.sign(odds) * np.maximum(np.abs(odds) - error, 0)).astype(np.float32)
@@ -256,15 +256,16 @@ def fit(texts: list[str], label: np.ndarray) -> Network:
     vocabulary, entry, at = read_words(np.frombuffer(b"".join(joined), np.uint8), offsets)
     first, end, count = windows(at)
     row = np.repeat(np.arange(len(texts)), count)
-    word_row = np.repeat(np.arange(len(texts)), np.diff(at))
 
     def ties(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.flatnonzero(chosen[word_row])
-        pair = np.unique(word_row[place].astype(np.int64) << 32 | entry[place])
-        r, e = pair >> 32, pair & 0xFFFFFFFF
-        n = np.diff(vocabulary.begins)[e]
-        spot = np.repeat(vocabulary.begins[e], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        return label_ties(vocabulary.word[e], r, label), label_ties(vocabulary.grams[spot], np.repeat(r, n), label)
+        """Ties of words and four-grams, counted text by text."""
+        by_word, by_gram = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
+        for r in np.flatnonzero(chosen):
+            own = part_of(vocabulary, np.unique(entry[at[r] : at[r + 1]]))
+            by_word[int(label[r]), np.unique(own.word)] += 1
+            by_gram[int(label[r]), np.unique(own.grams)] += 1
+        texts = np.bincount(label[chosen].astype(int), minlength=2)
+        return label_ties(by_word, texts), label_ties(by_gram, texts)
 
     half = np.zeros(len(texts), bool)
     for value in (0, 1):
