@@ -8,20 +8,22 @@ at least 0.75. The steps:
 2. A class has a signature of 128 MinHash values. Each of 24 orders takes eight of them, in an
    order of its own, as a sort key. All keys are range-partitioned and sorted, ties broken by
    the document, so no region, however crowded, lands in one task.
-3. In every order a class becomes a candidate with the neighbours that follow it and share a
-   prefix of at least three values, up to the first that shares six. In a thin region that
-   takes in the whole region; in a crowded one the nearest neighbours share more values, so the
-   depth follows the region. There a class is also a candidate with the stretch's hub, the key
-   that most of its classes have: what many changed copies were made from.
+3. In every order a class becomes a candidate with the four neighbours that follow it and share a
+   prefix of at least three values. In a thin region that takes in the whole region; in a
+   crowded one a class is also a candidate with the stretch's hub, the key that most of its
+   classes have: what many changed copies were made from.
    Rows at partition borders are matched in a second small step.
 4. Candidates are confirmed on the full sets, the best of every class first. Only pairs of
    classes that the confirmed links do not yet connect are looked at again, first the best for
    each two components, then every pair that is left. A pair inside one component cannot
    change the result.
-5. Components grow by alternating star contraction over stored tables.
+5. Classes of stretches with more rows than were compared are settled exactly: sets that are
+   similar enough share one of their rarest shingles (prefix filter), so these are joined, and
+   what the join pairs across components is confirmed on the full sets.
+6. Components grow by alternating star contraction over stored tables.
 
 A pair at the threshold shares a prefix of three in an order with probability 0.42, so all 24
-orders miss it with probability 2e-6, in a region with few other documents.
+orders miss it with probability 2e-6. A pair that shares one is compared, or settled by step 5.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ NEIGHBOURS = 4
 SURE = 6
 BLOCK = 2 << 20
 FILTER_BITS = 1 << 23
+RARITY_CELLS = 1 << 20
+SALTED = 4_096  # rows of a shingle that go to one task
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64))
 _FACTORS = (_SEEDS[:VALUES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (_SEEDS[VALUES:] >> np.uint64(32)).astype(np.uint32)
@@ -138,13 +142,11 @@ def _sort_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _near(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows at most NEIGHBOURS apart that share an order and LEAST values; positions and shared depth."""
     left, right, depth = [], [], []
-    open_ = np.ones(len(ids), bool)
     for step in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
         same = keys[:-step] == keys[step:]
         shared = np.logical_and.accumulate(same, axis=1).sum(axis=1)
         shared[orders[:-step] != orders[step:]] = 0
-        at = np.flatnonzero((shared >= LEAST) & (ids[:-step] != ids[step:]) & open_[:-step])
-        open_[:-step] &= shared < SURE
+        at = np.flatnonzero((shared >= LEAST) & (ids[:-step] != ids[step:]))
         left.append(at), right.append(at + step), depth.append(shared[at])
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(left or empty), np.concatenate(right or empty), np.concatenate(depth or empty)
@@ -295,19 +297,23 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where("ra <> rb")
 
 
+def _bit_map(bits: DataFrame) -> Broadcast:
+    """Which of FILTER_BITS numbers occur in `bits` (bit); of that size however many rows there are."""
+    marked = bits.select((F.col("bit") + 1).alias("x"))
+    cells = marked.groupBy(F.bitmap_bucket_number("x").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for cell, bits_ in cells:  # at most FILTER_BITS / 32768 rows
+        table[(cell - 1) * len(bits_) : cell * len(bits_)] = np.frombuffer(bytes(bits_), np.uint8)
+    return bits.sparkSession.sparkContext.broadcast(np.unpackbits(table, bitorder="little").astype(bool))
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents in `ids` (id), one row each.
 
-    A bit map of FILTER_BITS bits, of that size however many ids there are, keeps most other texts
-    out of the shuffle; the join then settles which rows belong.
+    A bit map keeps most other texts out of the shuffle; the join then settles which rows belong.
     """
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    marked = ids.select((bit + 1).alias("x"))
-    cells = marked.groupBy(F.bitmap_bucket_number("x").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for cell, bits in cells:  # at most FILTER_BITS / 32768 rows
-        table[(cell - 1) * len(bits) : cell * len(bits)] = np.frombuffer(bytes(bits), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table, bitorder="little").astype(bool))
+    sent = _bit_map(ids.select(bit.alias("bit")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(sent.value[batch.column(2).to_numpy(zero_copy_only=False)]))
@@ -351,6 +357,120 @@ def linked_components(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return components(stars.unionByName(confirmed(rest, texts)))
 
 
+def _stretches(marks: list[bytes]) -> np.ndarray:
+    """For each class (rows) and order (columns) a number of the stretch of LEAST values that it lies in."""
+    values = np.frombuffer(b"".join(marks), ">u2").reshape(-1, VALUES)[:, _order_columns()[:, :LEAST]].astype(np.uint64)
+    out = np.broadcast_to(np.arange(ORDERS, dtype=np.uint64), values.shape[:2])
+    for k in range(LEAST):
+        out = out << np.uint64(16) | values[:, :, k]
+    return out.astype(np.int64)
+
+
+def crowded(classes: DataFrame) -> DataFrame:
+    """(id) of the classes in stretches with more rows than are compared with each other.
+
+    Kept as a bit map of fixed size, which may take in others as well but leaves none out.
+    """
+
+    def every(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_stretches(batch.column(0).to_pylist()).reshape(-1))], names=["stretch"])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = mix(_stretches(batch.column(1).to_pylist()).astype(np.uint64)) % np.uint64(FILTER_BITS)
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sent.value[bits].any(axis=1)))], names=["id"])
+
+    def bit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(FILTER_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int64))], names=["bit"])
+
+    counted = in_batches(classes.select("mark"), every, "stretch bigint").groupBy("stretch").agg(F.count("*").alias("n"))
+    sent = _bit_map(in_batches(counted.where(F.col("n") > NEIGHBOURS + 1).select("stretch"), bit, "bit bigint"))
+    return in_batches(classes.select("rep", "mark"), work, "id bigint")
+
+
+def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    """The shingle set of every row, sorted."""
+    raw, offsets = utf8(batch.column(column))
+    for a, b in spans_of(offsets, BLOCK):
+        shingles, begins = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for row in range(b - a):
+            yield np.unique(shingles[begins[row] : begins[row + 1]])
+
+
+def _rarity(texts: DataFrame) -> Broadcast:
+    """About how many sets hold a shingle: counts of RARITY_CELLS cells, which shingles share by their hash."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(RARITY_CELLS, np.int64)
+        for batch in batches:
+            for own in _sets(batch, 0):
+                np.add.at(held, own % np.uint64(RARITY_CELLS), 1)
+        cells = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held[cells])], names=["cell", "n"])
+
+    rows = texts.select("text").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = rows.toArrow()  # at most RARITY_CELLS rows
+    table = np.zeros(RARITY_CELLS, np.int64)
+    table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return texts.sparkSession.sparkContext.broadcast(table)
+
+
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """(shingle, id, n, p): the first n // 4 + 1 of each set's n shingles, rarest first, and their place p.
+
+    The order is the same for all sets. Sets of sizes s <= t that link share at least
+    3 / 7 (s + t) shingles, so the first one they share has a place of at most s / 7 in the
+    smaller and t / 4 in the larger.
+    """
+    ready(texts.sparkSession)
+    sent = _rarity(texts)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        first = []
+        for own in _sets(batch, 1):
+            order = np.lexsort((own, sent.value[own % np.uint64(RARITY_CELLS)]))
+            first.append((own[order[: len(own) // 4 + 1]], len(own)))
+        held = np.array([len(x) for x, _ in first], np.int64)
+        shingle = np.concatenate([x for x, _ in first] or [np.zeros(0, np.uint64)]).view(np.int64)
+        place = np.arange(len(shingle)) - np.repeat(np.cumsum(held) - held, held)
+        size = np.repeat(np.array([n for _, n in first], np.int64), held)
+        return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.repeat(ids, held)), pa.array(size), pa.array(place)], names=["shingle", "id", "n", "p"])
+
+    return in_batches(texts.select("id", "text"), work, "shingle bigint, id bigint, n bigint, p bigint")
+
+
+def settled(roots: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """`roots` (id, root) with every link among the classes in `ids` (id), found by their rarest shingles.
+
+    Only classes of different components are paired. Of a shingle's rows those of its commonest
+    component meet just the others, and hot shingles are dealt out by hash.
+    """
+    texts = stored(texts_of(docs, ids), "texts")
+    rows = rare_shingles(texts).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = stored(rows, "rare")
+    held = rows.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("roots"))
+    held = held.where("roots > 1").select("shingle", F.col("m.root").alias("main"), F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
+    rows = stored(rows.join(held, "shingle").withColumn("common", F.col("root") == F.col("main")).drop("main"), "rare")
+    less = rows.where("7 * p <= n").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    more = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    renamed = lambda df, x: df.select("shingle", "salt", *(F.col(c).alias(f"{c}{x}") for c in ("id", "root", "n", "p")))
+    met = None
+    for left, right in ((less.where("not common"), more), (less.where("common"), more.where("not common"))):
+        both = renamed(left, 1).join(renamed(right, 2), ["shingle", "salt"])
+        both = both.where("root1 <> root2 and (n1 < n2 or n1 = n2 and id1 < id2) and 7 * least(n1 - p1, n2 - p2) >= 3 * (n1 + n2)")
+        met = both if met is None else met.unionByName(both)
+    # Shared shingles up to the last places, and all that may follow.
+    most = F.count("*") + F.least(F.max(F.col("n1") - 1) - F.max("p1"), F.max(F.col("n2") - 1) - F.max("p2"))
+    pairs = met.groupBy("id1", "id2").agg(most.alias("most"), F.max(F.col("n1") + F.col("n2")).alias("n"))
+    pairs = stored(pairs.where("7 * most >= 3 * n").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")), "settling")
+    links = stored(confirmed(pairs, texts), "links")
+    if links.isEmpty():
+        return roots
+    stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return components(stars.unionByName(links))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
 
@@ -368,6 +488,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     pairs = stored(candidates(classes), "pairs")
     roots = linked_components(pairs, docs)
+    unsettled = stored(crowded(classes), "crowded")
+    if not unsettled.isEmpty():
+        roots = settled(roots, unsettled, docs)
     rooted = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("component")
     )

@@ -101,6 +101,17 @@ def test_candidate_pairs_grow_with_the_rows_only(spark):
     assert {c for _, _, c, _ in result(frame(spark, rows))} == {0}
 
 
+def test_links_inside_a_crowd_of_unlinked_texts(spark):
+    """600 texts on one template, about 0.7 alike; among them 30 pairs of 0.8, which few sort next to each other."""
+    template = [f"t{k}" for k in range(165)]
+    rows = [(k, " ".join(template + [f"o{k}x{j}" for j in range(35)])) for k in range(600)]
+    for k in range(30):
+        own = rows[k][1].split()
+        rows.append((1000 + k, " ".join(own[:183] + [f"p{k}x{j}" for j in range(17)])))
+    got = {i: c for i, _, c, _ in result(frame(spark, rows))}
+    assert got == {k: k for k in range(600)} | {1000 + k: k for k in range(30)}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.root for r in minhash.components(frame(spark, links, "a bigint, b bigint")).collect()}
