@@ -50,6 +50,7 @@ TOP = frozenset("header masthead".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
@@ -100,7 +101,6 @@ def parse(page: str) -> tuple[Node, list[Block]]:
     at, blocks = root, []
     pieces: list[str] = []
     linked, in_link, links = 0, 0, []
-    skip = ""
 
     def end_block() -> None:
         nonlocal linked, links
@@ -122,12 +122,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
                 return
             node = node.parent
 
-    for token in _TOKEN.finditer(page):
+    place = 0
+    while token := _TOKEN.match(page, place):
+        place = token.end()
         text = token[4]
-        if skip:
-            if token[1] and token[2].lower() == skip:
-                skip = ""
-            continue
         if text is not None:
             plain = html.unescape(text) if "&" in text else text
             pieces.append(plain)
@@ -153,8 +151,9 @@ def parse(page: str) -> tuple[Node, list[Block]]:
                 end_block()
                 at, in_link = node.parent, 0
         elif tag in RAW:
-            if not token[3].endswith("/"):
-                skip = tag
+            if not token[3].endswith("/"):  # what it holds is no markup, up to its literal end tag
+                end = _RAW_END[tag].search(page, place)
+                place = end.end() if end else len(page)
         elif tag not in VOID:
             end_block()
             if tag in ENDS_P:
@@ -179,7 +178,13 @@ def _above(node: Node | None):
 
 
 def _has_article(node: Node) -> bool:
-    return any((x.tag in ("article", "main") and not x.named) or _has_article(x) for x in node.children)
+    todo = list(node.children)
+    while todo:
+        x = todo.pop()
+        if x.tag in ("article", "main") and not x.named:
+            return True
+        todo += x.children
+    return False
 
 
 def _menu(node: Node) -> bool:
@@ -202,17 +207,19 @@ def kept_blocks(root: Node, blocks: list[Block], noise: frozenset[int] = frozens
     marked = any(x.tag in ("article", "main") and not any(y.named == "remark" for y in _above(x)) for b in blocks for x in _above(b.node))
     gone: dict[int, bool] = {}
 
-    def dropped(node: Node) -> bool:
-        if node.parent is None:
-            return False
-        key = id(node)
-        if key not in gone:
+    def dropped(last: Node) -> bool:
+        chain = []
+        for node in _above(last):
+            if id(node) in gone:
+                break
+            chain.append(node)
+        for node in reversed(chain):
             inside = any(x.tag in ("article", "main") for x in _above(node.parent))
             own = node.named == "remark" or (node.named == "noise" or node.named == "top" and not inside) and node.tag not in ("body", "html", "article", "main") and not _has_article(node)
             if not own and not inside and node.tag in ("ul", "ol", "div", "table", "section", "p") and not _has_article(node):
                 own = _menu(node)
-            gone[key] = own or dropped(node.parent)
-        return gone[key]
+            gone[id(node)] = own or gone.get(id(node.parent), False)
+        return gone.get(id(last), False)
 
     left = [b for b in blocks if not dropped(b.node) and (not marked or any(x.tag in ("article", "main") for x in _above(b.node)))]
     if noise:

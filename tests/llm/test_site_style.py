@@ -31,6 +31,20 @@ def test_one_page(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<script>for(i=0;i<n;i++)s+=i</script><p>Body</p>", "Body"),
+        ("<style>a{}<!-- b{}</style><p>Body</p>", "Body"),
+        ("<script>x='<!--'</SCRIPT ><p>Body</p>", "Body"),
+        ("<script>'</scripts>'</script><p>Body</p><script>open", "Body"),
+        ("<div>" * 1500 + "deep", "deep"),
+    ],
+)
+def test_text_after_raw_elements_and_deep_pages(page, want):
+    assert text(page) == want
+
+
 def test_repeated_branches_of_a_host_go(spark):
     """Blocks without telling names, the same on every page of a host, are learnt as noise."""
     pages = []
