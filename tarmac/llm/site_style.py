@@ -201,11 +201,16 @@ def _menu(node: Node) -> bool:
 def kept_blocks(root: Node, blocks: list[Block], noise: frozenset[int] = frozenset()) -> list[Block]:
     """The article's blocks: what no named branch, menu or noise node of the host's tree holds.
 
-    Where a page marks its article, only that is kept. A noise node that holds more than half of
-    the text that is left stays: a host of near copies repeats its articles too.
+    Where a page marks its article, only that is kept. A named branch that holds more than half of
+    the page's text is no menu, and stays, as does a noise node with more than half of the text
+    that is left: a host of near copies repeats its articles too.
     """
-    marked = any(x.tag in ("article", "main") and not any(y.named == "remark" for y in _above(x)) for b in blocks for x in _above(b.node))
     gone: dict[int, bool] = {}
+    size: dict[int, int] = {}
+    for b in blocks:
+        for x in _above(b.node):
+            size[id(x)] = size.get(id(x), 0) + len(b.text)
+    whole = sum(len(b.text) for b in blocks)
 
     def dropped(last: Node) -> bool:
         chain = []
@@ -215,13 +220,19 @@ def kept_blocks(root: Node, blocks: list[Block], noise: frozenset[int] = frozens
             chain.append(node)
         for node in reversed(chain):
             inside = any(x.tag in ("article", "main") for x in _above(node.parent))
-            own = node.named == "remark" or (node.named == "noise" or node.named == "top" and not inside) and node.tag not in ("body", "html", "article", "main") and not _has_article(node)
+            # An article inside another that is named a remark is one.
+            holds = node.tag in ("body", "html", "main") or node.tag == "article" and not (inside and node.named == "remark") or _has_article(node)
+            own = (node.named in ("noise", "remark") or node.named == "top" and not inside) and not holds
+            if own and 2 * size.get(id(node), 0) > whole:
+                own = _menu(node)
             if not own and not inside and node.tag in ("ul", "ol", "div", "table", "section", "p") and not _has_article(node):
                 own = _menu(node)
             gone[id(node)] = own or gone.get(id(node.parent), False)
         return gone.get(id(last), False)
 
-    left = [b for b in blocks if not dropped(b.node) and (not marked or any(x.tag in ("article", "main") for x in _above(b.node)))]
+    left = [b for b in blocks if not dropped(b.node)]
+    held_by_article = [b for b in left if any(x.tag in ("article", "main") for x in _above(b.node))]
+    left = held_by_article or left
     if noise:
         total = sum(len(b.text) for b in left)
         held: dict[int, int] = {}

@@ -45,6 +45,24 @@ def test_text_after_raw_elements_and_deep_pages(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single comments-open'><p>The story</p></body>",
+        "<article class='post has-comments'><p>The story</p></article>",
+        "<div id='discussion-page'><article><p>The story</p></article></div>",
+        "<form id='aspnetForm'><div class=menu>m</div><p>The story</p></form>",
+        "<div class='layout no-sidebar'><p>The story</p><div class=comments>c</div></div>",
+        "<div class='wrapper ad-free'><p>The story</p></div>",
+        "<div class='search-page'><p>The story</p></div><footer>f</footer>",
+        "<div class='widget-main'><p>The story</p></div>",
+        "<article><p>The story</p><article class=comment>c</article></article>",
+    ],
+)
+def test_named_branches_that_hold_the_story_stay(page):
+    assert text(page) == "The story"
+
+
 def test_repeated_branches_of_a_host_go(spark):
     """Blocks without telling names, the same on every page of a host, are learnt as noise."""
     pages = []
