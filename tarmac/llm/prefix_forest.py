@@ -9,7 +9,8 @@ that finds 96 % of their true neighbours is taken, up to all vectors where the d
 structure to use. Every vector is indexed and every candidate scored exactly.
 
 Equal vectors are one entry with its 21 smallest ids, which is all that any query can need.
-A prefix with many vectors is split into chunks, each scored by a task of its own.
+A prefix with many vectors is split into chunks and its queries into blocks; every block meets
+every chunk in a group of its own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ EVERY = 20
 SAMPLE = 96  # queries the search effort is fitted on
 RECALL = 0.96
 CHUNK = 8_192
+QUERIES = 16_384  # queries of a prefix that are scored in one group
 MOST_LEVELS = 24
 
 
@@ -120,17 +122,20 @@ def _best(query: np.ndarray, points: np.ndarray, ids: np.ndarray, n: int) -> tup
     return near[order], exact[order]
 
 
-def _score(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The best entries of one chunk of one prefix for every query that stands on it."""
-    out: list[tuple] = []
-    if left.num_rows and right.num_rows:
-        points, ids = _matrix(right.column("vector").combine_chunks()), right.column("cls").to_numpy()
-        queries = _matrix(left.column("vector").combine_chunks())
-        for q, query in zip(left.column("cls").to_pylist(), queries):
-            near, exact = _best(query, points, ids, NEAREST + 1)
-            out += [(q, int(ids[k]), float(s)) for k, s in zip(near, exact)]
-    q, cls, score = zip(*out) if out else ((), (), ())
-    return pa.table({"q": pa.array(q, pa.int64()), "cls": pa.array(cls, pa.int64()), "score": pa.array(score, pa.float64())})
+def _scorer(n: int):
+    """The n best entries of one chunk of one prefix for every query of one block that stands on it."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, cls, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            points, ids = _matrix(right.column("vector").combine_chunks()), right.column("cls").to_numpy()
+            queries = _matrix(left.column("vector").combine_chunks())
+            for q, query in zip(left.column("cls").to_pylist(), queries):
+                near, exact = _best(query, points, ids, n)
+                asked.append(np.full(len(near), q, np.int64)), cls.append(ids[near]), scores.append(exact)
+        return pa.table({"q": pa.array(np.concatenate(asked)), "cls": pa.array(np.concatenate(cls)), "score": pa.array(np.concatenate(scores))})
+
+    return score
 
 
 def exhaustive(sample: list[tuple[int, bytes, int]], points: DataFrame, n: int) -> DataFrame:
@@ -229,16 +234,17 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
     # At level 0 every tree holds everything, so one is asked.
     requests = requests.where("level > 0 or tree = 0").withColumn("prefix", F.when(F.col("level") > 0, _prefix(F.col("level"))).otherwise(F.lit(0).cast("long")))
     sizes = held.unionByName(points.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix"), "n"))
-    buckets = stored(requests.select(*at).distinct().join(sizes, at).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).select(*at, "chunks"), "buckets")
+    buckets = stored(requests.groupBy(*at).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")).join(sizes, at).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).select(*at, "chunks", "blocks"), "buckets")
     used = [r.level for r in buckets.select("level").distinct().collect()]  # at most MOST_LEVELS + 1 rows
     offered = _levels(points, F.array(*(F.lit(k) for k in used)) if used else F.array().cast("array<int>"))
     offered = offered.withColumn("prefix", F.when(F.col("level") > 0, F.col("prefix")).otherwise(F.lit(0).cast("long")))
-    offered = offered.join(buckets, at).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    offered = offered.join(buckets, at).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asking = requests.join(buckets, at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = [*at, "chunk"]
+    asking = asking.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    key = [*at, "block", "chunk"]
     one = asking.select(*key, "cls", "vector").groupBy(*key)
     two = offered.select(*key, "cls", "vector").groupBy(*key)
-    scored = one.cogroup(two).applyInArrow(_score, "q bigint, cls bigint, score double")
+    scored = one.cogroup(two).applyInArrow(_scorer(nearest + 1), "q bigint, cls bigint, score double")
 
     best = scored.distinct().withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("n") <= nearest + 1).drop("n")
     members = best.join(found.select("cls", F.explode("ids").alias("vec_id")), "cls").select("q", "vec_id", "score")

@@ -48,6 +48,19 @@ def test_structure_is_used(spark):
     assert recall(result(frame(spark, rows, VECTORS)), plain(rows)) >= 0.9
 
 
+def test_more_neighbours_from_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(f, "QUERIES", 8)
+    monkeypatch.setattr(f, "CHUNK", 16)
+    x = np.random.default_rng(4).standard_normal((120, 8)).astype(np.float32)
+    rows = [(k, v.tolist(), "") for k, v in enumerate(x)]
+    got: dict[int, set[int]] = {}
+    for r in f.search(frame(spark, rows, VECTORS), every=2, nearest=30).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain(rows, 2, 30)
+    assert set(got) == set(want) and all(len(near) == 30 for near in got.values())
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 30 * len(want)
+
+
 def test_odd_and_repeated_vectors(spark):
     same = [0.5, -0.5, 0.0]
     rows = [(k, same, "") for k in range(0, 300)]
