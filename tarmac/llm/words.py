@@ -1,7 +1,7 @@
 """Words of whole texts as 64-bit numbers, computed over byte arrays without a loop per word.
 
 A word's number is a polynomial over a table of 256 mixed values, taken modulo 2**64 from
-running sums, then mixed. Upper-case A-Z counts as lower case. Texts are handled in pieces
+running sums, then mixed. Upper-case A-Z counts as lower case, unless CASED is asked for. Texts are handled in pieces
 that end between words, so that memory follows the piece and the number of words.
 """
 
@@ -29,13 +29,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _letters() -> np.ndarray:
+def _letters(fold: bool) -> np.ndarray:
     codes = np.arange(256, dtype=np.uint64)
-    upper = (codes >= 65) & (codes <= 90)
+    upper = (codes >= 65) & (codes <= 90) & fold
     return mix(np.where(upper, codes + np.uint64(32), codes) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x1234567))
 
 
-LETTERS = _letters()
+LETTERS, CASED = _letters(True), _letters(False)
 _UP, _DOWN = _powers(_BASE, PIECE + 1), _powers(_BACK, PIECE + 1)
 
 SPACED = np.ones(256, bool)
@@ -44,18 +44,19 @@ ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
 
 
-def _piece(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _piece(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> np.ndarray:
     n = len(raw)
     up, down = (_UP, _DOWN) if n <= PIECE else (_powers(_BASE, n + 1), _powers(_BACK, n + 1))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(LETTERS[raw] * up[:n], out=sums[1:])
+    np.cumsum(letters[raw] * up[:n], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, letters: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers, byte starts and byte ends of all words; and for each row where its words begin (n + 1).
 
     `inside` tells which bytes belong to words; a word never reaches over a row's border.
+    With CASED as `letters`, upper and lower case differ.
     """
     n = len(raw)
     is_in = np.zeros(n + 2, bool)
@@ -71,7 +72,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     while first < len(starts):
         base = starts[first]
         last = max(int(np.searchsorted(ends, base + PIECE, "right")), first + 1)
-        out[first:last] = _piece(raw[base : ends[last - 1]], starts[first:last] - base, ends[first:last] - base)
+        out[first:last] = _piece(raw[base : ends[last - 1]], starts[first:last] - base, ends[first:last] - base, letters)
         first = last
     return out, starts, ends, np.searchsorted(starts, offsets)
 
