@@ -4,22 +4,23 @@ Documents are linked when the sets of their five-word shingles have a Jaccard si
 at least 0.75. The steps:
 
 1. Equal shingle sets become one class (grouped by a 128-bit digest of the set, combined
-   before the shuffle), so copies never meet as pairs.
-2. A class has a signature of 128 MinHash values. Each of 24 orders takes eight of them, in an
+   before the shuffle), so copies never meet as pairs. A class has a number of its own, one text,
+   and the smallest doc_id of its documents.
+2. A class has a signature of 128 MinHash values. Each of 24 orders takes twelve of them, in an
    order of its own, as a sort key. All keys are range-partitioned and sorted, ties broken by
-   the document, so no region, however crowded, lands in one task.
-3. In every order a class becomes a candidate with the four neighbours that follow it and share a
-   prefix of at least three values. In a thin region that takes in the whole region; in a
-   crowded one a class is also a candidate with the stretch's hub, the key that most of its
-   classes have: what many changed copies were made from.
-   Rows at partition borders are matched in a second small step.
-4. Candidates are confirmed on the full sets, the best of every class first. Only pairs of
-   classes that the confirmed links do not yet connect are looked at again, first the best for
-   each two components, then every pair that is left. A pair inside one component cannot
-   change the result.
-5. Classes of stretches with more rows than were compared are settled exactly: sets that are
-   similar enough share one of their rarest shingles (prefix filter), so these are joined, and
-   what the join pairs across components is confirmed on the full sets.
+   the class, so no region, however crowded, lands in one task.
+3. In every order a class becomes a candidate with the neighbours that share its longest prefix.
+   The depth adapts to the region: neighbours that share d values, three at least, are taken
+   where no more than five rows share those d, so that the region is compared whole; where more
+   do, only deeper prefixes count. Classes of regions too crowded for that are sorted once more by
+   48 values in every order, and the few that share the longest prefixes with each are taken. Rows
+   at partition borders are matched in a second small step.
+4. Candidates are confirmed on the full sets.
+5. Classes of regions with more rows than are compared at the least depth are settled exactly: sets
+   that are similar enough share one of their rarest shingles (prefix filter). First each class
+   meets one centre, the class whose own rarest shingles are the commonest: what many changed copies
+   were made from, and its deepest neighbours. A pair inside one component cannot change the
+   result, so only what is still apart, and shares a rare shingle, is joined and confirmed.
 6. Components grow by alternating star contraction over stored tables.
 
 A pair at the threshold shares a prefix of three in an order with probability 0.42, so all 24
@@ -34,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.shared import in_batches, ready, spans_of, stored, utf8
@@ -43,14 +44,16 @@ from tarmac.llm.words import SPACED, mix, sequences, words
 SHINGLE = 5
 VALUES = 128
 ORDERS = 24
-DEPTH = 8
+DEPTH = 12
 LEAST = 3
 NEIGHBOURS = 4
-SURE = 6
 BLOCK = 2 << 20
 FILTER_BITS = 1 << 23
 RARITY_CELLS = 1 << 20
 SALTED = 4_096  # rows of a shingle that go to one task
+DEEP = 48  # values of a key where regions are crowded
+BESIDE = 2  # rows after each that are its neighbours there
+TRIES = 12  # of these neighbours that are confirmed for each class
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64))
 _FACTORS = (_SEEDS[:VALUES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (_SEEDS[VALUES:] >> np.uint64(32)).astype(np.uint32)
@@ -113,36 +116,37 @@ def _prints(batch: pa.RecordBatch) -> pa.RecordBatch:
             mark[row] = values[k].astype(">u2").tobytes()
         n.append(size), first.append(one), second.append(two), marks.extend(mark)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n, first, second)), pa.array(marks, pa.binary())],
-        names=["doc_id", "n_shingles", "d1", "d2", "mark"],
+        [batch.column(0), batch.column(2), *(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (n, first, second)), pa.array(marks, pa.binary())],
+        names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "mark"],
     )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set, and the signature (null for no words)."""
-    return in_batches(docs.select("doc_id", "text"), _prints, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, mark binary")
+    """doc_id, a hash of the text, n_shingles, a 128-bit digest of the shingle set, and the signature (null for no words)."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return in_batches(rows, _prints, "doc_id bigint, text_hash bigint, n_shingles bigint, d1 bigint, d2 bigint, mark binary")
 
 
 def _order_columns() -> np.ndarray:
     rng = np.random.default_rng(20240229)
-    return np.stack([rng.permutation(VALUES)[:DEPTH] for _ in range(ORDERS)])
+    return np.stack([rng.permutation(VALUES) for _ in range(ORDERS)])
 
 
-def _sort_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-    columns = _order_columns()
+def _sort_keys(depth: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    columns = _order_columns()[:, :depth]
     marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, VALUES)
     flat = np.ascontiguousarray(marks[:, columns]).view(np.uint8).reshape(-1)
     n = len(marks) * ORDERS
-    key = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 2 * DEPTH * n + 1, 2 * DEPTH, dtype=np.int32)), pa.py_buffer(flat)])
+    key = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 2 * depth * n + 1, 2 * depth, dtype=np.int32)), pa.py_buffer(flat)])
     ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), ORDERS)
     orders = np.tile(np.arange(ORDERS, dtype=np.int32), len(marks))
-    return pa.RecordBatch.from_arrays([pa.array(orders), key, pa.array(ids)], names=["ord", "key", "rep"])
+    return pa.RecordBatch.from_arrays([pa.array(orders), key, pa.array(ids)], names=["ord", "key", "id"])
 
 
-def _near(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows at most NEIGHBOURS apart that share an order and LEAST values; positions and shared depth."""
+def _near(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows at most `reach` apart that share an order and LEAST values; positions and shared depth."""
     left, right, depth = [], [], []
-    for step in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+    for step in range(1, min(reach, len(ids) - 1) + 1):
         same = keys[:-step] == keys[step:]
         shared = np.logical_and.accumulate(same, axis=1).sum(axis=1)
         shared[orders[:-step] != orders[step:]] = 0
@@ -152,89 +156,70 @@ def _near(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.nda
     return np.concatenate(left or empty), np.concatenate(right or empty), np.concatenate(depth or empty)
 
 
-def _hubs(orders: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of a crowded stretch (equal in order and SURE values) its hub: a row with the commonest key there."""
-    n = len(ids)
-    empty = np.zeros(0, np.int64)
-    if n <= NEIGHBOURS:
-        return empty, empty
-    new_key = np.ones(n, bool)
-    new_key[1:] = (keys[1:] != keys[:-1]).any(axis=1) | (orders[1:] != orders[:-1])
-    new_run = np.ones(n, bool)
-    new_run[1:] = (keys[1:, :SURE] != keys[:-1, :SURE]).any(axis=1) | (orders[1:] != orders[:-1])
-    block = np.flatnonzero(new_key)
-    size = np.diff(np.append(block, n))
-    run = np.cumsum(new_run) - 1
-    order = np.lexsort((-block, size, run[block]))  # the largest block of a run comes last, the first of equal ones
-    last = np.append(run[block][order][1:] != run[block][order][:-1], True)
-    hub = block[order[last]][run]
-    crowded = np.bincount(run)[run] > NEIGHBOURS
-    rows = np.flatnonzero(crowded & (ids != ids[hub]))
-    return rows, hub[rows]
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_regions(orders: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Which pairs lie in a region that is compared whole: at most NEIGHBOURS + 1 rows share the pair's prefix."""
+    n = len(orders)
+    shared = np.zeros(n + 2 * NEIGHBOURS, np.int64)  # by each row and the next, with room at both ends
+    same = np.logical_and.accumulate(keys[:-1] == keys[1:], axis=1).sum(axis=1)
+    same[orders[:-1] != orders[1:]] = 0
+    shared[NEIGHBOURS : NEIGHBOURS + n - 1] = same
+    rows = right - left + 1
+    before, after = np.ones(len(left), bool), np.ones(len(left), bool)
+    for k in range(NEIGHBOURS):
+        before &= shared[NEIGHBOURS + left - 1 - k] >= depth
+        after &= shared[np.minimum(NEIGHBOURS + right + k, len(shared) - 1)] >= depth
+        rows += before.astype(np.int64) + after
+    return rows <= NEIGHBOURS + 1
+
+
+def _neighbours(depth: int, whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of one sorted partition; its first and last rows, for the border, as rows with a place."""
     place = TaskContext.get().partitionId()
     names = ["a", "b", "border", "at", "ord", "key"]
-    held = None
-    seen = 0
-
-    def columns(batch):
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, DEPTH)
-        return batch.column(0).to_numpy(zero_copy_only=False), keys, batch.column(2).to_numpy(zero_copy_only=False)
-
-    def border_rows(orders, keys, ids, border, at):
-        n = len(ids)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(ids), pa.array(np.full(n, border, np.int32)), pa.array(at.astype(np.int32)), pa.array(orders.astype(np.int32)), pa.array([k.tobytes() for k in keys], pa.binary())], names=names
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not held:
+        return
+    orders, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
+    keys = np.frombuffer(b"".join(key for x in held for key in x[1]), ">u2").reshape(-1, depth)
+    reach = NEIGHBOURS if whole else BESIDE
+    left, right, shared = _near(orders, keys, ids, reach)
+    if whole:
+        good = _whole_regions(orders, keys, left, right, shared)
+        left, right, shared = left[good], right[good], shared[good]
+    a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+    n = len(a)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.array(shared.astype(np.int32)), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary())], names=names)
+    for border, rows, at in ((place - 1, slice(0, reach), reach), (place, slice(-reach, None), reach - min(reach, len(ids)))):
+        own = ids[rows]
+        n = len(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own), pa.array(own), pa.array(np.full(n, border, np.int32)), pa.array((at + np.arange(n)).astype(np.int32)), pa.array(orders[rows].astype(np.int32)), pa.array([k.tobytes() for k in keys[rows]], pa.binary())], names=names
         )
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        orders, keys, ids = columns(batch)
-        if seen < NEIGHBOURS:
-            head = slice(0, NEIGHBOURS - seen)
-            yield border_rows(orders[head], keys[head], ids[head], place - 1, NEIGHBOURS + seen + np.arange(len(ids[head])))
-        seen += len(ids)
-        old = 0 if held is None else len(held[2])
-        if held is not None:
-            orders, keys, ids = (np.concatenate([x, y]) for x, y in zip(held, (orders, keys, ids)))
-        left, right, depth = _near(orders, keys, ids)
-        new = right >= old
-        rows, hubs = _hubs(orders[old:], keys[old:], ids[old:])
-        left, right = np.concatenate([left[new], rows + old]), np.concatenate([right[new], hubs + old])
-        depth = np.concatenate([depth[new], np.full(len(rows), SURE)])
-        a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
-        n = len(a)
-        none = np.full(n, -1, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(n, pa.int32()), pa.array(depth.astype(np.int32)), pa.array(none), pa.nulls(n, pa.binary())], names=names)
-        held = tuple(x[-NEIGHBOURS:] for x in (orders, keys, ids))
-    if held is not None:
-        n = len(held[2])
-        yield border_rows(*held, place, NEIGHBOURS - n + np.arange(n))
-
-
-def _over_border(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _over_border(depth: int, reach: int, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("at")
-    keys = np.frombuffer(b"".join(rows["key"]), ">u2").reshape(-1, DEPTH)
-    ids, early = rows["a"].to_numpy(), (rows["at"] < NEIGHBOURS).to_numpy()
-    left, right, depth = _near(rows["ord"].to_numpy(), keys, ids)
+    keys = np.frombuffer(b"".join(rows["key"]), ">u2").reshape(-1, depth)
+    ids, early = rows["a"].to_numpy(), (rows["at"] < reach).to_numpy()
+    left, right, shared = _near(rows["ord"].to_numpy(), keys, ids, reach)
     over = early[left] & ~early[right]
-    left, right, depth = left[over], right[over], depth[over]
-    return pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right]), "depth": depth.astype("int64")})
+    left, right, shared = left[over], right[over], shared[over]
+    return pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right]), "depth": shared.astype("int64")})
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, weight): pairs of classes near in some order, weighted by the values they share there."""
+def candidates(classes: DataFrame, depth: int = DEPTH, whole: bool = True) -> DataFrame:
+    """(a, b, weight): pairs of classes (id, mark) near in some order, weighted by the values they share there.
+
+    With `whole` those of regions that are compared whole, else each row's next ones in every order.
+    """
     spark = ready(classes.sparkSession)
-    keys = in_batches(classes.select("rep", "mark"), _sort_keys, "ord int, key binary, rep bigint").select("ord", "key", "rep")
+    reach = NEIGHBOURS if whole else BESIDE
+    keys = in_batches(classes.select("id", "mark"), lambda batch: _sort_keys(depth, batch), "ord int, key binary, id bigint").select("ord", "key", "id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keys.repartitionByRange(parts, "ord", "key", "rep").sortWithinPartitions("ord", "key", "rep")
-    found = stored(ordered.mapInArrow(_neighbours, "a bigint, b bigint, border int, at int, ord int, key binary"), "neighbours")
+    ordered = keys.repartitionByRange(parts, "ord", "key", "id").sortWithinPartitions("ord", "key", "id")
+    found = stored(ordered.mapInArrow(lambda batches: _neighbours(depth, whole, batches), "a bigint, b bigint, border int, at int, ord int, key binary"), "neighbours")
     inner = found.where("border is null").select("a", "b", F.col("at").cast("long").alias("depth"))
-    outer = found.where("border is not null").groupBy("border").applyInPandas(_over_border, "a bigint, b bigint, depth bigint")
+    outer = found.where("border is not null").groupBy("border").applyInPandas(lambda rows: _over_border(depth, reach, rows), "a bigint, b bigint, depth bigint")
     return inner.unionByName(outer).groupBy("a", "b").agg(F.sum("depth").alias("weight"))
 
 
@@ -263,23 +248,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return in_batches(both, _linked, "a bigint, b bigint")
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges (v, u) stored, with their number and a sum over them, both observed while writing."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("v", "u").cast("decimal(20,0)")).alias("total"))
+    return stored(watched, "edges"), (seen.get["n"], seen.get["total"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in `links` (a, b); root is the smallest id that can be reached.
 
     Large-star and small-star steps in turn, each stored, until a round changes nothing.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges")
-    total = F.sum(F.hash("v", "u").cast("decimal(20,0)"))
-    state = edges.agg(F.count("*"), total).first()
-    while True:
-        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+    edges, state = _written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct())
+    while state[0]:
+        both = edges.select(F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("e")).select("e.v", "e.u")
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         small = small.select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
-        edges = stored(small.select("e.v", "e.u").where("v <> u").distinct(), "edges")
-        now = edges.agg(F.count("*"), total).first()
+        edges, now = _written(small.select("e.v", "e.u").where("v <> u").distinct())
         if now == state:
             break
         state = now
@@ -288,73 +277,63 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs with the components of both ends, where these differ."""
-    ra = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-    rb = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-    out = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    out = out.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
-    return out.where("ra <> rb")
-
-
 def _bit_map(bits: DataFrame) -> Broadcast:
-    """Which of FILTER_BITS numbers occur in `bits` (bit); of that size however many rows there are."""
+    """Which of FILTER_BITS numbers occur in `bits` (bit), a bit each; of that size however many rows there are."""
     marked = bits.select((F.col("bit") + 1).alias("x"))
     cells = marked.groupBy(F.bitmap_bucket_number("x").alias("cell")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     for cell, bits_ in cells:  # at most FILTER_BITS / 32768 rows
         table[(cell - 1) * len(bits_) : cell * len(bits_)] = np.frombuffer(bytes(bits_), np.uint8)
-    return bits.sparkSession.sparkContext.broadcast(np.unpackbits(table, bitorder="little").astype(bool))
+    return bits.sparkSession.sparkContext.broadcast(table)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in `ids` (id), one row each.
+def _marked(sent: Broadcast, bits: np.ndarray) -> np.ndarray:
+    """Which of the numbers a bit map holds."""
+    return (sent.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, text), stored: one text for each of `classes` (id, doc_id, text_hash), by the document and text they name.
 
     A bit map keeps most other texts out of the shuffle; the join then settles which rows belong.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    sent = _bit_map(ids.select(bit.alias("bit")))
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(FILTER_BITS))
+    sent = _bit_map(classes.select(bit.alias("bit")))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(sent.value[batch.column(2).to_numpy(zero_copy_only=False)]))
+        return batch.filter(pa.array(_marked(sent, batch.column(3).to_numpy(zero_copy_only=False))))
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    near = in_batches(rows.withColumn("bit", bit), work, "id bigint, text string, bit bigint").select("id", "text")
-    return near.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    near = in_batches(rows.withColumn("bit", bit), work, "doc_id bigint, text string, text_hash bigint, bit bigint")
+    out = stored(near.join(classes.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    sent.destroy()
+    return out
 
 
-def linked_components(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, root) of the components of the true links among candidate pairs.
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of `links` (a, b) and those of `roots` (id, root) together."""
+    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links))
 
-    First the best pair of every class, then the best of every two components, then all pairs
-    between components that are still apart, and beside them each class with the best partner of
-    every candidate it was not linked to, and that one's: in a crowded region a changed copy sorts
-    next to other changed copies, whose best partner is what they all were copied from.
+
+def near_links(pairs: DataFrame, classes: DataFrame, unsettled: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): the true links among the best pair of every class and the other candidates.
+
+    Pairs of two classes in `unsettled` (id) are left out, but for the best: these are settled exactly.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), F.struct("weight", "a", "b").alias("p"))
-    chosen = stored(ends.groupBy("id").agg(F.max("p").alias("p")).select("id", "p.a", "p.b"), "chosen")
-    best = chosen.select("a", "b").distinct()
-    texts = stored(texts_of(docs, stored(ends.select("id").distinct(), "ids")), "texts")
-    best = stored(best, "best")
-    roots = components(confirmed(best, texts))
-    cross = stored(_rooted(pairs, roots), "cross")
-    if cross.isEmpty():
-        return roots
-    partner = chosen.select("id", (F.col("a") + F.col("b") - F.col("id")).alias("other"))
-    further = partner.join(partner.select(F.col("id").alias("other"), F.col("other").alias("third")), "other").select("id", "other", "third")
-    wider = [cross.select(F.col(x).alias("x"), F.col(m).alias("id")).join(further, "id").select("x", F.explode(F.array("other", "third")).alias("other")).where("x <> other") for x, m in (("a", "b"), ("b", "a"))]
-    wider = wider[0].unionByName(wider[1]).select(F.least("x", "other").alias("a"), F.greatest("x", "other").alias("b")).distinct()
-    wider = wider.join(pairs, ["a", "b"], "left_anti").withColumn("weight", F.lit(0).cast("long"))
-    apart = stored(cross.select("a", "b", "weight").unionByName(wider).join(best, ["a", "b"], "left_anti"), "apart")
-    per_two = _rooted(apart, roots).groupBy(F.least("ra", "rb").alias("r1"), F.greatest("ra", "rb").alias("r2")).agg(F.max(F.struct("weight", "a", "b")).alias("p"))
-    second = stored(per_two.select("p.a", "p.b"), "second")
-    stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-    roots = components(stars.unionByName(confirmed(second, texts)))
-    rest = stored(_rooted(apart.join(second, ["a", "b"], "left_anti"), roots), "rest")
-    if rest.isEmpty():
-        return roots
-    stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-    return components(stars.unionByName(confirmed(rest, texts)))
+    best = ends.groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b")
+    held = unsettled.withColumn("held", F.lit(True))
+    rest = pairs
+    for end in ("a", "b"):
+        rest = rest.join(held.select(F.col("id").alias(end), F.col("held").alias(f"{end}_held")), end, "left")
+    chosen = stored(best.unionByName(rest.where("a_held is null or b_held is null").select("a", "b")).distinct(), "chosen")
+    return confirmed(chosen, texts_of(docs, _named(chosen, classes)))
+
+
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes that occur in `pairs` (a, b)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return stored(classes.select("id", "doc_id", "text_hash").join(ids, "id", "left_semi"), "named")
 
 
 def _stretches(marks: list[bytes]) -> np.ndarray:
@@ -367,7 +346,7 @@ def _stretches(marks: list[bytes]) -> np.ndarray:
 
 
 def crowded(classes: DataFrame) -> DataFrame:
-    """(id) of the classes in stretches with more rows than are compared with each other.
+    """(id), stored, of the classes in stretches with more rows than are compared with each other.
 
     Kept as a bit map of fixed size, which may take in others as well but leaves none out.
     """
@@ -376,8 +355,8 @@ def crowded(classes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(_stretches(batch.column(0).to_pylist()).reshape(-1))], names=["stretch"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = mix(_stretches(batch.column(1).to_pylist()).astype(np.uint64)) % np.uint64(FILTER_BITS)
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sent.value[bits].any(axis=1)))], names=["id"])
+        bits = (mix(_stretches(batch.column(1).to_pylist()).astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(_marked(sent, bits).any(axis=1)))], names=["id"])
 
     def bit(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(FILTER_BITS)
@@ -385,7 +364,9 @@ def crowded(classes: DataFrame) -> DataFrame:
 
     counted = in_batches(classes.select("mark"), every, "stretch bigint").groupBy("stretch").agg(F.count("*").alias("n"))
     sent = _bit_map(in_batches(counted.where(F.col("n") > NEIGHBOURS + 1).select("stretch"), bit, "bit bigint"))
-    return in_batches(classes.select("rep", "mark"), work, "id bigint")
+    out = stored(in_batches(classes.select("id", "mark"), work, "id bigint"), "crowded")
+    sent.destroy()
+    return out
 
 
 def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
@@ -401,62 +382,88 @@ def _rarity(texts: DataFrame) -> Broadcast:
     """About how many sets hold a shingle: counts of RARITY_CELLS cells, which shingles share by their hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(RARITY_CELLS, np.int64)
+        held = np.zeros(RARITY_CELLS, np.int32)
         for batch in batches:
             for own in _sets(batch, 0):
                 np.add.at(held, own % np.uint64(RARITY_CELLS), 1)
         cells = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held[cells])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held[cells].astype(np.int64))], names=["cell", "n"])
 
     rows = texts.select("text").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     found = rows.toArrow()  # at most RARITY_CELLS rows
-    table = np.zeros(RARITY_CELLS, np.int64)
+    table = np.zeros(RARITY_CELLS, np.int32)
     table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return texts.sparkSession.sparkContext.broadcast(table)
 
 
 def rare_shingles(texts: DataFrame) -> DataFrame:
-    """(shingle, id, n, p): the first n // 4 + 1 of each set's n shingles, rarest first, and their place p.
+    """(shingle, id, n, p, common), stored: the first n // 4 + 1 of each set's n shingles, rarest first, and their place p.
 
     The order is the same for all sets. Sets of sizes s <= t that link share at least
     3 / 7 (s + t) shingles, so the first one they share has a place of at most s / 7 in the
-    smaller and t / 4 in the larger.
+    smaller and t / 4 in the larger. `common` tells how many sets hold the set's own shingle at
+    place n / 7: one that many others were made from has no rarer ones.
     """
     ready(texts.sparkSession)
     sent = _rarity(texts)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        first = []
+        first, common = [], []
         for own in _sets(batch, 1):
-            order = np.lexsort((own, sent.value[own % np.uint64(RARITY_CELLS)]))
+            rarity = sent.value[own % np.uint64(RARITY_CELLS)]
+            order = np.lexsort((own, rarity))
             first.append((own[order[: len(own) // 4 + 1]], len(own)))
+            common.append(rarity[order[len(own) // 7]])
         held = np.array([len(x) for x, _ in first], np.int64)
         shingle = np.concatenate([x for x, _ in first] or [np.zeros(0, np.uint64)]).view(np.int64)
         place = np.arange(len(shingle)) - np.repeat(np.cumsum(held) - held, held)
         size = np.repeat(np.array([n for _, n in first], np.int64), held)
-        return pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.repeat(ids, held)), pa.array(size), pa.array(place)], names=["shingle", "id", "n", "p"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shingle), pa.array(np.repeat(ids, held)), pa.array(size), pa.array(place), pa.array(np.repeat(np.array(common, np.int64), held))], names=["shingle", "id", "n", "p", "common"]
+        )
+
+    out = stored(in_batches(texts.select("id", "text"), work, "shingle bigint, id bigint, n bigint, p bigint, common bigint"), "rare")
+    sent.destroy()
+    return out
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """(a, b): each class with the centre that it shares most rare shingles with; rows: shingle, id, common."""
+    centre = rows.groupBy("shingle").agg(F.max(F.struct("common", F.negate("id").alias("id"))).alias("c"), F.count("*").alias("held"))
+    centre = centre.where("held > 1").select("shingle", F.negate("c.id").alias("centre"))
+    met = rows.select("shingle", "id").join(centre, "shingle").where("id <> centre")
+    met = met.groupBy("id", "centre").agg(F.count("*").alias("shared")).groupBy("id").agg(F.max(F.struct("shared", F.negate("centre").alias("centre"))).alias("m"))
+    return met.select("id", F.negate("m.centre").alias("centre")).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
-    return in_batches(texts.select("id", "text"), work, "shingle bigint, id bigint, n bigint, p bigint")
 
+def _deepest(classes: DataFrame) -> DataFrame:
+    """(a, b): each class (id, mark) with the TRIES that it shares the longest prefixes with, over all orders."""
+    ends = stored(candidates(classes, DEEP, whole=False), "deep").select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "weight")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "a", "b"))  # rows bounded by the orders
+    return ends.withColumn("place", place).where(F.col("place") <= TRIES).select("a", "b").distinct()
 
-def settled(roots: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """`roots` (id, root) with every link among the classes in `ids` (id), found by their rarest shingles.
 
-    Only classes of different components are paired. Of a shingle's rows those of its commonest
-    component meet just the others, and hot shingles are dealt out by hash.
+def settled(links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, root) of the components of `links` (a, b) and of every link among `classes` (id, doc_id, text_hash, mark).
+
+    Each class meets a centre and the classes nearest to it at the greatest depth. What is still
+    apart then is joined by the rarest shingles: of a shingle's rows those of its commonest component
+    meet just the others, and hot shingles are dealt out by hash.
     """
-    texts = stored(texts_of(docs, ids), "texts")
-    rows = rare_shingles(texts).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = stored(rows, "rare")
-    held = rows.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("roots"))
+    texts = texts_of(docs, classes)
+    rows = rare_shingles(texts)
+    first = stored(_centres(rows).unionByName(_deepest(classes)).distinct(), "first")
+    roots = components(links.unionByName(confirmed(first, texts)))
+    apart = rows.drop("common").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    held = apart.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("roots"))
     held = held.where("roots > 1").select("shingle", F.col("m.root").alias("main"), F.ceil(F.col("c") / SALTED).cast("int").alias("salts"))
-    rows = stored(rows.join(held, "shingle").withColumn("common", F.col("root") == F.col("main")).drop("main"), "rare")
-    less = rows.where("7 * p <= n").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    more = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    apart = stored(apart.join(held, "shingle").withColumn("mine", F.col("root") == F.col("main")).drop("main"), "apart")
+    less = apart.where("7 * p <= n").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    more = apart.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     renamed = lambda df, x: df.select("shingle", "salt", *(F.col(c).alias(f"{c}{x}") for c in ("id", "root", "n", "p")))
     met = None
-    for left, right in ((less.where("not common"), more), (less.where("common"), more.where("not common"))):
+    for left, right in ((less.where("not mine"), more), (less.where("mine"), more.where("not mine"))):
         both = renamed(left, 1).join(renamed(right, 2), ["shingle", "salt"])
         both = both.where("root1 <> root2 and (n1 < n2 or n1 = n2 and id1 < id2) and 7 * least(n1 - p1, n2 - p2) >= 3 * (n1 + n2)")
         met = both if met is None else met.unionByName(both)
@@ -464,39 +471,38 @@ def settled(roots: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
     most = F.count("*") + F.least(F.max(F.col("n1") - 1) - F.max("p1"), F.max(F.col("n2") - 1) - F.max("p2"))
     pairs = met.groupBy("id1", "id2").agg(most.alias("most"), F.max(F.col("n1") + F.col("n2")).alias("n"))
     pairs = stored(pairs.where("7 * most >= 3 * n").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")), "settling")
-    links = stored(confirmed(pairs, texts), "links")
-    if links.isEmpty():
-        return roots
-    stars = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-    return components(stars.unionByName(links))
+    found = stored(confirmed(pairs, texts), "links")
+    return roots if found.isEmpty() else _joined(roots, found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of `docs` (doc_id, text).
 
     Words are what ASCII white space separates, with A-Z in lower case. Null or empty texts, and
     texts of white space, have no shingles: they link with nothing and are kept. Rows that repeat
-    a doc_id are each returned; they share a component if their sets link, and a repeated row is
-    kept like the first. Rows without doc_id stand alone: component null, kept.
+    a doc_id are each judged by their own text: component_id is the smallest doc_id among the
+    documents whose sets their own set reaches, and a row is kept if its doc_id is that one. So a
+    repeated row is kept like the first. Rows without doc_id stand alone: component null, kept.
     Other columns are ignored. An empty table gives no rows.
     """
     prints = stored(fingerprints(docs), "prints")
     named = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(
-        named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark")),
-        "classes",
-    )
+    classes = named.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("mark").alias("mark"))
+    # The numbers are made while the table is written, so every later step reads the same ones.
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "n_shingles", "rep.doc_id", "rep.text_hash", "mark"), "classes")
     pairs = stored(candidates(classes), "pairs")
-    roots = linked_components(pairs, docs)
-    unsettled = stored(crowded(classes), "crowded")
-    if not unsettled.isEmpty():
-        roots = settled(roots, unsettled, docs)
-    rooted = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("component")
-    )
+    unsettled = crowded(classes)
+    links = near_links(pairs, classes, unsettled, docs)
+    if unsettled.isEmpty():
+        roots = components(links)
+    else:
+        roots = settled(links, classes.select("id", "doc_id", "text_hash", "mark").join(unsettled, "id", "left_semi"), docs)
+    rooted = classes.join(roots, "id", "left").select("d1", "d2", "n_shingles", "doc_id", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
+    rooted = stored(rooted.join(least, "root").select("d1", "d2", "n_shingles", "component"), "rooted")
     out = prints.drop("mark").join(rooted, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash"
     )

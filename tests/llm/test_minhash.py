@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from tests.llm.samples import clashing, documents, frame, odd, spaced
 
 from tarmac.llm import minhash
@@ -37,7 +38,7 @@ def plain(rows):
 
 
 def result(df):
-    return [tuple(r) for r in minhash.near_duplicates(df).collect()]
+    return [tuple(r)[:4] for r in minhash.near_duplicates(df).collect()]
 
 
 def test_equals_all_pairs(spark):
@@ -87,29 +88,58 @@ def test_words_equal_plain_words(spark):
     assert len(set(known.values())) == len(known)
 
 
-def test_candidate_pairs_grow_with_the_rows_only(spark):
-    rng = random.Random(1)
-    base = [f"w{k}" for k in range(120)]
-    rows = []
-    for k in range(400):
-        own = list(base)
-        own[rng.randrange(120)] = f"x{k}"
-        rows.append((k, " ".join(own)))
-    prints = minhash.fingerprints(frame(spark, rows))
-    classes = prints.withColumnRenamed("doc_id", "rep").select("rep", "mark")
-    assert minhash.candidates(classes).count() <= minhash.ORDERS * minhash.NEIGHBOURS * len(rows)
-    assert {c for _, _, c, _ in result(frame(spark, rows))} == {0}
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    """Text A at 1 and 3, B at 1 and 4, B with a word changed at 2: two groups, both named by 1."""
+    one, two = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    changed = two.replace("b59", "other")
+    rows = [(1, one), (1, two), (2, changed), (3, one), (4, two), (5, "c " * 9), (5, two), (6, " ".join(f"u{k}" for k in range(30)))]
+    got = result(frame(spark, rows))
+    assert sorted((i, c, k) for i, _, c, k in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 1, False), (5, 5, True), (6, 6, True)]
+    # The smallest id of a group need not be what its texts have in common.
+    rows = [(5, one), (5, two), (1, one + " x"), (2, changed)]
+    assert sorted((i, c) for i, _, c, _ in result(frame(spark, rows))) == [(1, 1), (2, 2), (5, 1), (5, 2)]
+
+
+def counted(monkeypatch, at):
+    """Counts the pairs that are confirmed on full sets from here on."""
+    whole = minhash.confirmed
 
+    def confirmed(pairs, texts):
+        at.append(pairs.count())
+        return whole(pairs, texts)
 
-def test_links_inside_a_crowd_of_unlinked_texts(spark):
-    """600 texts on one template, about 0.7 alike; among them 30 pairs of 0.8, which few sort next to each other."""
+    monkeypatch.setattr(minhash, "confirmed", confirmed)
+
+
+def test_changed_copies_of_one_text(spark, monkeypatch):
+    """800 copies, each 0.8 alike to the first and under 0.7 to each other: all meet the first; pairs grow with the rows."""
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(500, " ".join(base))]
+    for k in range(800):
+        own = list(base)
+        for at in rng.sample(range(0, 200, 8), 4):
+            own[at] = f"x{k}y{at}"
+        rows.append((1000 + k, " ".join(own)))
+    pairs = []
+    counted(monkeypatch, pairs)
+    assert {c for _, _, c, _ in result(frame(spark, rows))} == {500}
+    assert sum(pairs) < 2 * (minhash.TRIES + 2) * len(rows)
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_pairs_of_a_crowd_of_unlinked_texts(spark, monkeypatch, n):
+    """Texts on one template, about 0.7 alike; among them 30 pairs of 0.8, which few sort next to each other."""
     template = [f"t{k}" for k in range(165)]
-    rows = [(k, " ".join(template + [f"o{k}x{j}" for j in range(35)])) for k in range(600)]
+    rows = [(k, " ".join(template + [f"o{k}x{j}" for j in range(35)])) for k in range(n)]
     for k in range(30):
         own = rows[k][1].split()
-        rows.append((1000 + k, " ".join(own[:183] + [f"p{k}x{j}" for j in range(17)])))
+        rows.append((10_000 + k, " ".join(own[:183] + [f"p{k}x{j}" for j in range(17)])))
+    pairs = []
+    counted(monkeypatch, pairs)
     got = {i: c for i, _, c, _ in result(frame(spark, rows))}
-    assert got == {k: k for k in range(600)} | {1000 + k: k for k in range(30)}
+    assert got == {k: k for k in range(n)} | {10_000 + k: k for k in range(30)}
+    assert sum(pairs) < 2 * (minhash.TRIES + 2) * len(rows)
 
 
 def test_components(spark):
