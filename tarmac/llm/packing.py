@@ -25,21 +25,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.shared import in_batches, spans_of, stored, utf8
+from tarmac.llm.words import CASED, SPACED, mix, numbered, words
 
 CAPACITY = 4096
 END = 1
 CELL_ROWS = 20_000
-CACHE = 400_000
+CACHE = 400_000  # stretches that are remembered
+GROUP = 512  # stretches encoded as one text
 STRETCH = 1 << 20
 BORDER = b"|"
 _SPACE = re.compile(rb"[\x09-\x0d ]")
 
 
+def _kinds() -> np.ndarray:
+    """1 for ASCII letters, 2 for ASCII signs, 3 for digits, 0 for bytes that may belong to what stands beside them."""
+    out = np.zeros(256, np.uint8)
+    out[[c for c in range(33, 127) if c != ord("'")]] = 2
+    out[48:58] = 3
+    out[65:91] = out[97:123] = 1
+    return out
+
+
+KINDS = _kinds()
+
+
+def _cuts_by_kind(tokenizer) -> bool:
+    """Whether a tokenizer always parts ASCII letters, signs and single digits, and takes no notice of A-Z or a-z."""
+    parts = lambda text: [x for x, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    signs = [chr(c) for c in range(33, 127) if KINDS[c] == 2]
+    if tokenizer.pre_tokenizer is None or tokenizer.normalizer is None or any(len(parts(f"ab{c}cd")) != 3 for c in signs):
+        return False
+    letters = "".join(chr(c) for c in range(33, 127))
+    return parts("ab1cd23%4") == ["ab", "1", "cd", "2", "3", "%", "4"] and tokenizer.normalizer.normalize_str(letters) == letters.lower()
+
+
 class Encoder:
-    """Token ids of whole texts, remembered by stretches between ASCII white space.
+    """Token ids of whole texts, remembered by stretches that the tokenizer never joins.
 
-    The tokenizer's pre-tokenizer never joins across white space, so the ids of a text are those of
-    its stretches in order. Two generations of the memory bound its size.
+    White space parts stretches; with a tokenizer that parts letters, signs and digits, so do the
+    borders between these, and there are few different ones. Stretches are found and numbered without
+    a step for each; only new ones reach the tokenizer. The memory is sorted arrays of numbers and one
+    of ids; it starts anew once it holds CACHE stretches. A block with a special token's own sign in
+    it is parted at white space alone.
     """
 
     def __init__(self, path: str):
@@ -47,53 +74,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fresh: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_kind = _cuts_by_kind(self.tokenizer)
         self.border = self._ids([BORDER.decode()])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, stretches: set[bytes]) -> None:
+    def _stretches(self, raw: np.ndarray, offsets: np.ndarray, whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, byte starts and ends of all stretches, and where each row's begin (n + 1)."""
+        if not self.by_kind or any(x in whole for x in self.special):
+            numbers, starts, ends, at = words(raw, offsets, SPACED, CASED)
+            return mix(numbers), starts, ends, at  # apart from those without regard to case
+        inside, kind = SPACED[raw], KINDS[raw]
+        part = np.ones(len(raw) + 1, bool)  # before each byte, and after the last
+        part[offsets] = True
+        same = (kind[1:] == kind[:-1]) & (kind[1:] != 3) | (kind[1:] == 0) | (kind[:-1] == 0)
+        part[1:-1] = ~(same & inside[1:] & inside[:-1])
+        part[offsets] = True
+        starts = np.flatnonzero(inside & part[:-1])
+        ends = np.flatnonzero(inside & part[1:]) + 1
+        return numbered(raw, starts, ends), starts, ends, np.searchsorted(starts, offsets)
+
+    def learn(self, keys: np.ndarray, stretches: list[bytes]) -> None:
         """Encode new stretches, many at a time with a border between; those that hold the border's sign, alone."""
-        joined = [x for x in stretches if BORDER not in x] if len(self.border) == 1 else []
-        groups = [joined[k : k + 64] for k in range(0, len(joined), 64)]
-        for group, ids in zip(groups, self._ids([b"\n|\n".join(x).decode() for x in groups])):
-            raw, first = ids.tobytes(), 0
-            for stretch, last in zip(group, [*np.flatnonzero(ids == self.border[0]).tolist(), len(ids)]):
-                self.fresh[stretch] = raw[4 * first : 4 * last]
-                first = last + 1
-        alone = list(stretches.difference(joined))
-        for stretch, ids in zip(alone, self._ids([x.decode() for x in alone])):
-            self.fresh[stretch] = ids.tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers; new stretches of all are learnt together."""
-        split = [text.split() for text in texts]
-        fresh, old = self.fresh, self.old
-        unknown = set()
-        for x in set().union(*split):
-            if x not in fresh:
-                if x in old:
-                    fresh[x] = old[x]
-                else:
-                    unknown.add(x)
-        if unknown:
-            self.learn(unknown)
-        out = [b"".join([fresh[x] for x in own]) for own in split]
-        if len(fresh) > CACHE:
-            self.old, self.fresh = fresh, {}
-        return out
-
-    def encode_long(self, text: bytes) -> bytes:
+        plain = [k for k, x in enumerate(stretches) if BORDER not in x] if len(self.border) == 1 else []
+        alone = sorted(set(range(len(stretches))).difference(plain))
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+        found, sizes = [], []
+        for ids in self._ids([b"\n|\n".join([stretches[k] for k in g]).decode() for g in groups]):
+            border = ids == self.border[0]
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(border), [len(ids)]])) - 1)
+            found.append(ids[~border])
+        for ids in self._ids([stretches[k].decode() for k in alone]):
+            sizes.append(np.array([len(ids)]))
+            found.append(ids)
+        size = np.concatenate(sizes)
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *found])
+        keys = np.concatenate([self.keys, keys[plain + alone]])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.size = keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, and where each row's begin (n + 1)."""
+        whole = raw.tobytes()
+        numbers, starts, ends, at = self._stretches(raw, offsets, whole)
+        distinct, first, entry = np.unique(numbers, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self.forget()
+        slot = np.searchsorted(self.keys, distinct)
+        known = slot < len(self.keys)
+        known[known] = self.keys[slot[known]] == distinct[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self.learn(distinct[new], [whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            slot = np.searchsorted(self.keys, distinct)
+        size, begin = self.size[slot][entry], self.begin[slot][entry]
+        total = np.concatenate([[0], np.cumsum(size)])
+        source = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        return self.ids[source], total[at]
+
+    def encode_long(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of one long text, worked through in stretches that end at white space."""
-        out, at = [], 0
+        out, at, whole = [np.zeros(0, "<u4")], 0, text.tobytes()
         while at < len(text):
-            border = _SPACE.search(text, at + STRETCH)
+            border = _SPACE.search(whole, at + STRETCH)
             end = border.end() if border else len(text)
-            out += self.encode([text[at:end]])
+            out.append(self.encode(text[at:end], np.array([0, end - at]))[0])
             at = end
-        return b"".join(out)
+        ids = np.concatenate(out)
+        return ids, np.array([0, len(ids)])
 
 
 @functools.cache
@@ -104,21 +161,27 @@ def encoder(path: str) -> Encoder:
 def _cut(path: str, capacity: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = encoder(path)
-        last = np.array([END], "<u4").tobytes()
-        size = 4 * capacity
-        rows, piece, start, length, crc = [], [], [], [], []
+        columns: list[list] = [[] for _ in range(5)]  # row, piece, start, length, crc
         raw, offsets = utf8(batch.column(1))
         for a, b in spans_of(offsets, STRETCH):
-            texts = [raw[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
-            found = [known.encode_long(texts[0])] if b == a + 1 else known.encode(texts)
-            for i, ids in zip(range(a, b), found):
-                ids += last
-                for k in range(0, len(ids), size):
-                    own = ids[k : k + size]
-                    rows.append(i), piece.append(k // size), start.append(k // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
-        taken = batch.column(0).take(pa.array(rows, pa.int64()))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([taken, *(pa.array(x, t) for x, t in zip((piece, start, length, crc), kinds))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            part = raw[offsets[a] : offsets[b]]
+            ids, begins = known.encode_long(part) if b == a + 1 else known.encode(part, offsets[a : b + 1] - offsets[a])
+            ids = np.insert(ids, begins[1:], END)
+            begins = begins + np.arange(b - a + 1)
+            length = np.diff(begins)
+            count = -(-length // capacity)
+            row = np.repeat(np.arange(b - a), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            size = np.minimum(length[row] - start, capacity)
+            data = memoryview(ids.astype("<u4").tobytes())
+            first = 4 * (begins[row] + start)
+            crc = np.array([zlib.crc32(data[x:y]) for x, y in zip(first.tolist(), (first + 4 * size).tolist())], np.int64)
+            for column, values in zip(columns, (row + a, piece, start, size, crc)):
+                column.append(values)
+        row, piece, start, size, crc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in columns)
+        taken = batch.column(0).take(pa.array(row, pa.int64()))
+        return pa.RecordBatch.from_arrays([taken, pa.array(piece.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (start, size, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return work
 

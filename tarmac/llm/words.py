@@ -52,6 +52,17 @@ def _piece(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.nd
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def numbered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = LETTERS) -> np.ndarray:
+    """Numbers of the stretches of bytes from `starts` to `ends`, both ascending."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        base = starts[first]
+        last = max(int(np.searchsorted(ends, base + PIECE, "right")), first + 1)
+        out[first:last] = _piece(raw[base : ends[last - 1]], starts[first:last] - base, ends[first:last] - base, letters)
+        first = last
+    return out
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, letters: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers, byte starts and byte ends of all words; and for each row where its words begin (n + 1).
 
@@ -68,13 +79,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray, letters: np.
     closes = is_in[1:-1] & ~is_in[2:]
     closes[borders - 1] = is_in[borders]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    out, first = np.empty(len(starts), np.uint64), 0
-    while first < len(starts):
-        base = starts[first]
-        last = max(int(np.searchsorted(ends, base + PIECE, "right")), first + 1)
-        out[first:last] = _piece(raw[base : ends[last - 1]], starts[first:last] - base, ends[first:last] - base, letters)
-        first = last
-    return out, starts, ends, np.searchsorted(starts, offsets)
+    return numbered(raw, starts, ends, letters), starts, ends, np.searchsorted(starts, offsets)
 
 
 def sequences(numbers: np.ndarray, size: int) -> np.ndarray:

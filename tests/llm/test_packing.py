@@ -70,3 +70,34 @@ def test_pieces_and_places(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), tokenizer_path()).collect() == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aAbZ019%'.,<|>/ \n\t\x0b\x1c\x85é̸́K日'’s"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=4))
+def test_ids_of_any_texts(texts):
+    """Stretches put together again give the ids of the whole text, whatever stands beside what."""
+    known = packing.encoder(tokenizer_path())
+    texts = [*texts, "<|endoftext|>a"] if len(texts) == 3 else texts
+    raw = [x.encode() for x in texts]
+    ids, begins = known.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for text, a, b in zip(texts, begins, begins[1:]):
+        assert ids[a:b].tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_letters_signs_and_digits_are_parted_only_where_the_tokenizer_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    load = lambda name: Tokenizer.from_file(str(public_tokenizers.path(name)))
+    assert packing._cuts_by_kind(load("word_bpe_49k.json"))
+    assert not packing._cuts_by_kind(load("byte_bpe_50k.json"))
+
+
+def test_memory_starts_anew(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 50)
+    known = packing.Encoder(tokenizer_path())
+    for k in range(20):
+        text = " ".join(f"word{j} w|x{j}" for j in range(k * 7, k * 7 + 20))
+        ids, _ = known.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(known.keys) < 200
