@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tarmac.functions.clock import weekday_from_monday
 from tarmac.functions.text import clean_key, flight_display, flight_key
+from tarmac.sources.tables import save_table
+from tarmac.workspace import new_folder
 
 RENAMES = {
     "FL_NUMBER": "FLIGHT_NUMBER",
@@ -76,56 +78,132 @@ def fill_const(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, column: str, out: str = "median", band: float = 0.0005, cells: int = 10_000) -> DataFrame:
-    """One row with the exact median; null without values.
+@dataclass
+class _Wanted:
+    """One rank of one column that is still looked for, among the values from `low` to `high`."""
 
-    A mergeable sketch brackets the median within the middle thousandth of the rows. The rows
-    outside the bracket collapse into one counter on each side, those inside into counters per
-    value, which equal-width cells divide. The running total goes over the cells only; values
-    are ranked in the one or two cells that hold the median.
+    column: int
+    rank: int  # from 1, among those values
+    low: float
+    high: float
+    values: int  # distinct ones in between
+
+
+def _finite(value: Column) -> Column:
+    """A value for measuring distances: halved, so that none overflows, and with no end left out."""
+    most = float.fromhex("0x1.fffffffffffffp+1023")
+    return F.when(value > most, most).when(value < -most, -most).otherwise(value) / 2
+
+
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], band: float = 0.0005, cells: int = 10_000, bound: int = 50_000
+) -> dict[str, float | None]:
+    """The exact median of every column, None without values. NaN counts as infinity.
+
+    Two passes over the rows whatever the number of columns: one sketches all columns and
+    brackets each median within the middle thousandth, the other counts the values inside the
+    brackets, with one counter for those below. The counts are stored. A cell of equal width that
+    holds the wanted rank is cut again into as many cells until it holds at most `bound` distinct
+    values; only those are put in order.
     """
-    value = F.col(column).cast("double")
-    accuracy = int(5 / band)
-    bracket = df.agg(F.percentile_approx(value, [0.5 - band, 0.5 + band], accuracy).alias("b")).scalar()
-    present = df.where(value.isNotNull()).select(value.alias("v"), bracket.alias("b"))
-    v, low, high = F.col("v"), F.col("b")[0], F.col("b")[1]
-    share = F.coalesce((v - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
-    cell = F.when(v < low, -1).when(v > high, cells + 1).otherwise(F.floor(share * cells).cast("int"))
-    counts = (
-        present.select(cell.alias("cell"), F.when(v.between(low, high), v).alias("v"))
-        .groupBy("cell", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = W.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.orderBy("cell").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    totals = counts.groupBy("cell").agg(F.sum("n").alias("cell_n")).select(
-        "cell", (F.sum("cell_n").over(upto) - F.col("cell_n")).alias("before"), "cell_n", F.sum("cell_n").over(whole).alias("total")
-    )
-    first, second = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
-    middle = totals.where((F.col("before") < second) & (F.col("before") + F.col("cell_n") >= first))
-    inside = W.partitionBy("cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.join(middle, "cell").withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    lower = F.when((F.col("upto") - F.col("n") < first) & (first <= F.col("upto")), F.col("v"))
-    upper = F.when((F.col("upto") - F.col("n") < second) & (second <= F.col("upto")), F.col("v"))
-    return ranked.agg(((F.max(lower) + F.max(upper)) / 2).alias(out))
+    if not columns:
+        return {}
+    spark = df.sparkSession
+    number = [F.col(c).cast("double") for c in columns]
+    values = [F.when(F.isnan(v), float("inf")).otherwise(v) for v in number]
+    sketches = [F.percentile_approx(v, [0.5 - band, 0.5 + band], int(5 / band)) for v in values]
+    outline = df.agg(*[F.count(v) for v in values], *sketches).first()
+    sizes, brackets = outline[: len(columns)], outline[len(columns) :]
+    some = [k for k, n in enumerate(sizes) if n]
+    out: dict[str, float | None] = {c: None for c in columns}
+    if not some:
+        return out
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("c"), values[k].alias("v")) for k in some]))).where("v is not null")
+    low, high = (F.element_at(F.create_map(*[x for k in some for x in (F.lit(k), F.lit(brackets[k][end]))]), F.col("c")) for end in (0, 1))
+    below = F.col("v") < low
+    counted = pairs.where(F.col("v") <= high).groupBy("c", F.when(~below, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counted = save_table(counted, new_folder(spark, "medians"))
+    under = {r["c"]: r for r in counted.groupBy("c").agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n"), F.count("v").alias("values")).collect()}  # a row per column
+    inside = counted.where("v is not null")
+    wanted = [_Wanted(k, rank - under[k]["n"], *brackets[k], under[k]["values"]) for k in some for rank in ((sizes[k] + 1) // 2, sizes[k] // 2 + 1)]
+    while any(w.values > bound for w in wanted):
+        wanted = _narrowed(inside, wanted, cells)
+    found: dict[int, list[float]] = {}
+    for number, (w, rows) in enumerate(zip(wanted, _ordered(inside, wanted))):
+        seen = 0
+        for value, n in rows:
+            seen += n
+            if seen >= w.rank:
+                found.setdefault(w.column, []).append(value)
+                break
+    return out | {columns[k]: (a + b) / 2 for k, (a, b) in found.items()}
+
+
+def _of_ranks(inside: DataFrame, wanted: Sequence[_Wanted]) -> DataFrame:
+    """The counted values (c, v, n) beside the number, `w`, and range of each rank that lies among them."""
+    rows = [F.struct(*(F.lit(x).alias(name) for x, name in ((k, "w"), (w.column, "c"), (w.low, "low"), (w.high, "high")))) for k, w in enumerate(wanted)]
+    ranges = inside.sparkSession.range(1).select(F.inline(F.array(*rows)))  # two per column
+    return inside.join(F.broadcast(ranges), "c").where("v between low and high")
+
+
+def _narrowed(inside: DataFrame, wanted: Sequence[_Wanted], cells: int) -> list[_Wanted]:
+    """Each rank within the one cell of its range that holds it; a cell's range is that of its values."""
+    low, high = _finite(F.col("low")), _finite(F.col("high"))
+    share = F.coalesce((_finite(F.col("v")) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    cell = F.floor(share * cells).cast("int")
+    counts = _of_ranks(inside, wanted).groupBy("w", cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("values"))
+    rows = sorted(tuple(r) for r in counts.collect())  # at most `cells` + 1 rows for each rank
+    out = list(wanted)
+    for k, w in enumerate(wanted):
+        seen = 0
+        for _, _, n, low_, high_, values in (r for r in rows if r[0] == k):
+            if seen + n >= w.rank:
+                out[k] = _Wanted(w.column, w.rank - seen, low_, high_, values if low_ < high_ else 1)
+                break
+            seen += n
+    return out
+
+
+def _ordered(inside: DataFrame, wanted: Sequence[_Wanted]) -> list[list[tuple[float, int]]]:
+    """The values of each rank's range in order, with their counts."""
+    out: list[list[tuple[float, int]]] = [[] for _ in wanted]
+    for r in _of_ranks(inside, wanted).select("w", "v", "n").orderBy("w", "v").collect():
+        out[r["w"]].append((r["v"], r["n"]))
+    return out
+
+
+def exact_median(df: DataFrame, column: str, out: str = "median") -> DataFrame:
+    """One row with the exact median; null without values."""
+    return df.sparkSession.range(1).select(F.lit(exact_medians(df, [column])[column]).cast("double").alias(out))
 
 
 def approximate_median(df: DataFrame, column: str, out: str = "median", accuracy: int = 10_000) -> DataFrame:
     return df.agg(F.percentile_approx(F.col(column).cast("double"), 0.5, accuracy).alias(out))
 
 
+def fill_medians(df: DataFrame, defaults: Mapping[str, float], reference: DataFrame | None = None) -> DataFrame:
+    """Missing values replaced by the exact medians over `reference` (the training part, say), all found at once.
+
+    A column that is absent, or without values there, gets its default.
+    """
+    source = df if reference is None else reference
+    medians = exact_medians(source, [c for c in defaults if c in df.columns])
+    return df.withColumns(
+        {
+            c: F.lit(float(default)) if c not in df.columns else F.coalesce(F.col(c).cast("double"), F.lit(medians[c] if medians[c] is not None else float(default)))
+            for c, default in defaults.items()
+        }
+    )
+
+
 def fill_median(
     df: DataFrame, column: str, default: float, reference: DataFrame | None = None, exact: bool = True
 ) -> DataFrame:
-    """Missing values replaced by the median over `reference` (the training part, say).
-
-    Without the column the constant is used.
-    """
-    if column not in df.columns:
-        return df.withColumn(column, F.lit(float(default)))
+    """Missing values of one column replaced by the median over `reference`; without the column the constant is used."""
+    if exact or column not in df.columns:
+        return fill_medians(df, {column: default}, reference)
     source = df if reference is None else reference
-    median = exact_median if exact else approximate_median
-    return df.withColumn(column, F.coalesce(F.col(column).cast("double"), median(source, column).scalar()))
+    return df.withColumn(column, F.coalesce(F.col(column).cast("double"), approximate_median(source, column).scalar()))
 
 
 def delayed(df: DataFrame, column: str, low: float, high: float | None = None, **equal: str) -> DataFrame:

@@ -65,9 +65,7 @@ def fill_const(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def fill_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flights(spark, sf_dir)
-    for column, default in (("DISTANCE", 500.0), ("CRS_ELAPSED_TIME", 120.0), ("BLOCK_TIME", 120.0)):
-        rows = cleaning.fill_median(rows, column, default, reference=flights(spark, sf_dir))
+    rows = cleaning.fill_medians(flights(spark, sf_dir), {"DISTANCE": 500.0, "CRS_ELAPSED_TIME": 120.0, "BLOCK_TIME": 120.0})
     return rows.select("AIRLINE", "FL_NUMBER", "DISTANCE", "CRS_ELAPSED_TIME", "BLOCK_TIME")
 
 

@@ -122,9 +122,9 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "flights")
 
 
-def flights_over(lineitem: DataFrame) -> DataFrame:
-    """The flights view over a given, possibly streaming, line item table."""
-    text = _VIEWS["flights"].replace("DAY_EXPR", _SPARK_DAY).replace("from lineitem l", "from {lineitem} l")
+def flights_over(lineitem: DataFrame, *more: str) -> DataFrame:
+    """The flights view over a given, possibly streaming, line item table, with more of its columns."""
+    text = _VIEWS["flights"].replace("DAY_EXPR", ", ".join([*more, _SPARK_DAY])).replace("from lineitem l", "from {lineitem} l")
     return lineitem.sparkSession.sql(text, lineitem=lineitem)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from tarmac.sources.schemas import FLIGHT, HOURLY_WEATHER, RAW_FLIGHT, REPORT
 
 CORRUPT = "_corrupt_record"
+RUN = "_run"  # names the folder of each appending run
 
 
 def table_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
@@ -87,17 +89,28 @@ def missing_rows(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
     """Add the rows of keys the table at `path` lacks; the whole table.
 
-    Rows are stored partitioned by key, and a key is listed as loaded only once all its rows
-    are. A run that died in between left keys unlisted: repeating it replaces their rows.
+    Every run writes its rows once, to a folder of its own, and then lists (key, run) for the keys
+    it finds in what it wrote. Rows count only where they are listed, so a run that died before
+    that leaves nothing to be seen, and none of it is in the way of the next. Of a key that
+    several runs listed, running at once, the least run counts. Rows without a key are left out.
     """
-    spark = df.sparkSession
-    rows, keys = f"{path}/rows", f"{path}/keys"
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    keys = f"{path}/keys"
+    wanted = df.where(F.col(key).isNotNull())
     if table_exists(spark, keys):
-        df = missing_rows(df, spark.read.parquet(keys), key)
-    df.hint("rebalance", F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(rows)
-    df.select(key).distinct().write.mode("append").parquet(keys)
-    stored = spark.read.schema(df.schema).parquet(rows)
-    return stored.join(spark.read.parquet(keys), key, "left_semi")
+        wanted = missing_rows(wanted, spark.read.parquet(keys), key)
+    own = f"{path}/rows/{RUN}={run}"
+    wanted.hint("rebalance", F.col(key)).write.partitionBy(key).parquet(own)
+    written = spark.read.schema(df.schema).parquet(own).select(key).distinct()
+    written.select(key, F.lit(run).alias(RUN)).write.mode("append").parquet(keys)
+    return read_appended(spark, path, key, df.schema)
+
+
+def read_appended(spark: SparkSession, path: str, key: str, schema: T.StructType) -> DataFrame:
+    """The listed rows of a table that `append_missing` wrote."""
+    listed = spark.read.parquet(f"{path}/keys").groupBy(key).agg(F.min(RUN).alias(RUN))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(RUN, T.StringType())])).parquet(f"{path}/rows")
+    return rows.join(listed, [key, RUN], "left_semi").select(*(f"`{c}`" for c in schema.names))
 
 
 def save_table(df: DataFrame, path: str) -> DataFrame:

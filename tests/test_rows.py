@@ -28,6 +28,29 @@ def test_exact_median(spark, values):
     assert cleaning.exact_median(df, "v").first()["median"] == expected
 
 
+@pytest.mark.parametrize("bound, cells", [(50_000, 10_000), (3, 2)])
+def test_exact_medians_of_odd_columns(spark, bound, cells):
+    nan, inf, top = float("nan"), float("inf"), 1.7e308
+    columns = {
+        "few": [1.0, None, None, None, None, None, None, 9.0],
+        "none": [None] * 8,
+        "ends": [-inf, -top, -top, 0.0, 2.0, top, inf, inf],
+        "nans": [nan, nan, 1.0, 2.0, 3.0, 4.0, nan, 5.0],
+        "same": [7.0] * 8,
+        "whole": [float(x) for x in (3, 3, 3, 3, 4, 4, 4, 4)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    got = cleaning.exact_medians(df, list(columns), band=0.4, cells=cells, bound=bound)
+    assert got == {"few": 5.0, "none": None, "ends": 1.0, "nans": 4.5, "same": 7.0, "whole": 3.5}
+
+
+def test_fill_medians_of_several_columns(spark):
+    train = spark.createDataFrame([(1.0, None), (3.0, None), (None, None)], "x double, y double")
+    rows = spark.createDataFrame([(None, 4.0), (100.0, None)], "x double, y double")
+    got = cleaning.fill_medians(rows, {"x": 0.0, "y": 50.0, "z": 7.0}, train)
+    assert sorted(tuple(r) for r in got.collect()) == [(2.0, 4.0, 7.0), (100.0, 50.0, 7.0)]
+
+
 def test_fill_median_uses_the_reference_rows(spark):
     train = spark.createDataFrame([(1.0,), (3.0,), (None,)], "x double")
     rows = spark.createDataFrame([(None,), (100.0,)], "x double")
