@@ -14,9 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tarmac.sources.tables import save_table
+from tarmac.workspace import new_folder
+
 MICROS = 1_000_000
 DAY = 86_400
 PIECES = 8
+BOUND = 1_000_000  # rows of a window that one task sorts, at most
+SLOTS = 1024  # cells of a crowded bucket
 
 
 def micros(time: Column) -> Column:
@@ -29,6 +34,16 @@ def whole_div(value: Column, by: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
 
 
+def time_points(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Sum and count of `value` for every distinct (key, time): key, time, `_sum`, `_n`.
+
+    Null and NaN values add nothing. Rows without key or time are left out.
+    """
+    number = F.col(value).cast("double")
+    known = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.when(~F.isnan(number), number).alias("_v"))
+    return known.groupBy(key, time).agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"), F.count("_v").alias("_n"))
+
+
 def rolling_points(
     df: DataFrame,
     key: str,
@@ -37,66 +52,105 @@ def rolling_points(
     width: int,
     pieces: int = PIECES,
     at: DataFrame | None = None,
+    bound: int = BOUND,
 ) -> DataFrame:
     """Mean of `value` in [t - width, t) for every distinct (key, t). Columns: key, t, mean.
 
     The t are those of `df`, or those of `at` if given; then only the parts of `df` that their
     ranges touch are kept. Times are in seconds, `pieces` a divisor of the width in microseconds.
     The mean is null where the range is empty. Null and NaN values are left out.
+    """
+    if at is not None:
+        asked = at.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time).distinct()
+        ends = asked.select(F.min(time).alias("low"), F.max(time).alias("high"))
+        low = ends.select((F.col("low").cast("timestamp") - F.expr(f"interval {width} seconds")).cast(df.schema[time].dataType)).scalar()
+        cell = whole_div(micros(F.col(time)), _piece(width, pieces))
+        touched = asked.withColumn("_bucket", F.explode(F.sequence(cell - pieces, cell))).select(key, "_bucket").distinct()
+        # The outer times prune files; the buckets then leave what some range can hold.
+        source = df.where(F.col(time).between(low, ends.select("high").scalar()))
+        source = source.withColumn("_bucket", cell).join(touched, [key, "_bucket"], "left_semi")
+        return range_means(time_points(source, key, time, value), key, time, width, pieces, asked, bound)
+    return range_means(time_points(df, key, time, value), key, time, width, pieces, bound=bound)
+
+
+def _piece(width: int, pieces: int) -> int:
+    if width * MICROS % pieces:
+        raise ValueError(f"{pieces} pieces do not divide {width} seconds")
+    return width * MICROS // pieces
+
+
+def range_means(
+    points: DataFrame, key: str, time: str, width: int, pieces: int = PIECES, at: DataFrame | None = None, bound: int = BOUND
+) -> DataFrame:
+    """As `rolling_points`, from `points` (key, time, `_sum`, `_n`), one per key and time; `at`: distinct (key, time).
 
     Time is cut into buckets of width / pieces. A range is the tail of the bucket it starts in,
     the whole buckets after it, and the head of the bucket of t: a running sum from the end, a
     sum of bucket totals and a running sum from the start. Nothing is subtracted, so neither a
     large value nor one that is no number spoils a sum it is not part of.
+
+    The points are stored, as several steps read them. A bucket with more than `bound` / 2 points
+    is cut into 1,024 cells of time, and a cell in which still more than `bound` fall once more, so
+    that no task sorts more than `bound` rows together, or what a microsecond clock can tell apart
+    within a millionth of a bucket.
     """
-    span = width * MICROS
-    if span % pieces:
-        raise ValueError(f"{pieces} pieces do not divide {span} microseconds")
-    size = span // pieces
-    number = F.col(value).cast("double")
-    source = df.select(key, time, F.when(~F.isnan(number), number).alias("_v"))
+    span, size = width * MICROS, _piece(width, pieces)
+    spark = points.sparkSession
+    marked = points.withColumn("_wanted", F.lit(True))
     if at is not None:
-        asked = at.select(key, time).distinct()
-        ends = asked.select(F.min(time).alias("low"), F.max(time).alias("high"))
-        low = ends.select((F.col("low").cast("timestamp") - F.expr(f"interval {width} seconds")).cast(df.schema[time].dataType)).scalar()
-        cell = whole_div(micros(F.col(time)), size)
-        touched = asked.withColumn("_bucket", F.explode(F.sequence(cell - pieces, cell))).select(key, "_bucket").distinct()
-        # The outer times prune files; the buckets then leave what some range can hold.
-        source = source.where(F.col(time).between(low, ends.select("high").scalar()))
-        source = source.withColumn("_bucket", cell).join(touched, [key, "_bucket"], "left_semi").drop("_bucket")
-        source = source.withColumn("_wanted", F.lit(False)).unionByName(asked.withColumns({"_v": F.lit(None).cast("double"), "_wanted": F.lit(True)}))
-    else:
-        source = source.withColumn("_wanted", F.lit(True))
-    points = (
-        source.groupBy(key, time)
-        .agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"), F.count("_v").alias("_n"), F.max("_wanted").alias("_wanted"))
-        .withColumn("_t", micros(F.col(time)))
-    )
+        none = at.withColumns({"_sum": F.lit(0.0), "_n": F.lit(0).cast("bigint"), "_wanted": F.lit(True)})
+        marked = points.withColumn("_wanted", F.lit(False)).unionByName(none.select(*marked.columns))
+        marked = marked.groupBy(key, time).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_wanted").alias("_wanted"))
+    kind_of_time = points.schema[time].dataType
+    points = save_table(marked.withColumn("_t", micros(F.col(time))), new_folder(spark, "points"))
+    totals = points.groupBy(key, whole_div(F.col("_t"), size).alias("_bucket")).agg(F.sum("_sum").alias("_s"), F.sum("_n").alias("_c"), F.count(F.lit(1)).alias("_points"))
     zero = F.lit(0).cast("bigint")
 
     def mark(at_: Column, kind: int, total: Column, count: Column) -> Column:
         return F.struct(at_.alias("_at"), F.lit(kind).alias("_kind"), total.alias("_s"), count.alias("_c"))
 
     # Every point stands at its own time (kind 1) and, without a value, where its range starts
-    # (kind 2). The sum of the whole buckets before a bucket stands at its beginning (kind 0). A
-    # key's rows without a time are one point, which no join finds again.
+    # (kind 2). What comes before a bucket, or a cell of one, stands at its beginning (kind 0), what
+    # follows a cell in its bucket behind its end (kind 3).
     own = mark(F.col("_t"), 1, F.col("_sum"), F.col("_n"))
     start = mark(F.col("_t") - span, 2, F.lit(0.0), zero)
     marks = points.select(key, time, "_wanted", F.inline(F.array(own, start))).where("_kind = 1 or _wanted")
-    marks = marks.withColumn("_bucket", whole_div(F.col("_at"), size))
+    marks = marks.withColumns({"_bucket": whole_div(F.col("_at"), size), "_cell": F.lit(0)})
+
+    def more(of: DataFrame, at_: Column, kind: int, total: str, count: str) -> DataFrame:
+        rows = of.select(key, F.lit(None).cast(kind_of_time).alias(time), F.lit(False).alias("_wanted"), at_.alias("_at"), F.lit(kind).alias("_kind"), F.col(total).alias("_s"), F.col(count).alias("_c"), "_bucket", "_cell")
+        return rows.where("_c > 0")
+
+    whole = None
     if pieces > 1:
-        totals = points.groupBy(key, whole_div(F.col("_t"), size).alias("_bucket")).agg(F.sum("_sum").alias("_s"), F.sum("_n").alias("_c"))
         ahead = totals.withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") + 1, F.col("_bucket") + (pieces - 1))))
-        whole = ahead.groupBy(key, "_bucket").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
-        marks = marks.unionByName(
-            whole.select(key, F.lit(None).cast(df.schema[time].dataType).alias(time), F.lit(False).alias("_wanted"), (F.col("_bucket") * size).alias("_at"), F.lit(0).alias("_kind"), "_s", "_c", "_bucket")
+        whole = ahead.groupBy(key, "_bucket").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c")).withColumn("_cell", F.lit(0))
+    most = totals.agg(F.max("_points")).first()[0] or 0
+    if most <= bound // 2:
+        if whole is not None:
+            marks = marks.unionByName(more(whole, F.col("_bucket") * size, 0, "_s", "_c"))
+    else:
+        large = totals.where(F.col("_points") > bound // 2).select(key, "_bucket")
+        large = save_table(large.unionByName(large.withColumn("_bucket", F.col("_bucket") - pieces)).distinct(), new_folder(spark, "large"))
+        usual = marks.join(large, [key, "_bucket"], "left_anti")
+        if whole is not None:
+            usual = usual.unionByName(more(whole.join(large, [key, "_bucket"], "left_anti"), F.col("_bucket") * size, 0, "_s", "_c"))
+        crowded = _in_cells(marks.join(large, [key, "_bucket"], "left_semi"), key, size, bound)
+        cells = crowded.groupBy(key, "_bucket", "_cell").agg(
+            F.sum(F.when(F.col("_kind") == 1, F.col("_s")).otherwise(0.0)).alias("_s"), F.sum("_c").alias("_c"), F.min("_at").alias("_from"), F.max("_at").alias("_to")
         )
-    inside = W.partitionBy(key, "_bucket")
+        if whole is not None:  # the whole buckets before stand in a cell before the first
+            cells = cells.unionByName(whole.join(large, [key, "_bucket"], "left_semi").select(key, "_bucket", F.lit(-1).alias("_cell"), "_s", "_c", F.lit(None).cast("bigint").alias("_from"), F.lit(None).cast("bigint").alias("_to")))
+        line = W.partitionBy(key, "_bucket").orderBy("_cell")
+        earlier, later = line.rowsBetween(W.unboundedPreceding, -1), line.rowsBetween(1, W.unboundedFollowing)
+        cells = cells.select(key, "_bucket", "_cell", "_from", "_to", *[F.sum(c).over(w).alias(f"{c}{x}") for c in ("_s", "_c") for w, x in ((earlier, "b"), (later, "a"))]).where("_cell >= 0")
+        marks = usual.unionByName(crowded).unionByName(more(cells, F.col("_from"), 0, "_sb", "_cb")).unionByName(more(cells, F.col("_to") + 1, 3, "_sa", "_ca"))
+    inside = W.partitionBy(key, "_bucket", "_cell")
     head = inside.orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, -1)
     tail = inside.orderBy(F.desc("_at"), "_kind").rowsBetween(W.unboundedPreceding, -1)
 
     def part(of: str) -> Column:
-        return F.when(F.col("_kind") == 1, F.sum(of).over(head)).when(F.col("_kind") == 2, F.sum(F.when(F.col("_kind") == 1, F.col(of))).over(tail))
+        return F.when(F.col("_kind") == 1, F.sum(of).over(head)).when(F.col("_kind") == 2, F.sum(F.when(F.col("_kind").isin(1, 3), F.col(of))).over(tail))
 
     parts = marks.withColumns({"_ps": part("_s"), "_pc": part("_c")}).where("_wanted")
 
@@ -110,6 +164,21 @@ def rolling_points(
     )
 
 
+def _in_cells(marks: DataFrame, key: str, size: int, bound: int) -> DataFrame:
+    """The marks of crowded buckets, numbered by cells of time in the order of time.
+
+    A bucket has SLOTS cells; a cell with more than `bound` marks has as many again.
+    """
+    inside = F.pmod(F.col("_at"), F.lit(size)) * SLOTS
+    first = whole_div(inside, size)
+    second = whole_div(F.pmod(inside, F.lit(size)) * SLOTS, size)
+    marks = marks.withColumns({"_first": first.cast("int"), "_second": second.cast("int")})
+    full = marks.groupBy(key, "_bucket", "_first").agg(F.count(F.lit(1)).alias("_marks")).where(F.col("_marks") > bound)
+    marks = marks.join(full.select(key, "_bucket", "_first", F.lit(1).alias("_full")), [key, "_bucket", "_first"], "left")
+    cell = F.col("_first") * SLOTS + F.when(F.col("_full").isNotNull(), F.col("_second")).otherwise(0)
+    return marks.withColumn("_cell", cell).drop("_first", "_second", "_full")
+
+
 def rolling_mean(
     df: DataFrame,
     key: str,
@@ -119,15 +188,16 @@ def rolling_mean(
     out: str = "rolling_mean",
     pieces: int = PIECES,
     history: DataFrame | None = None,
+    bound: int = BOUND,
 ) -> DataFrame:
     """Every row with the mean of its key's rows in [t - width, t); 0 where there are none.
 
     The values come from `history` (same columns) if given, else from the rows themselves.
     """
     if history is None:
-        points = rolling_points(df, key, time, value, width, pieces)
+        points = rolling_points(df, key, time, value, width, pieces, bound=bound)
     else:
-        points = rolling_points(history, key, time, value, width, pieces, at=df)
+        points = rolling_points(history, key, time, value, width, pieces, at=df, bound=bound)
     points = points.withColumnRenamed("mean", out)
     return df.join(points, [key, time], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
 

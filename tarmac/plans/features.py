@@ -50,7 +50,11 @@ def add_features(
     flights = with_schedule(clean_flight_keys(df), on_clock_error)
     if history is not None:
         history = with_schedule(clean_flight_keys(history)).select("ORIGIN_AIRPORT", "SCHEDULED_TS", "DEPARTURE_DELAY")
-    flights = add_congestion(flights, history)
+    return add_other_features(add_congestion(flights, history), weather, calendar, on_clock_error)
+
+
+def add_other_features(flights: DataFrame, weather: DataFrame, calendar: DataFrame, on_clock_error: int = 0) -> DataFrame:
+    """The model inputs beside congestion, for flights with clean keys and SCHEDULED_TS."""
     flights = cyclic(clock_parts(calendar_parts(flights, "FL_DATE"), "SCHEDULED_DEPARTURE", on_clock_error), "TIME_OF_DAY")
     flights = holiday_week(flights, "FL_DATE", calendar)
     flights = flights.withColumns(

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.operators import holidays, models
-from tarmac.operators.cleaning import flight_label, normalise
-from tarmac.plans.features import add_features, training_rows, with_schedule
-from tarmac.plans.queries_models import SMALL, prepared
+from tarmac.operators.cleaning import clean_flight_keys, flight_label, normalise
+from tarmac.plans.features import add_features, add_other_features, training_rows, with_schedule
+from tarmac.plans.queries_models import delay_model, prepared
 from tarmac.plans.queries_rows import TRAINING
 from tarmac.plans.queries_sources import POSITIONS_SQL, snapshots
 from tarmac.plans.registry import query
@@ -68,25 +68,32 @@ CLOSED = """select ORIGIN as ORIGIN_AIRPORT, FL_NUMBER as FLIGHT_NUMBER, ts as S
 @query("t3_congestion_stream", oracle(CLOSED, "flights", training=TRAINING))
 def congestion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per flight that the watermark has reached."""
-    out, checkpoint = new_folder(spark, "congestion"), new_folder(spark, "checkpoint")
+    out, state, checkpoint = (new_folder(spark, n) for n in ("congestion", "state", "checkpoint"))
     lines = jobs.file_stream(spark, sf_dir, table(spark, sf_dir, "lineitem").schema, names="lineitem.parquet")
-    stream = congestion.congestion_stream(with_schedule(training_rows(flights_over(lines))), keep=("FLIGHT_NUMBER", "DEPARTURE_DELAY"))
-    jobs.append_stream(stream, out, checkpoint, once=True).awaitTermination()
-    return spark.read.parquet(out).withColumn("SCHEDULED_TS", F.col("SCHEDULED_TS").cast("timestamp_ntz"))
+    running = congestion.Congestion(state, keep=("FLIGHT_NUMBER",))
+    jobs.run_batches(with_schedule(training_rows(flights_over(lines))), running.step, out, checkpoint, once=True).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+# Every flight with a time gets one message; its text is that of the batch form.
+MESSAGES = """select AIRLINE || cast(FL_NUMBER as varchar) as flight_id, ORIGIN || ' -> ' || DEST as route, strftime(FL_DATE, '%Y-%m-%d') as timestamp,
+      'STREAM_UPDATE' as type, true as status_fits, true as as_batch
+    from training where ts is not null"""
 
 
-@query("t4_score_stream")
+@query("t4_score_stream", oracle(MESSAGES, "flights", training=TRAINING))
 def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flights arriving as files, scored and stored as JSON messages."""
-    encoder, rows = prepared(spark, sf_dir)
-    model = models.fit_delay(rows, SMALL)
-    arriving = new_folder(spark, "arriving")
-    training_rows(flights(spark, sf_dir)).write.parquet(arriving)
-    history = spark.read.parquet(arriving)
+    """A history replayed by its dates, scored with what earlier batches left behind, and stored as JSON messages."""
+    encoder, _ = prepared(spark, sf_dir)
+    model = delay_model(spark, sf_dir)
+    stored, out, state, checkpoint = (new_folder(spark, n) for n in ("history", "messages", "state", "checkpoint"))
+    day = F.col("FL_DATE")
+    dated = training_rows(flights(spark, sf_dir)).withColumns({"YEAR": F.year(day), "MONTH": F.month(day), "DAY": F.dayofmonth(day)})
+    tables.write_flights(dated, stored)
+    history = spark.read.parquet(stored)
     hourly, calendar = view(spark, sf_dir, "weather_hourly"), holidays.us_holidays(spark, 2023, 2024)
 
-    def messages(batch: DataFrame) -> DataFrame:
-        features = add_features(batch, hourly, calendar, history)
+    def messages(features: DataFrame) -> DataFrame:
         keep = ("flight_id", "shown_route", "flight_day")
         labelled = features.withColumns(
             {
@@ -101,25 +108,51 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return scored.select("flight_id", message.alias("message"))
 
-    out, checkpoint = new_folder(spark, "messages"), new_folder(spark, "checkpoint")
-    stream = jobs.file_stream(spark, arriving, history.schema)
-    jobs.run_batches(stream, messages, out, checkpoint, once=True).awaitTermination()
-    return spark.read.parquet(out).select("flight_id", "message")
+    running = congestion.Congestion(state, delay=0)
 
+    def step(batch: DataFrame, number: int) -> DataFrame:
+        due = running.step(with_schedule(clean_flight_keys(batch)), number)
+        return messages(add_other_features(due, hourly, calendar))
 
-@query(
-    "t5_replay",
-    oracle(
-        """select AIRLINE || '|' || FLIGHT_NUMBER || '|' || d as id,
-             AIRLINE || FLIGHT_NUMBER || ' to ' || DESTINATION_AIRPORT || ' (' || cast(cast(trunc(DEPARTURE_DELAY) as int) as varchar)
-               || ' min delay on ' || d || ')' as display, cast(trunc(DEPARTURE_DELAY) as int) as delay
-           from (select *, strftime(make_date(YEAR, MONTH, DAY), '%Y-%m-%d') as d from normalised) n""",
-        "normalised",
-    ),
-)
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs.replay(history, step, out, checkpoint, days=40)
+    sent = spark.read.parquet(out)
+    whole = messages(add_features(history, hourly, calendar).where("SCHEDULED_TS is not null"))
+    same = sent.groupBy("message").agg(F.count(F.lit(1)).alias("sent")).join(whole.groupBy("message").agg(F.count(F.lit(1)).alias("made")), "message", "full_outer")
+    update = F.from_json("message", "type string, timestamp string, updates array<struct<flight_id:string, route:string, predicted_delay:double, status:string>>")
+    opened = sent.join(same, "message").select("flight_id", update.alias("m"), F.coalesce(F.col("sent") == F.col("made"), F.lit(False)).alias("as_batch"))
+    one = F.col("m.updates")[0]
+    fits = (one["flight_id"] == F.col("flight_id")) & F.when(one["predicted_delay"] == 15, one["status"].isin("DELAYED", "ON TIME")).otherwise(one["status"] == F.when(one["predicted_delay"] > 15, "DELAYED").otherwise("ON TIME"))
+    return opened.select("flight_id", one["route"].alias("route"), "m.timestamp", "m.type", fits.alias("status_fits"), "as_batch")
+
+
+REPLAYED = """select AIRLINE || '|' || FLIGHT_NUMBER || '|' || d as id,
+      AIRLINE || FLIGHT_NUMBER || ' to ' || DESTINATION_AIRPORT || ' (' || cast(cast(trunc(DEPARTURE_DELAY) as int) as varchar)
+        || ' min delay on ' || d || ')' as display, cast(trunc(DEPARTURE_DELAY) as int) as delay, batch
+    from (select *, strftime(make_date(YEAR, MONTH, DAY), '%Y-%m-%d') as d,
+        cast((dense_rank() over (order by YEAR, MONTH, DAY) - 1) // 7 as int) as batch from normalised) n"""
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history in batches of seven dates each, stopped after five batches and started again."""
     stored, out, checkpoint = (new_folder(spark, n) for n in ("history", "replayed", "checkpoint"))
     tables.write_flights(normalise(flights(spark, sf_dir)), stored)
-    schema = spark.read.parquet(stored).schema
-    jobs.replay(spark, stored, schema, flight_label, out, checkpoint, files_per_trigger=2).awaitTermination()
-    return spark.read.parquet(out).select("id", "display", "delay")
+    label = lambda batch, _: flight_label(batch)
+    jobs.replay(spark.read.parquet(stored), label, out, checkpoint, days=7, batches=5)
+    jobs.replay(spark.read.parquet(stored), label, out, checkpoint, days=7)
+    return spark.read.parquet(out)
+
+
+@query("t5_replay", oracle(REPLAYED, "normalised"))
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with the number of the batch that brought it."""
+    return replayed(spark, sf_dir).select("id", "display", "delay", "batch")
+
+
+@query(
+    "t5_replay_order",
+    oracle(f"select batch, min(split_part(id, '|', 3)) as low, max(split_part(id, '|', 3)) as high, count(*) as n from ({REPLAYED}) r group by batch", "normalised"),
+)
+def replay_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last date of every batch: the dates follow the batches."""
+    day = F.split_part("id", F.lit("|"), F.lit(3))
+    return replayed(spark, sf_dir).groupBy("batch").agg(F.min(day).alias("low"), F.max(day).alias("high"), F.count(F.lit(1)).alias("n"))
