@@ -1,20 +1,23 @@
 """Queries over delay models and whole analyses.
 
-Model queries have no SQL. Their trees are few and shallow to keep a check short; the rows
-are those of the whole table.
+All trees have the library's own settings. What is fitted on a table is fitted once per session:
+its encoder, encoded rows and models are stored and read again. The SQL of the model queries
+checks what must hold whatever the trees are: which rows are held out, what each was scored with,
+that predictions are numbers, that a stored model scores like the one in memory.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.operators import aggregates, holidays, lookups, models, retrieval
-from tarmac.operators.cleaning import fill_median, normalise
+from tarmac.operators.cleaning import normalise
 from tarmac.plans.analyze import Sources, analyze, prompt_text
+from tarmac.plans.evaluate import evaluate, recorded_flights
 from tarmac.plans.queries_joins import PARSED, SCHEDULE
-from tarmac.plans.queries_rows import LOOKUP_SQL, LOOKUP_STEPS, feature_rows
+from tarmac.plans.queries_rows import LOOKUP_SQL, LOOKUP_STEPS, TRAINING, feature_rows
 from tarmac.plans.queries_rules import LOW, PROGRAMME_SQL, TODAY, WEATHER_STEPS, _quoted, day_and_now, risk_sql
 from tarmac.plans.queries_search import corpus
 from tarmac.plans.queries_sources import REPORTS_SQL, reports, snapshots
@@ -25,8 +28,8 @@ from tarmac.sources import feeds, tables
 from tarmac.sources import fixed_values as fixed
 from tarmac.workspace import new_folder
 
-SMALL = models.TreeParams(trees=5, depth=4, step=0.3)
 KEY = ("AIRLINE", "FLIGHT_NUMBER", "MONTH", "DAY", "TIME_OF_DAY", "ROUTE")
+_made: dict[tuple[str, str, str], str] = {}
 
 
 def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,36 +38,96 @@ def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.lookup(feature_rows(spark, sf_dir), names, "AIRLINE", "carrier", "carrier_name", "AIRLINE", F.col("AIRLINE"))
 
 
+def _once(spark: SparkSession, sf_dir: str, what: str, make) -> str:
+    """The folder that `make` has filled, once per session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _made:
+        folder = new_folder(spark, what)
+        make(folder)
+        _made[key] = folder
+    return _made[key]
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(encoder, encoded rows), both stored: training reads them many times."""
-    folder = new_folder(spark, "prepared")
-    rows = named_rows(spark, sf_dir)
-    for column, default in models.MEDIAN_DEFAULTS.items():
-        rows = fill_median(rows, column, default, reference=flights(spark, sf_dir))
-    rows = tables.save_table(rows, f"{folder}/rows")
-    encoder = tables.save_table(aggregates.fit_encoder(rows, models.TARGET), f"{folder}/encoder")
-    return encoder, tables.save_table(models.even(models.prepare(rows, encoder), rows), f"{folder}/encoded")
+    """(encoder, encoded rows) of the whole table."""
+    folder = _once(spark, sf_dir, "training", lambda f: models.training_table(named_rows(spark, sf_dir), KEY, folder=f))
+    return spark.read.parquet(f"{folder}/encoder"), spark.read.parquet(f"{folder}/prepared")
 
 
-@query("m2_fit_delay")
-def fit_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded rows to learn from, and those held out."""
     _, rows = prepared(spark, sf_dir)
-    scored = models.score(rows, models.fit_delay(rows, SMALL))
-    return aggregates.regression_metrics(scored, models.TARGET, "prediction")
+    return rows.where(~F.col("_test")), rows.where(F.col("_test"))
+
+
+def delay_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    train, _ = parts(spark, sf_dir)
+    folder = _once(spark, sf_dir, "model", lambda f: models.save_model(models.fit_delay(train, valid="_valid"), f))
+    return models.load_model(spark, folder)
+
+
+def two_models(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, PipelineModel]:
+    def make(folder: str) -> None:
+        for model, name in zip(models.fit_two_stage(parts(spark, sf_dir)[0], valid="_valid"), ("late", "minutes")):
+            models.save_model(model, f"{folder}/{name}")
+
+    folder = _once(spark, sf_dir, "two_stage", make)
+    return models.load_model(spark, f"{folder}/late"), models.load_model(spark, f"{folder}/minutes")
+
+
+# The held-out rows: key and recorded delay of every training row whose hash falls into the fifth.
+HELD_OUT = {
+    "keyed": """select coalesce(carrier_name, AIRLINE) || '|' || cast(FL_NUMBER as varchar) || '|' || cast(month(FL_DATE) as varchar) || '|' || cast(day(FL_DATE) as varchar)
+          || '|' || cast(CRS_DEP_TIME // 100 * 60 + CRS_DEP_TIME % 100 as varchar) || '|' || ORIGIN || '_' || DEST as flight, DEP_DELAY as delay
+        from training left join dim_carrier_name on carrier = AIRLINE""",
+    "held": "select * from keyed where cast('0x' || substring(md5('42|' || flight), 1, 8) as bigint) % 100 < 20",
+    "learnt": "select * from keyed where cast('0x' || substring(md5('42|' || flight), 1, 8) as bigint) % 100 >= 20",
+}
+
+
+def held_out_sql(text: str) -> str:
+    return oracle(text, "flights", "dim_carrier_name", training=TRAINING, **HELD_OUT)
+
+
+def is_number(column: str) -> Column:
+    return (F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < 1e6)).alias(column)
+
+
+# A model is held against the constant that is best for absolute errors, the median of the rows learnt from.
+CONSTANT = """cast(count(*) as bigint) as rows, avg(abs(delay - (select median(delay) from learnt))) as constant_mae"""
+
+
+def against_constant(train: DataFrame, test: DataFrame, model: PipelineModel) -> DataFrame:
+    """Held-out rows, the absolute error of the constant there, and whether the model's errors are what they may be:
+    under the constant's on the rows learnt from, at most a quarter above it on the others.
+    """
+    constant = F.lit(train.agg(F.median(models.TARGET)).first()[0])
+    miss = F.avg(F.abs(F.col(models.TARGET) - constant))
+    learnt, held = (aggregates.regression_metrics(models.score(df, model), models.TARGET, "prediction").first() for df in (train, test))
+    before = train.agg(miss).first()[0]
+    base = test.agg(F.count(F.lit(1)).alias("rows"), miss.alias("constant_mae"))
+    return base.select(
+        "rows", "constant_mae", F.lit(learnt["mae"] < before).alias("learns"), (F.lit(held["mae"]) <= 1.25 * F.col("constant_mae")).alias("near_constant"), F.lit(held["rmse"] >= held["mae"]).alias("ordered")
+    )
+
+
+@query("m2_fit_delay", held_out_sql(f"select {CONSTANT}, true as learns, true as near_constant, true as ordered from held"))
+def fit_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors on the held-out rows, beside those of the training part's median."""
+    return against_constant(*parts(spark, sf_dir), delay_model(spark, sf_dir))
 
 
-@query("m2_fit_delay_linear")
+@query("m2_fit_delay_linear", held_out_sql(f"select {CONSTANT}, true as ordered from held"))
 def fit_delay_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = prepared(spark, sf_dir)
-    scored = models.score(rows, models.fit_delay_linear(rows))
-    return aggregates.regression_metrics(scored, models.TARGET, "prediction")
+    train, test = parts(spark, sf_dir)
+    return against_constant(train, test, models.fit_delay_linear(train)).select("rows", "constant_mae", "ordered")
 
 
-@query("m3_score_two_stage")
+@query("m3_score_two_stage", held_out_sql("select flight, delay, true as prediction, true as late_or_none from held"))
 def score_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = prepared(spark, sf_dir)
-    scored = models.score_two_stage(rows, *models.fit_two_stage(rows, SMALL))
-    return scored.select(models.TARGET, "prediction")
+    """Held-out rows; a prediction is 0 or what a flight late by over 15 minutes is given."""
+    scored = models.score_two_stage(parts(spark, sf_dir)[1], *two_models(spark, sf_dir))
+    return scored.select(F.col("_key").alias("flight"), F.col(models.TARGET).alias("delay"), is_number("prediction"), ((F.col("prediction") == 0) | (F.col("prediction") > 0)).alias("late_or_none"))
 
 
 @query(
@@ -76,29 +139,35 @@ def two_stage_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(minutes, 6).alias("minutes"))
 
 
-@query("m4_score")
+@query("m4_score", held_out_sql("select flight, delay, true as predicted_delay from held"))
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = prepared(spark, sf_dir)
-    return models.score(rows, models.fit_delay(rows, SMALL), "predicted_delay").select(models.TARGET, "predicted_delay")
+    scored = models.score(parts(spark, sf_dir)[1], delay_model(spark, sf_dir), "predicted_delay")
+    return scored.select(F.col("_key").alias("flight"), F.col(models.TARGET).alias("delay"), is_number("predicted_delay"))
 
 
-@query("m5_train_and_evaluate")
+@query("m5_train_and_evaluate", held_out_sql(f"select {CONSTANT}, true as learns, true as near_constant, true as ordered from held"))
 def train_and_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.train_and_evaluate(named_rows(spark, sf_dir), KEY, SMALL).metrics
+    """The whole run, from raw flights to errors on the held-out part."""
+    folder = new_folder(spark, "run")
+    report = models.train_and_evaluate(named_rows(spark, sf_dir), KEY, folder=folder)
+    rows = spark.read.parquet(f"{folder}/prepared")
+    return against_constant(rows.where(~F.col("_test")), rows.where(F.col("_test")), report.model)
 
 
-@query("m6_score_scenarios")
+@query("m6_score_scenarios", f"select unnest([{', '.join(_quoted(row[0]) for row in fixed.SCENARIOS)}]) as name, true as prediction")
 def score_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoder, rows = prepared(spark, sf_dir)
-    return models.score_scenarios(models.scenarios(spark), encoder, models.fit_delay(rows, SMALL))
+    encoder, _ = prepared(spark, sf_dir)
+    return models.score_scenarios(models.scenarios(spark), encoder, delay_model(spark, sf_dir)).select("name", is_number("prediction"))
 
 
-@query("s11_save_and_load_model")
+@query("s11_save_and_load_model", held_out_sql("select flight, delay, true as same from held"))
 def save_and_load_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = prepared(spark, sf_dir)
-    path = new_folder(spark, "model")
-    models.save_model(models.fit_delay(rows, SMALL), path)
-    return models.score(rows, models.load_model(spark, path)).select(models.TARGET, "prediction")
+    """Held-out rows, and whether the stored model scores each like the one in memory."""
+    model, path = delay_model(spark, sf_dir), new_folder(spark, "model")
+    models.save_model(model, path)
+    test = parts(spark, sf_dir)[1]
+    both = models.score(models.score(test, model, "first"), models.load_model(spark, path), "second")
+    return both.select(F.col("_key").alias("flight"), F.col(models.TARGET).alias("delay"), (F.col("first") == F.col("second")).alias("same"))
 
 
 def newest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,12 +263,12 @@ def analyze_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_sources(spark: SparkSession, sf_dir: str, two_stage: bool = False) -> tuple[DataFrame, Sources]:
     """Requests and sources with a model (or the two-stage pair), positions, a searchable corpus and replies."""
     requests = view(spark, sf_dir, "requests")
-    encoder, rows = prepared(spark, sf_dir)
+    encoder, _ = prepared(spark, sf_dir)
     fitted: dict[str, PipelineModel] = {}
     if two_stage:
-        fitted["classifier"], fitted["late_model"] = models.fit_two_stage(rows, SMALL)
+        fitted["classifier"], fitted["late_model"] = two_models(spark, sf_dir)
     else:
-        fitted["model"] = models.fit_delay(rows, SMALL)
+        fitted["model"] = delay_model(spark, sf_dir)
     documents = corpus(spark, sf_dir).drop("vector")
     text = documents.withColumn("text", retrieval.corpus_text(F.col("title"), F.col("content")))
     embedder = retrieval.fit_text_embedder(text, "text")
@@ -224,15 +293,66 @@ def full_sources(spark: SparkSession, sf_dir: str, two_stage: bool = False) -> t
     return requests, sources
 
 
-@query("analyze_with_model")
+# What does not depend on the trees: who is asked about, the weather, the programme, the outcome.
+WITH_MODEL_SQL = f"""
+    select request_id, mode, timestamp, carrier, origin, destination, scheduled_departure, origin_risk, dest_risk, notam_type, penalty, actual_delay_minutes,
+      true as delay, true as confidence, true as explained from ({ANALYZE_SQL}) a"""
+MODEL_ORACLE = oracle(WITH_MODEL_SQL, "normalised", "requests", "dim_carrier", "dim_hub", "weather_hourly", "airport_events", "dim_recommendation", **ANALYZE_STEPS)
+
+
+def checked_event(events: DataFrame) -> DataFrame:
+    """An event's facts, and whether delay, confidence, cause and action are what they may be."""
+    flat = flat_event(events)
+    return flat.select(
+        "request_id", "mode", "timestamp", "carrier", "origin", "destination", "scheduled_departure", "origin_risk", "dest_risk", "notam_type", "penalty", "actual_delay_minutes",
+        F.coalesce(F.col("delay") >= 0, F.lit(False)).alias("delay"),
+        F.coalesce(F.col("confidence").between(0.5, 0.95), F.lit(False)).alias("confidence"),
+        F.coalesce((F.length("primary_cause") > 0) & (F.length("citation") > 0) & (F.length("action") > 0), F.lit(False)).alias("explained"),
+    )
+
+
+@query("analyze_with_model", MODEL_ORACLE)
 def analyze_with_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat_event(analyze(*full_sources(spark, sf_dir)))
+    return checked_event(analyze(*full_sources(spark, sf_dir)))
 
 
-@query("analyze_two_stage")
+@query("analyze_two_stage", MODEL_ORACLE)
 def analyze_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late or not first, then minutes of the late."""
-    return flat_event(analyze(*full_sources(spark, sf_dir, two_stage=True)))
+    return checked_event(analyze(*full_sources(spark, sf_dir, two_stage=True)))
+
+
+SAMPLED = 500
+RECORDED = """select AIRLINE || '|' || FLIGHT_NUMBER || '|' || strftime(make_date(YEAR, MONTH, DAY), '%Y-%m-%d') as query, DEPARTURE_DELAY, WEATHER_DELAY
+    from normalised where DEPARTURE_DELAY > 15 and DEPARTURE_DELAY < 180
+    qualify row_number() over (partition by AIRLINE, FLIGHT_NUMBER, YEAR, MONTH, DAY
+      order by SCHEDULED_DEPARTURE, ORIGIN_AIRPORT, DESTINATION_AIRPORT, DEPARTURE_DELAY, CANCELLED, WEATHER_DELAY) = 1"""
+EVALUATE_STEPS = {
+    "recorded": RECORDED,
+    "drawn": f"select * from recorded order by md5('42|' || query), query limit {SAMPLED}",
+    "requests": "select row_number() over (order by query) - 1 as request_id, 'historical' as mode, * from drawn",
+}
+# The rules' analysis of the sample against what was recorded.
+EVALUATE_SQL = f"""
+    select avg(abs(actual - delay)) as mae, sqrt(avg((actual - delay) * (actual - delay))) as rmse, count(*) as n,
+      avg(case when (minutes > 0) = weather then 1e0 else 0e0 end) as accuracy,
+      avg(case when case when weather then regexp_matches(cited, 'weather|storm|snow') else not contains(cited, 'weather') end then 1e0 else 0e0 end) as relevance
+    from (select cast(trunc(r.DEPARTURE_DELAY) as int) as actual, coalesce(r.WEATHER_DELAY, 0) as minutes, a.delay,
+        regexp_matches(lower(a.primary_cause), 'weather|storm|snow') as weather, lower(a.citation) as cited
+      from requests r join ({ANALYZE_SQL}) a using (request_id)) j"""
+
+
+@query(
+    "a3_evaluate_analysis",
+    oracle(
+        EVALUATE_SQL, "normalised", "dim_carrier", "dim_hub", "weather_hourly", "airport_events", "dim_recommendation",
+        **EVALUATE_STEPS, **{k: v for k, v in ANALYZE_STEPS.items()},
+    ),
+)
+def evaluate_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of recorded flights, analysed from end to end by the rules: delay, cause and citations judged."""
+    sampled = recorded_flights(normalise(flights(spark, sf_dir)), SAMPLED)
+    return evaluate(sampled, lambda requests: analyze(requests, basic_sources(spark, sf_dir)))
 
 
 # Without positions every flight has altitude and speed 0.
