@@ -149,35 +149,17 @@ def atc_constraint(programme: Column, minutes=first_int) -> Column:
             message.alias("message"), penalty.cast("bigint").alias("delay_penalty_minutes"),
         )
 
-    def reason(of: Column) -> Column:
-        return F.coalesce(of.getField("reason"), F.lit("Unknown"))
+    def in_force(texts: tuple, of: Column, penalty: Column | None = None) -> Column:
+        kind, before, after, fixed_minutes = texts
+        reason = F.coalesce(of.getField("reason"), F.lit(fixed.UNKNOWN_REASON))
+        return state(True, kind, F.concat(F.lit(before), reason, F.lit(after)), F.lit(fixed_minutes) if penalty is None else penalty)
 
     return (
-        F.when(
-            stop.isNotNull(),
-            state(
-                True, "FAA GROUND STOP",
-                F.concat(F.lit("ATC GROUND STOP IN EFFECT: "), reason(stop), F.lit(". All inbound flights held at origin.")),
-                F.lit(120),
-            ),
-        )
-        .when(
-            hold.isNotNull(),
-            state(
-                True, "GROUND DELAY PROGRAM",
-                F.concat(F.lit("FAA GDP IN EFFECT: "), reason(hold), F.lit(". Arrival capacity reduced.")),
-                minutes(hold.getField("avgDelay")),
-            ),
-        )
-        .when(
-            arrival.isNotNull(),
-            state(
-                True, "ATC ARRIVAL DELAY",
-                F.concat(F.lit("FAA METERING DELAY: "), reason(arrival), F.lit(".")), F.lit(30),
-            ),
-        )
-        .otherwise(state(False, "None", F.lit(fixed.NO_PROGRAMME_MESSAGE), F.lit(0)))
-    )
+        F.when(stop.isNotNull(), in_force(fixed.GROUND_STOP, stop))
+        .when(hold.isNotNull(), in_force(fixed.GROUND_DELAY, hold, minutes(hold.getField("avgDelay"))))
+        .when(arrival.isNotNull(), in_force(fixed.ARRIVAL_DELAY, arrival))
+        .otherwise(state(False, fixed.NO_PROGRAMME[0], F.lit(fixed.NO_PROGRAMME_MESSAGE), F.lit(fixed.NO_PROGRAMME[3])))
+    )
 
 
 def situation(active: Column, delay: Column, origin_risk: Column, dest_risk: Column) -> Column:

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from tarmac.plans import (  # noqa: F401
+    queries_documents,
     queries_joins,
     queries_models,
     queries_rows,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.operators import aggregates, cleaning, lookups, ordering, timeline
 from tarmac.plans.queries_rows import normalised
 from tarmac.plans.queries_sources import REPORTS_SQL, reports, snapshots
 from tarmac.plans.registry import query
-from tarmac.plans.views import airport, flights, oracle, table, view
+from tarmac.plans.views import airport, flights, flights_over, oracle, table, view
 from tarmac.sources import dimensions as dims
 from tarmac.sources import feeds, tables
 from tarmac.workspace import new_folder
@@ -177,6 +177,55 @@ def resolve_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.resolve_route(asked, *tiers)
 
 
+def _array_of(*entries: Column) -> Column:
+    """The JSON texts that are not null, as one JSON array."""
+    return F.concat(F.lit("["), F.concat_ws(", ", *entries), F.lit("]"))
+
+
+def _provider_entry(*, status, iata, scheduled, delay, actual, to, arrived) -> Column:
+    """One flight of a provider's answer; absent members are left out."""
+    departure = F.struct(iata.alias("iata"), scheduled.alias("scheduled"), delay.alias("delay"), actual.alias("actual"))
+    return F.to_json(F.struct(status.alias("flight_status"), departure.alias("departure"), F.struct(to.alias("iata"), arrived.alias("actual")).alias("arrival")))
+
+
+def route_documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tiers' rows as the documents that hold them: hits with others behind them, lists in which
+    the flight under way comes second or twice, errors, empty lists, absent members."""
+    asked = _tier(spark, sf_dir, "asked")
+    number = F.col("c_custkey")
+    search = asked.join(_tier(spark, sf_dir, "search"), "iata_flight", "left")
+    hit = F.to_json(F.struct(F.concat(F.lit("x"), number.cast("string")).alias("id"), F.struct(F.col("origin").alias("schd_from"), F.col("destination").alias("schd_to")).alias("detail")))
+    other = F.lit('{"id": "other", "detail": {"schd_from": "ZZZ", "schd_to": "YYY"}}')
+    answer = F.when(F.col("origin").isNotNull(), F.concat(F.lit('{"results": '), _array_of(hit, F.when(number % 2 == 0, other)), F.lit("}")))
+    answer = F.coalesce(answer, F.when(number % 2 == 0, '{"results": []}').when(number % 5 == 0, "no json"), F.lit("{}"))
+    times = F.to_json(F.struct(F.struct(F.struct(F.col("sched_epoch").alias("departure")).alias("scheduled"), F.struct(F.col("real_epoch").alias("departure")).alias("real")).alias("time")))
+    second = asked.join(_tier(spark, sf_dir, "second"), "iata_flight", "left")
+    none = F.lit(None).cast("string")
+    entry = _provider_entry(
+        status=F.col("status"), iata=F.col("origin"), scheduled=F.col("scheduled"), delay=F.col("delay"), actual=F.col("departed"), to=F.col("destination"), arrived=F.col("arrived")
+    )
+    decoy = lambda status: _provider_entry(status=F.lit(status), iata=F.lit("ZZZ"), scheduled=F.lit("2024-01-15T23:59"), delay=F.lit(999.0), actual=none, to=F.lit("YYY"), arrived=none)
+    active = F.col("status") == "active"
+    listed = _array_of(F.when(active, decoy("landed")), entry, F.when(active, decoy("active")), F.when(~active & (number % 3 == 0), decoy("landed")))
+    provider = F.when(F.col("status").isNotNull(), F.concat(F.lit('{"pagination": {"count": 1}, "data": '), listed, F.lit("}")))
+    provider = F.coalesce(provider, F.when(number % 2 == 0, '{"error": {"code": "limit", "info": ["x"]}}').when(number % 3 == 0, '{"data": []}'), F.lit('{"data": null}'))
+    return {
+        "search": search.select("iata_flight", answer.alias("payload")),
+        "times": search.where(F.col("origin").isNotNull()).select(F.concat(F.lit("x"), number.cast("string")).alias("detail_id"), times.alias("payload")),
+        "second": second.select("iata_flight", provider.alias("payload")),
+    }
+
+
+@query("j6_route_documents", oracle(ROUTE_SQL, **TIERS))
+def resolve_route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same routes from the nested documents of the outer tiers."""
+    documents = route_documents(spark, sf_dir)
+    times = feeds.parse_flight_times(documents["times"], "detail_id")
+    search = feeds.with_times(feeds.parse_route_search(documents["search"], "iata_flight"), times, "detail_id").drop("detail_id")
+    second = feeds.parse_route_list(documents["second"], "iata_flight")
+    return lookups.resolve_route(_tier(spark, sf_dir, "asked"), search, _tier(spark, sf_dir, "feed"), second, _tier(spark, sf_dir, "timetable"))
+
+
 HUB_SQL = """
     select request_id, icao_callsign, hubs[cast(i1 + 1 as int)] as origin,
       hubs[cast(case when i1 = i2 then (i2 + 1) % len(hubs) else i2 end + 1 as int)] as destination
@@ -377,10 +426,9 @@ def snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flights(spark, sf_dir)
-    parts = [cleaning.exact_median(rows, c).withColumn("column_name", F.lit(c)) for c in ("DISTANCE", "DEP_DELAY")]
-    price = cleaning.exact_median(table(spark, sf_dir, "lineitem"), "l_extendedprice").withColumn("column_name", F.lit("price"))
-    return parts[0].unionByName(parts[1]).unionByName(price)
+    rows = flights_over(table(spark, sf_dir, "lineitem"), "l_extendedprice as price")
+    medians = cleaning.exact_medians(rows, ["DISTANCE", "DEP_DELAY", "price"])
+    return dims.inline_table(spark, ["column_name", "median"], list(medians.items()))
 
 
 @query(

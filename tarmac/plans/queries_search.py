@@ -45,11 +45,37 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("id", retrieval.corpus_text(F.col("title"), F.col("content")).alias("text"))
 
 
-@query("r2_embed")
+@query("r2_embed", "select doc_id, cast(384 as int) as dimensions, true as unit from documents")
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's embedding, and whether its length is 1, or 0 where no word has any weight."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     embedder = retrieval.fit_text_embedder(documents, "text")
-    return retrieval.embed(documents, "text", embedder).select("doc_id", "embedding")
+    embedded = retrieval.embed(documents, "text", embedder)
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return embedded.select("doc_id", F.size("embedding").alias("dimensions"), ((F.abs(length - 1) < 1e-4) | (length == 0)).alias("unit"))
+
+
+LETTERS = "etaoinsr"
+
+
+def letter_model():
+    """A small model that SQL can repeat: how often each of some letters occurs in a text."""
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[float(text.count(letter)) for letter in LETTERS] for text in texts], dtype="float32")
+
+    return predict
+
+
+@query(
+    "r2_embed_with",
+    "select doc_id, [" + ", ".join(f"cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{x}', '')) as float)" for x in LETTERS) + "] as embedding from documents",
+)
+def embed_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings by a model that is handed in."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval.embed_with(documents, "text", letter_model).select("doc_id", "embedding")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.geo import is_landing_snapshot, si_to_aviation
-from tarmac.sources.schemas import AIRPORT_EVENT, CURRENT_DOCUMENT, DAILY_DOCUMENT, HOURLY_DOCUMENT, REPORT_DOCUMENT
+from tarmac.sources.schemas import (
+    AIRPORT_EVENT, CURRENT_DOCUMENT, DAILY_DOCUMENT, FLIGHT_TIMES, HOURLY_DOCUMENT, REPORT_DOCUMENT, ROUTE_LIST, ROUTE_SEARCH,
+)
 
 MIN_VECTOR_LENGTH = 13
 MIN_FEED_LENGTH = 17
@@ -162,3 +164,50 @@ def parse_reports(df: DataFrame, station: str = "station", payload: str = "paylo
     """A station's observation list per row -> its newest raw report; null if it has none."""
     observations = F.from_json(payload, REPORT_DOCUMENT)
     return df.select(F.col(station).alias("station"), F.get(observations, F.lit(0))["rawOb"].alias("report"))
+
+
+def parse_route_search(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """A search answer per row -> ends of its first hit and the id of that flight's own document; nulls without a hit."""
+    hits = F.from_json(payload, ROUTE_SEARCH)["results"]
+    opened = df.select(key, F.get(hits, F.lit(0)).alias("hit"))
+    return opened.select(
+        key,
+        F.upper("hit.detail.schd_from").alias("origin"),
+        F.upper("hit.detail.schd_to").alias("destination"),
+        F.col("hit.id").alias("detail_id"),
+    )
+
+
+def parse_flight_times(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """A flight's own document per row -> scheduled and real departure in seconds; null where absent."""
+    times = F.from_json(payload, FLIGHT_TIMES)["time"]
+    opened = df.select(key, times.alias("t"))
+    return opened.select(key, F.col("t.scheduled.departure").alias("sched_epoch"), F.col("t.real.departure").alias("real_epoch"))
+
+
+def with_times(rows: DataFrame, times: DataFrame, key: str) -> DataFrame:
+    """Route rows with the departure times of the flight document that they name in `key`; of several the greatest."""
+    one = times.groupBy(key).agg(F.max(F.struct("sched_epoch", "real_epoch")).alias("_times"))
+    return rows.join(one, key, "left").select(*rows.columns, "_times.sched_epoch", "_times.real_epoch")
+
+
+def parse_route_list(df: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """A provider's list of flights per row -> the first that is under way, else the first.
+
+    Columns as the second route tier has them. An answer that lists nothing, such as an error,
+    gives nulls; a delay that is no number counts as absent.
+    """
+    flights = F.from_json(payload, ROUTE_LIST)["data"]
+    under_way = F.filter(flights, lambda f: f["flight_status"] == "active")
+    chosen = F.coalesce(F.get(under_way, F.lit(0)), F.get(flights, F.lit(0)))
+    opened = df.select(key, chosen.alias("f"))
+    return opened.select(
+        key,
+        F.col("f.departure.iata").alias("origin"),
+        F.col("f.arrival.iata").alias("destination"),
+        F.col("f.departure.scheduled").alias("scheduled"),
+        F.col("f.departure.delay").alias("delay"),
+        F.col("f.flight_status").alias("status"),
+        F.col("f.departure.actual").alias("departed"),
+        F.col("f.arrival.actual").alias("arrived"),
+    )

@@ -162,6 +162,16 @@ CITATION_INHERITED = (
 # Airport programme texts.
 NO_PROGRAMME_MESSAGE = "No active Air Traffic Control constraints at destination."
 
+# Airport programmes by kind, with the texts around their reason and the minutes of those that state none.
+GROUND_STOP = ("FAA GROUND STOP", "ATC GROUND STOP IN EFFECT: ", ". All inbound flights held at origin.", 120)
+GROUND_DELAY = ("GROUND DELAY PROGRAM", "FAA GDP IN EFFECT: ", ". Arrival capacity reduced.", None)
+ARRIVAL_DELAY = ("ATC ARRIVAL DELAY", "FAA METERING DELAY: ", ".", 30)
+NO_PROGRAMME = ("None", None, None, 0)
+UNKNOWN_REASON = "Unknown"
+
+# Fixed value: what stands for readings that no one takes from a report.
+UNREAD_REPORT = "Parsed from METAR (WIP)"
+
 # Body of the report used for a station without one.
 ROUTINE_REPORT = "AUTO 10SM CLR 22/15 A3000 RMK AO2 ROUTINE OPERATIONAL METAR"
 

@@ -123,3 +123,16 @@ EVENT = _struct(
     recommendation=_struct("action string, reasoning string"),
     ground_truth=_struct("actual_delay_minutes bigint, actual_action_taken string"),
 )
+
+# Answers of the outer route tiers: a search, a flight's own document, a provider's list.
+ROUTE_SEARCH = _struct(results=T.ArrayType(_struct("id string", detail=_struct("schd_from string, schd_to string"))))
+FLIGHT_TIMES = _struct(time=_struct(scheduled=_struct("departure bigint"), real=_struct("departure bigint")))
+ROUTE_LIST = _struct(
+    data=T.ArrayType(
+        _struct(
+            "flight_status string",
+            departure=_struct("iata string, scheduled string, delay double, actual string"),
+            arrival=_struct("iata string, actual string"),
+        )
+    )
+)

@@ -131,13 +131,47 @@ def test_shared_folder(spark):
     assert workspace.shared_folder(Session(None, "local[2]"))
 
 
-def test_a_half_loaded_key_is_replaced(spark, tmp_path):
+def test_a_run_that_dies_leaves_a_readable_table(spark, tmp_path, monkeypatch):
+    """One run dies after it wrote its rows, before it listed its keys."""
     path = str(tmp_path / "w")
-    full = spark.createDataFrame([("007", 1), ("007", 2), ("B", 3)], "AIRPORT string, v int")
-    # Rows of a run that died before it listed its keys.
-    spark.createDataFrame([("007", 1)], "AIRPORT string, v int").write.partitionBy("AIRPORT").parquet(f"{path}/rows")
+    first = spark.createDataFrame([("007", 1), ("1e5", 4), (None, 9)], "AIRPORT string, v int")
+    full = spark.createDataFrame([("007", 1), ("007", 2), ("B", 3), ("1e5", 5)], "AIRPORT string, v int")
+    tables.append_missing(first.where("AIRPORT = '1e5' or AIRPORT is null"), path, "AIRPORT")
+
+    def die(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as patched, pytest.raises(RuntimeError):
+        patched.setattr(type(first), "distinct", die)
+        tables.append_missing(first, path, "AIRPORT")
+    got = tables.read_appended(spark, path, "AIRPORT", full.schema)
+    assert sorted(tuple(r) for r in got.collect()) == [("1e5", 4)]
     got = tables.append_missing(full, path, "AIRPORT")
-    assert sorted((r["AIRPORT"], r["v"]) for r in got.collect()) == [("007", 1), ("007", 2), ("B", 3)]
+    assert sorted(tuple(r) for r in got.collect()) == [("007", 1), ("007", 2), ("1e5", 4), ("B", 3)]
+    assert tables.append_missing(full, path, "AIRPORT").count() == 4
+
+
+def test_two_runs_at_once_store_a_key_once(spark, tmp_path):
+    path = str(tmp_path / "w")
+    rows = spark.createDataFrame([("A", 1), ("A", 2)], "AIRPORT string, v int")
+    tables.append_missing(rows, path, "AIRPORT")
+    # Another run that had looked before the first was done.
+    rows.write.partitionBy("AIRPORT").parquet(f"{path}/rows/{tables.RUN}=ffff")
+    spark.createDataFrame([("A", "ffff")], f"AIRPORT string, {tables.RUN} string").write.mode("append").parquet(f"{path}/keys")
+    assert sorted(tuple(r) for r in tables.read_appended(spark, path, "AIRPORT", rows.schema).collect()) == [("A", 1), ("A", 2)]
+
+
+def test_appended_rows_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"K{k % 7}", k) for k in range(100)], "AIRPORT string, v int")
+    assert tables.append_missing(rows.mapInArrow(count, rows.schema), str(tmp_path / "w"), "AIRPORT").count() == 100
+    assert seen.value == 100
 
 
 def test_weather_documents(spark):
@@ -174,3 +208,34 @@ def test_folders_are_removed(spark, tmp_path):
     spark.range(3).write.parquet(path)
     remove_folder(spark, path)
     assert not (tmp_path / "t").exists()
+
+
+def test_nested_route_documents(spark):
+    """None, one and several flights under way; errors, absent members, wrong types."""
+    def entry(status, iata, **more):
+        return {"flight_status": status, "departure": {"iata": iata, **more}, "arrival": {"iata": "JFK"}}
+
+    documents = {
+        "none": {"data": [entry("landed", "AAA", delay=7, actual="2024-01-01T00:00"), entry("scheduled", "BBB")]},
+        "one": {"data": [entry("landed", "AAA"), entry("active", "BBB", delay=12.9, scheduled="2024-01-15T10:30:00+00:00")]},
+        "several": {"data": [entry("active", "AAA"), entry("active", "BBB")]},
+        "error": {"error": {"code": "limit"}},
+        "empty": {"data": []},
+        "absent": {"data": [{"flight_status": "active"}]},
+        "text": {"data": [entry("active", "AAA", delay="late")]},
+    }
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in documents.items()] + [("broken", "x")], "k string, payload string")
+    got = {r["k"]: (r["origin"], r["destination"], r["delay"], r["status"], r["departed"], r["scheduled"]) for r in feeds.parse_route_list(df, "k").collect()}
+    nothing = (None,) * 6
+    assert got == {
+        "none": ("AAA", "JFK", 7.0, "landed", "2024-01-01T00:00", None), "one": ("BBB", "JFK", 12.9, "active", None, "2024-01-15T10:30:00+00:00"), "several": ("AAA", "JFK", None, "active", None, None),
+        "error": nothing, "empty": nothing, "broken": nothing, "absent": (None, None, None, "active", None, None), "text": ("AAA", "JFK", None, "active", None, None),
+    }
+    hits = [("a", {"results": [{"id": "x1", "detail": {"schd_from": "atl"}}, {"id": "x2"}]}), ("b", {"results": []}), ("c", {})]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in hits], "k string, payload string")
+    found = feeds.parse_route_search(df, "k")
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "ATL", None, "x1"), ("b", None, None, None), ("c", None, None, None)]
+    times = [("x1", {"time": {"scheduled": {"departure": 60}, "real": {"departure": None}}}), ("x1", {"time": {}}), ("x9", {})]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in times], "detail_id string, payload string")
+    timed = feeds.with_times(found, feeds.parse_flight_times(df, "detail_id"), "detail_id")
+    assert {r["k"]: (r["sched_epoch"], r["real_epoch"]) for r in timed.collect()} == {"a": (60, None), "b": (None, None), "c": (None, None)}
