@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Input per word: trained vectors of the word and of its character four-grams (both hashed), and
-how strongly word and four-grams are tied to the label in the training sample (a lower
+Input per word: trained vectors of the word and of its character five-grams (both hashed), and
+how strongly word and five-grams are tied to the label in the training sample (a lower
 confidence bound of their log odds; while fitting, taken from the other half of the sample).
 The network reads windows of 32 words that overlap by half, all of them; a text's score is that
 of its worst window. Texts are labelled as a whole, so fitting goes on with the worst window of
@@ -12,6 +12,8 @@ Gates and candidates use x / (1 + |x|) in place of sigmoid and tanh.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.shared import spans_of, utf8, with_value
+from tarmac.llm.shared import ready, spans_of, utf8, with_value
 from tarmac.llm.words import ALPHANUMERIC, LETTERS, mix, words
 
 WINDOW, STRIDE = 32, 16
@@ -38,7 +40,7 @@ INPUTS = 2 * WIDTH + 3
 
 @dataclass
 class Vocabulary:
-    """The distinct words of a block: bucket of each, buckets of their four-grams, where a word's begin."""
+    """The distinct words of a block: bucket of each, buckets of their five-grams, where a word's begin."""
 
     word: np.ndarray
     grams: np.ndarray
@@ -89,7 +91,7 @@ def _soft(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Parameters; `ties` holds the two tables of label ties, for words and four-grams."""
+    """Parameters; `ties` holds the two tables of label ties, for words and five-grams."""
 
     p: dict[str, np.ndarray]
     ties: tuple[np.ndarray, np.ndarray]
@@ -258,7 +260,7 @@ def fit(texts: list[str], label: np.ndarray) -> Network:
     row = np.repeat(np.arange(len(texts)), count)
 
     def ties(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ties of words and four-grams, counted text by text."""
+        """Ties of words and five-grams, counted text by text."""
         by_word, by_gram = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS))
         for r in np.flatnonzero(chosen):
             own = part_of(vocabulary, np.unique(entry[at[r] : at[r + 1]]))
@@ -301,13 +303,31 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most `size` labelled texts of each class outside the held-out fold, chosen by hash; those over LONGEST left out."""
+def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """doc_id, text, toxic of at most `size` labelled texts of each class outside the held-out fold, chosen by hash.
+
+    Texts over LONGEST are left out; of a repeated doc_id the smallest text counts.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for v in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * size rows
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, LONGEST)).join(ids, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [r.text for r in rows], np.array([r.toxic for r in rows], np.float64)
+    rows = docs.select("doc_id", "text").where(F.length("text").between(1, LONGEST)).join(ids, "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [batch for batch in batches if batch.num_rows]
+    texts = [x for batch in held for x in batch.column(0).to_pylist()]
+    label = np.array([x for batch in held for x in batch.column(1).to_pylist()], np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, label))], pa.binary())], names=["network"])
+
+
+def fitted(sample: DataFrame) -> Network:
+    """A network fitted on `sample` (doc_id, text, toxic) by one task; its rows are bounded, and only parameters reach the driver."""
+    ready(sample.sparkSession)
+    rows = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+    found = rows.mapInArrow(_fit_rows, "network binary").first()
+    return pickle.loads(found.network) if found else fit([], np.zeros(0))
 
 
 def _score_texts(sent):
@@ -335,5 +355,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFram
     each; a row without doc_id is not held out; other columns are ignored; an empty table gives no
     rows.
     """
-    rows = scored(docs.select("doc_id", "text"), fit(*training_sample(docs, labels, size)))
+    rows = scored(docs.select("doc_id", "text"), fitted(training_sample(docs, labels, size)))
     return rows.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -54,3 +54,35 @@ def test_odd_rows_and_a_large_group(spark):
     rows = odd([(k, "copy " * 50) for k in range(60)] + [(100 + k, f"text {k} " * 9) for k in range(100)])
     check(rows, sharding.shard_documents(frame(spark, rows)).collect())
     assert sharding.shard_documents(frame(spark, [])).collect() == []
+
+
+def plain(sizes, shards):
+    """Sums of the shards by differencing, told plainly: combine the two widest-spread partitions in opposite order until one is left."""
+    parts = [[x] + [0] * (shards - 1) for x in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p) - min(p), reverse=True)
+        one, two, *parts = parts
+        parts.append([a + b for a, b in zip(sorted(one, reverse=True), sorted(two))])
+    return sorted(parts[0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=30, unique=True), st.integers(2, 5))
+def test_spread_equals_plain_differencing(sizes, shards):
+    """Ties in the spread may be combined in another order, so sums are compared where there are none."""
+    to = sharding.difference([(x, *([0] * (shards - 1))) for x in sizes], shards)
+    sums = [0] * shards
+    for x, parts in zip(sizes, to):
+        sums[parts[0]] += x
+    want = plain(sizes, shards)
+    assert abs((max(sums) - min(sums)) - (want[-1] - want[0])) <= min(sizes) or sorted(sums) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=2, max_size=9))
+def test_two_shards_against_the_best_there_is(sizes):
+    """Differencing for two shards is within 7/6 of the best largest shard."""
+    best = min(max(s, sum(sizes) - s) for s in (sum(x for k, x in enumerate(sizes) if m >> k & 1) for m in range(1 << len(sizes))))
+    to = sharding.difference([(x, 0) for x in sizes], 2)
+    first = sum(x for x, parts in zip(sizes, to) if parts[0] == 0)
+    assert max(first, sum(sizes) - first) <= best * 7 / 6

@@ -97,3 +97,41 @@ def test_score_does_not_depend_on_the_batch():
     whole = network.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     alone = [network.score(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in raw]
     assert np.allclose(whole, alone, atol=1e-5)
+
+
+def auc(score, label):
+    """Chance that a text with label 1 scores higher than one with label 0; ties count half."""
+    _, rank, count = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(count) - (count - 1) / 2)[rank]
+    bad = label.sum()
+    return (rank[label == 1].sum() - bad * (bad + 1) / 2) / (bad * (len(label) - bad))
+
+
+def test_network_beats_its_own_inputs(spark):
+    """On held-out texts the network ranks better than any of the label ties it is fed, in a text's worst window or over the whole text."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    network = t.fitted(t.training_sample(docs, labels))
+    held = docs.join(labels.where("toxic is not null"), "doc_id").where(t.held_out("doc_id")).where("length(text) > 0").orderBy("doc_id").select("text", "toxic").collect()
+    raw, label = [r.text.encode() for r in held], np.array([r.toxic for r in held])
+    offsets = np.cumsum([0, *map(len, raw)])
+    joined = np.frombuffer(b"".join(raw), np.uint8)
+    own = auc(network.score(joined, offsets), label)
+    vocabulary, entry, at = t.read_words(joined, offsets)
+    x = network.inputs(vocabulary)
+    first, end, count = t.windows(at)
+    some = count > 0
+    for tie in (x[:, 2 * t.WIDTH], x[:, 2 * t.WIDTH + 1], x[:, 2 * t.WIDTH] + x[:, 2 * t.WIDTH + 1]):
+        sums = np.concatenate([[0], np.cumsum(tie[entry])])
+        window = sums[np.minimum(first + t.WINDOW, end)] - sums[first]
+        worst = np.zeros(len(count))
+        worst[some] = np.maximum.reduceat(window, (np.cumsum(count) - count)[some])
+        assert own > max(auc(worst, label), auc(sums[at[1:]] - sums[at[:-1]], label))
+    assert own > 0.95
+
+
+def test_of_a_repeated_id_the_smallest_text_is_learnt(spark):
+    docs = frame(spark, [(1, "b"), (1, "a"), (2, "c"), (3, None), (4, "x" * (t.LONGEST + 1))])
+    labels = frame(spark, [(1, 0, 1), (2, 0, 0), (2, 0, 1), (3, 0, 1), (4, 0, 1)], LABELS)
+    known = {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5}
+    got = {r.doc_id: (r.text, r.toxic) for r in t.training_sample(docs, labels).collect()}
+    assert got == {i: x for i, x in {1: ("a", 1), 2: ("c", 1)}.items() if i in known}
