@@ -115,7 +115,8 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     parsed = _segments(spark, folder).select(
         "file", "split", F.octet_length(value).cast("long").alias("bytes"), F.octet_length(head).cast("long").alias("head_bytes"), length.alias("length"),
         field("WARC-Type", r"(\w+)").alias("kind"), field("WARC-Record-ID", r"<urn:page:(-?\d*)>").alias("page"), field("WARC-Refers-To", r"<urn:page:(-?\d*)>").alias("refers"),
-        F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("digest"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.when(field("WARC-Type", r"(\w+)") == "revisit", field("WARC-Payload-Digest", r"sha256:([0-9a-f]{64})")).otherwise(F.sha2(payload.cast("binary"), 256)).alias("digest"),
     )
     found = stored(parsed.mapInArrow(_offsets, _PARSED + ", inside bigint, number bigint"), "segments")
     splits = found.groupBy("file", "split").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("total"))
@@ -162,8 +163,8 @@ def _long_payloads(spark: SparkSession, folder: str, found: DataFrame, open_reco
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in `folder`.
 
-    A revisit has the size and digest of the payload it refers to. An archive without records
-    gives no rows.
+    A revisit refers to the record of a page with the digest that its own head names; it has that
+    record's size. An archive without records gives no rows.
     """
     found = candidates(spark, folder)
     records = stored(found.join(reached(found.where("length is not null")), ["file", "place"]), "records")
@@ -176,8 +177,8 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         shown = shown.unionByName(joined.select("page", "payload_bytes", "digest"))
     shown = stored(shown, "responses")
     page = F.col("page").try_cast("long")
-    told = shown.where("page <> ''").dropDuplicates(["page"]).withColumnRenamed("page", "refers")
-    again = records.where(F.col("kind") == "revisit").select("page", "refers").join(told, "refers")
+    told = shown.where("page <> ''").dropDuplicates(["page", "digest"]).withColumnRenamed("page", "refers")
+    again = records.where(F.col("kind") == "revisit").select("page", "refers", "digest").join(told, ["refers", "digest"])
     rows = shown.select(page.alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     return rows.unionByName(
         again.select(page.alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("refers").try_cast("long").alias("refers_to"))
@@ -185,7 +186,14 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write `pages` (page_id, url, html) to archives in the shared folder and read them back."""
+    """Write `pages` (page_id, url, html) to archives in the shared folder and read them back.
+
+    page_id, payload_bytes, payload_digest, record_type, refers_to, one row for every row of
+    `pages`. A null html is an empty payload. Rows that repeat a page_id are kept apart by their
+    payloads: each keeps its own size and digest, and revisits refer to the one that equals them.
+    Rows without page_id never are what others refer to. Other columns are ignored; an empty table
+    gives no rows.
+    """
     folder = new_folder(pages.sparkSession, "warc")
     write_archive(pages, folder)
     return read_archive(pages.sparkSession, folder)

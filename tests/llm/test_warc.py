@@ -50,6 +50,15 @@ def test_round_trip_over_many_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_repeated_page_ids_and_clashing_columns(spark):
+    """Page 5 has two payloads, each referred to by others; further columns have names that are used inside."""
+    one, two = "a" * 300, "b" * 400 + FAKE
+    rows = [(5, "u", one), (5, "u", two), (10, "u", two), (11, "u", one), (12, "u", one), (5, "u", "c" * 120), (5, None, None), (11, "u", two), (None, "u", two)]
+    names = ["payload", "digest", "first", "n", "place", "next", "kind", "value", "file"]
+    df = frame(spark, [(*r, *names) for r in rows], PAGES + "".join(f", `{x}` string" for x in names))
+    assert result(df) == plain(rows)
+
+
 def test_empty_table(spark):
     assert result(frame(spark, [], PAGES)) == []
 
