@@ -6,17 +6,17 @@ table, addressed by the hash of a block of two words, tells how far the window m
 the shift is zero, the bucket of that last block holds the patterns to compare, first by the
 block at their head, then word by word on the bytes themselves.
 
-The benchmark passes through the driver in blocks of a bounded number of words, and each block
-is broadcast. A block is one pass over the documents; hits and items are carried from pass to
-pass on the document's own row, so a benchmark of any size needs no join and no shuffle.
+The benchmark passes through the driver in blocks of a bounded number of words, each made into a
+few arrays and broadcast. A block is one pass over the documents; hits and items are carried
+from pass to pass on the document's own row, so a benchmark of any size needs no join and no
+shuffle. A few passes share a stage; then the rows are stored and the blocks behind them freed, so
+that no worker ever holds more than those few.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.shared import in_batches, spans_of, utf8
-from tarmac.llm.words import ALPHANUMERIC, mix, words
+from tarmac.llm.shared import in_batches, spans_of, stored, utf8
+from tarmac.llm.words import ALPHANUMERIC, mix, sequences, words
 
 WINDOW = 13
 BLOCK_WORDS = 1 << 20
-TABLE_BITS = 20
+BLOCKS = 4  # passes of one stage
+TABLE_BITS = 24  # of the largest shift table
 BLOCK = 4 << 20
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-
-
-def item_windows(text: str, window: int = WINDOW) -> set[tuple[bytes, ...]]:
-    found = _WORD.findall(text.encode().lower())
-    if len(found) <= window:
-        return {tuple(found)} if found else set()
-    return {tuple(found[k : k + window]) for k in range(len(found) - window + 1)}
 
 
 def _blocks(numbers: np.ndarray, width: int) -> np.ndarray:
@@ -50,25 +43,56 @@ def _blocks(numbers: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+class Words:
+    """The words of a block's items: lower-case bytes, places in them, numbers."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        self.numbers, self.starts, self.ends, self.at = words(joined, offsets, ALPHANUMERIC)
+        self.lower = joined.tobytes().lower()
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.lower[self.starts[i] : self.ends[i]]
+
+
 class PatternSet:
-    """Patterns of one length, ready to search."""
+    """The patterns of one length, ready to search: `first` words that stand at given places of `text`.
+
+    Patterns are sorted by the hash of their last block; the items that hold pattern k are
+    `items[held[k]:held[k + 1]]`.
+    """
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
-        self.length, self.width = length, min(2, length)
+    def __init__(self, length: int, text: Words, place: np.ndarray, owner: np.ndarray):
+        self.length, self.width, self.text = length, min(2, length), text
         self.far = length - self.width + 1
-        table = np.full(1 << TABLE_BITS, min(self.far, 255), np.uint8)
-        self.buckets: dict[int, list] = defaultdict(list)
-        for pattern, items in patterns.items():
-            joined = b" ".join(pattern)
-            raw = np.frombuffer(joined, np.uint8)
-            numbers = words(raw, np.array([0, len(raw)]), ALPHANUMERIC)[0]
-            blocks = _blocks(numbers, self.width)[self.width - 1 :]
-            slots = (blocks >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            np.minimum.at(table, slots, np.minimum(np.arange(len(blocks))[::-1], 255).astype(np.uint8))
-            self.buckets[int(blocks[-1])].append((int(blocks[0]), pattern, items))
-        self.table = table
-
-    def search(self, numbers: np.ndarray, word: Iterator, hit: np.ndarray, items: set[int]) -> None:
+        numbers = text.numbers
+        blocks = _blocks(numbers, self.width)
+        # Equal windows are one pattern; two hashes of all their words tell them apart.
+        whole = [sequences(x, length)[place] for x in (numbers, mix(numbers ^ np.uint64(0x9E6C63D0876A9A47)))]
+        last = blocks[place + length - 1]
+        order = np.lexsort((owner, place, whole[1], whole[0], last))
+        place, owner = place[order], owner[order]
+        new = np.ones(len(order), bool)
+        for x in (*whole, last):
+            x = x[order]
+            new[1:] &= x[1:] == x[:-1]
+        new[1:] = ~new[1:]
+        again = np.zeros(len(order), bool)  # the same item holds the pattern more than once
+        again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
+        self.first = place[new]
+        pattern = np.cumsum(new) - 1
+        self.items = owner[~again]
+        self.held = np.searchsorted(pattern[~again], np.arange(len(self.first) + 1))
+        self.last, self.head = blocks[self.first + length - 1], blocks[self.first + self.width - 1]
+        self.shift = np.uint64(64 - min(TABLE_BITS, max(12, (16 * len(self.first)).bit_length())))
+        self.table = np.full(1 << (64 - int(self.shift)), min(self.far, 255), np.uint8)
+        for k in range(self.far):  # distance of each block from the pattern's end
+            slots = (blocks[self.first + length - 1 - k] >> self.shift).astype(np.int64)
+            np.minimum.at(self.table, slots, np.uint8(min(k, 255)))
+
+    def search(self, numbers: np.ndarray, word: Callable[[int], bytes], hit: np.ndarray, items: set[int]) -> None:
         """Mark in `hit` the words of every occurrence, and add the items whose patterns occur.
 
         `word(i)` gives the bytes of word i.
@@ -77,7 +101,7 @@ class PatternSet:
         if n < m:
             return
         blocks = _blocks(numbers, self.width)
-        shifts = self.table[(blocks >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].tobytes()
+        shifts = self.table[(blocks >> self.shift).astype(np.int64)].tobytes()
         at = m - 1
         while at < n:
             step = shifts[at]
@@ -85,32 +109,43 @@ class PatternSet:
                 at += step
                 continue
             first = at - m + 1
-            head = int(blocks[first + self.width - 1])
-            for start, pattern, ids in self.buckets.get(int(blocks[at]), ()):
-                if start == head and all(word(first + k) == pattern[k] for k in range(m)):
+            head = blocks[first + self.width - 1]
+            k = int(np.searchsorted(self.last, blocks[at]))
+            while k < len(self.last) and self.last[k] == blocks[at]:
+                start = self.first[k]
+                if self.head[k] == head and all(word(first + j) == self.text[start + j] for j in range(m)):
                     hit[first : at + 1] = True
-                    items.update(ids)
+                    items.update(self.items[self.held[k] : self.held[k + 1]].tolist())
+                k += 1
             at += 1
 
 
-def pattern_sets(rows: list[tuple[int | None, str]], window: int = WINDOW) -> list[PatternSet]:
-    by_length: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-    for item, text in rows:
-        for pattern in item_windows(text, window):
-            by_length[len(pattern)][pattern].append(item)
-    return [PatternSet(length, dict(patterns)) for length, patterns in sorted(by_length.items())]
+def pattern_sets(texts: list[str], window: int = WINDOW) -> list[PatternSet]:
+    """The sets of all windows of some items, by length; an item goes by its place in the list."""
+    held = Words(texts)
+    count = np.diff(held.at)
+    out = []
+    for length in np.unique(np.minimum(count, window)).tolist():
+        if length == 0:
+            continue
+        own = np.flatnonzero(count >= window if length == window else count == length)
+        windows = count[own] - length + 1
+        place = np.repeat(held.at[own], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        out.append(PatternSet(length, held, place, np.repeat(own, windows)))
+    return out
 
 
-def _benchmark_blocks(benchmark: DataFrame, window: int) -> Iterator[list[PatternSet]]:
-    rows, size = [], 0
+def _benchmark_blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[list[int | None], list[PatternSet]]]:
+    """Ids and pattern sets of block after block; an item longer than a block is one of its own."""
+    ids, texts, size = [], [], 0
     for item, text in benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator():
-        rows.append((item, text))
+        ids.append(item), texts.append(text)
         size += len(text) // 4
         if size >= BLOCK_WORDS:
-            yield pattern_sets(rows, window)
-            rows, size = [], 0
-    if rows:
-        yield pattern_sets(rows, window)
+            yield ids, pattern_sets(texts, window)
+            ids, texts, size = [], [], 0
+    if texts:
+        yield ids, pattern_sets(texts, window)
 
 
 STATE = "text string, n_words bigint, hits binary, items array<bigint>"
@@ -133,14 +168,15 @@ def _pass(sent, last: bool):
                 if low == high:
                     continue
                 hit, found = np.zeros(high - low, bool), set()
-                for patterns in sent.value:
+                ids, sets = sent.value
+                for patterns in sets:
                     patterns.search(numbers[low:high], lambda i: lower[starts[low + i] : ends[low + i]], hit, found)
                 if hit.any():
                     old = hits[row]
                     if old is not None:
                         hit |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(hit)).astype(bool)
                     hits[row] = np.packbits(hit).tobytes()
-                    items[row] = sorted({x for x in found if x is not None} | set(items[row] or ()))
+                    items[row] = sorted({ids[k] for k in found if ids[k] is not None} | set(items[row] or ()))
         if last:
             return _summary(batch.column(0), counts, hits, items)
         return pa.RecordBatch.from_arrays(
@@ -175,14 +211,19 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     state = docs.select(row, "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<bigint>").alias("items"))
     kind = state.schema["row"]
     blocks = _benchmark_blocks(benchmark, window)
-    block = next(blocks, [])
+    block, held = next(blocks, ([], [])), []
     while True:
         following = next(blocks, None)
-        work = _pass(spark.sparkContext.broadcast(block), last=following is None)
+        held.append(spark.sparkContext.broadcast(block))
         rest = T.StructType.fromDDL(RESULT if following is None else STATE)
-        state = in_batches(state, work, T.StructType([kind, *rest.fields]))
+        state = in_batches(state, _pass(held[-1], last=following is None), T.StructType([kind, *rest.fields]))
         if following is None:
             return state
+        if len(held) == BLOCKS:
+            state = stored(state, "searched")
+            for sent in held:
+                sent.destroy()
+            held = []
         block = following
 
 

@@ -34,10 +34,11 @@ def result(docs, items):
     return sorted((tuple(r)[:6] for r in decontaminate.contamination(docs, items).collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 20])
-def test_equals_plain_search(spark, monkeypatch, block):
-    """Also with the benchmark cut into many blocks."""
+@pytest.mark.parametrize("block, blocks", [(decontaminate.BLOCK_WORDS, decontaminate.BLOCKS), (20, 100), (20, 2)])
+def test_equals_plain_search(spark, monkeypatch, block, blocks):
+    """Also with the benchmark cut into many blocks, in one stage or in several."""
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "BLOCKS", blocks)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").limit(12).collect()]
     items += [(900, "Short one"), (901, "x"), (902, ""), (903, None), (None, "item without id"), (904, "a a a a a a a a a a a a a a a"), (900, "other short")]
     text = " ".join(alphanumeric(items[3][1])).upper()
@@ -52,6 +53,18 @@ def test_empty_tables(spark):
 
 
 def test_shift_never_skips_an_occurrence():
-    sets = decontaminate.pattern_sets([(1, " ".join("abcdefghijklm")), (2, " ".join("bcdefghijklmn")), (3, "m n")])
+    sets = decontaminate.pattern_sets([" ".join("abcdefghijklm"), " ".join("bcdefghijklmn"), "m n", "M, n", "m n m n m n m n m n m n m n"])
     assert [s.length for s in sets] == [2, 13]
     assert sets[1].table.max() == sets[1].far == 12
+    assert len(sets[0].first) == 1 and sets[0].items.tolist() == [2, 3]
+    assert len(sets[1].first) == 4 and sorted(sets[1].items.tolist()) == [0, 1, 4, 4]
+
+
+def test_a_large_block_is_a_few_arrays():
+    """200,000 words take under 40 MB, shift table included, and repeated windows are one pattern each."""
+    import pickle
+
+    texts = [" ".join(f"w{(k * 7919 + j * j) % 50_000}" for j in range(400)) for k in range(500)] * 2
+    sets = decontaminate.pattern_sets(texts)
+    assert len(pickle.dumps(sets)) < 40 << 20
+    assert len(sets) == 1 and len(sets[0].first) <= 500 * 388 and len(sets[0].items) == 2 * len(sets[0].first)
