@@ -19,37 +19,60 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5. The network is fitted on the labelled rows of the whole table."""
-    network = toxicity.fit(*toxicity.training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    """Documents that score under 0.5. The network is fitted on the labelled rows of the whole table.
+
+    Every row is judged by its own text, so repeated rows stay or go together; null and empty
+    texts score 0 and stay. An empty table gives no rows.
+    """
+    network = toxicity.fitted(toxicity.training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return toxicity.scored(docs, network).where("score < 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates, once.
+    """One document of every group of near duplicates: of the texts of its smallest doc_id the first, once.
 
-    Rows without doc_id stay, as nothing tells them apart.
+    Documents are told apart by doc_id and text, so a text that links with nothing stays, whatever
+    becomes of other rows of its doc_id; rows that repeat doc_id and text stay once. Rows without
+    doc_id stay, as nothing tells them apart. Null and empty texts link with nothing. An empty table
+    gives no rows.
     """
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
-    named = rows.where("doc_id is not null").join(dropped, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
-    once = named.withColumn("n", first).where("n = 1").select("row")
-    return once.unionByName(rows.where("doc_id is null").select("row")).select("row.*")
+    key = ["doc_id", "text_hash"]
+    found = minhash.near_duplicates(docs).where("doc_id is not null")
+    found = found.groupBy(*key).agg(F.max("component_id").alias("group"), F.max("n_shingles").alias("n"), F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    first = found.where("kept and n > 0").groupBy("group").agg(F.min("text_hash").alias("first"))
+    judged = found.join(first, "group", "left").withColumn("stays", F.expr("kept and (n = 0 or text_hash = first)"))
+    judged = stored(judged.where("not stays or rows > 1").select(*key, "stays"), "judged")  # few beside the rows that stay as they are
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    others, near = minhash.parted(rows, judged, key)
+    kept = near.join(judged, key, "left").where("coalesce(stays, true)").dropDuplicates(key)
+    return others.select("row").unionByName(kept.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates.
+
+    Every row is judged by its own text; null and empty texts hold nothing and stay. An empty table
+    gives no rows.
+    """
     return decontaminate.judged(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind; n_chars follows the new text."""
+    """All documents, secrets replaced by their kind; n_chars follows the new text.
+
+    A null text stays null, with n_chars null. Repeated rows are masked alike. An empty table gives
+    no rows.
+    """
     masked = secret_scan.mask_secrets(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in a sequence."""
+    """Pieces of all documents with their place in a sequence.
+
+    A null or empty text is the end mark alone; repeated rows are packed each. An empty table gives
+    no rows.
+    """
     return packing.pack(docs, tokenizer_path())
 
 

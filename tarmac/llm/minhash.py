@@ -49,7 +49,7 @@ LEAST = 3
 NEIGHBOURS = 4
 BLOCK = 2 << 20
 FILTER_BITS = 1 << 23
-RARITY_CELLS = 1 << 20
+RARITY_CELLS = 1 << 19
 SALTED = 4_096  # rows of a shingle that go to one task
 DEEP = 48  # values of a key where regions are crowded
 BESIDE = 2  # rows after each that are its neighbours there
@@ -292,6 +292,26 @@ def _marked(sent: Broadcast, bits: np.ndarray) -> np.ndarray:
     return (sent.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def parted(rows: DataFrame, some: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose `key` columns do not occur in `some`, and those where they may; a bit map tells.
+
+    The first need no join. Rows without the first of the key's columns never occur.
+    """
+    bit = F.when(F.col(key[0]).isNotNull(), F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS)))
+    sent = _bit_map(some.select(bit.alias("bit")).where("bit is not null"))
+    marked = rows.withColumn("bit", F.coalesce(bit, F.lit(-1)))
+
+    def part(wanted: bool):
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bits = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            may = _marked(sent, np.maximum(bits, 0)) & (bits >= 0)
+            return batch.filter(pa.array(may == wanted))
+
+        return in_batches(marked, work, marked.schema).select(*rows.columns)
+
+    return part(False), part(True)
+
+
 def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, text), stored: one text for each of `classes` (id, doc_id, text_hash), by the document and text they name.
 

@@ -15,8 +15,14 @@ import tarmac
 from tarmac.workspace import new_folder
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000  # whole texts in one batch between Spark and Python, where the session has not set another number
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it is not installed."""
+    """Let Python workers find this package where it is not installed, and keep batches of texts small."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.abspath(tarmac.__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -42,7 +42,7 @@ def test_stages_return_documents(stages):
 def test_toxicity(spark, stages):
     before, after = stages["toxicity"]
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    network = toxicity.fit(*toxicity.training_sample(spark.read.parquet(f"{SF}/documents.parquet"), labels))
+    network = toxicity.fitted(toxicity.training_sample(spark.read.parquet(f"{SF}/documents.parquet"), labels))
     good = toxicity.scored(before, network).where("score < 0.5").select("row.*")
     assert rows(after) == rows(good) and 0 < after.count() < before.count()
 
@@ -53,6 +53,26 @@ def test_near_duplicates(stages):
     assert rows(after) == sorted([x for x in rows(before) if x[0] is None or want[x[0]][1] == x[0]], key=str)
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    docs = [(1, one), (2, one), (2, two), (3, three), (3, three + " more"), (4, None), (4, None), (None, one), (None, one), (5, two + " again")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = rows(pipeline.drop_near_duplicates(spark, df, SF))
+    mine = [x for x in got if x[0] == 3]
+    assert len(mine) == 1 and mine[0][1].startswith(three)
+    assert [x for x in got if x[0] != 3] == sorted([(1, one), (2, two), (4, None), (None, one), (None, one)], key=str)
+
+
+def test_every_stage_on_an_empty_table_and_further_columns(spark):
+    docs = spark.createDataFrame([(1, "some words here", "en", "s", 15, "x", "y", 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, row string, rows int")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        after = stage(spark, docs, SF)
+        assert after.count() == 1
+        if name != "packing":
+            assert after.columns == docs.columns and after.first().rows == 3
+
+
 def test_decontamination(spark, stages):
     before, after = stages["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
