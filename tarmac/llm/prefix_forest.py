@@ -3,14 +3,17 @@
 A vector has a string of 32 sign bits in each of 24 trees (random planes; vectors are first
 lengthened to one norm by an extra component, which turns the largest inner product into the
 smallest angle). A query descends in every tree to its longest match and then ascends in all
-trees at once, one bit at a time, until the prefixes it stands on hold enough vectors. How many
+trees at once, two bits at a time, until the prefixes it stands on hold enough vectors. How many
 are enough is fitted: a bounded sample of queries is searched exhaustively, and the least number
 that finds 96 % of their true neighbours is taken, up to all vectors where the data have no
 structure to use. Every vector is indexed and every candidate scored exactly.
 
+A query whose prefixes hold as many vectors over all trees as there are at all looks at each vector
+once instead, so it never does more than an exhaustive search would.
+
 Equal vectors are one entry with its 21 smallest ids, which is all that any query can need.
 A prefix with many vectors is split into chunks and its queries into blocks; every block meets
-every chunk in a group of its own.
+every chunk in a group of its own. Scores are those of the vectors as given, floats or doubles.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ NEAREST = 20
 EVERY = 20
 SAMPLE = 96  # queries the search effort is fitted on
 RECALL = 0.96
-CHUNK = 8_192
+CHUNK = 1 << 21  # components of the entries that are scored in one group
 QUERIES = 16_384  # queries of a prefix that are scored in one group
 MOST_LEVELS = 24
+STEP = 2  # bits that are ascended at once
 
 
 @functools.cache
@@ -40,9 +44,11 @@ def _planes(dimensions: int) -> np.ndarray:
     return np.random.default_rng(dimensions).standard_normal((dimensions + 1, TREES * BITS)).astype(np.float32)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length, kept as little-endian float32 bytes, as rows of doubles."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1).astype(np.float64)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of `dim` components, kept as little-endian floats or doubles, as rows of doubles."""
+    raw = column.to_pylist()
+    kind = "<f8" if raw and len(raw[0]) == 8 * dim else "<f4"
+    return np.frombuffer(b"".join(raw), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def codes(vectors: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -60,19 +66,25 @@ def usable(embedding: Column) -> Column:
 
 
 def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = [np.array(x, "<f4") for x in batch.column(1).to_pylist()]
+    kind = "<f8" if batch.schema.field(1).type.value_type == pa.float64() else "<f4"
+    rows = [np.array(x, kind) for x in batch.column(1).to_pylist()]
     norms = [float((x.astype(np.float64) ** 2).sum()) for x in rows]
     return pa.RecordBatch.from_arrays(
         [batch.column(0), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([len(x) for x in rows], pa.int32()), pa.array(norms, pa.float64())], names=["cls", "vector", "dim", "norm2"]
     )
 
 
-def entries(vectors: DataFrame, keep: int = NEAREST + 1) -> DataFrame:
-    """cls (smallest id), ids (the `keep` smallest), vector, dim, norm2 of every distinct vector."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+def known_vectors(vectors: DataFrame) -> DataFrame:
+    """The usable rows (vec_id, embedding), once each; components stay floats or are doubles."""
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     # Zeros of either sign are the same number.
-    rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))).distinct()
+    return rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind))).distinct()
+
+
+def entries(rows: DataFrame, keep: int = NEAREST + 1) -> DataFrame:
+    """cls (smallest id), ids (the `keep` smallest), vector, dim, norm2 of every distinct vector of `known_vectors`."""
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= keep)
     grouped = first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cls", F.col("ids")[0])
     grouped = stored(grouped, "distinct")
@@ -91,7 +103,7 @@ def _coded(longest: dict[int, float], query: bool):
         out = np.empty((batch.num_rows, TREES), np.int64)
         norm2 = batch.column(3).to_numpy(zero_copy_only=False)
         for d, own in _by_dimension(batch, 2):
-            x = _matrix(batch.column(1).take(pa.array(own)))
+            x = _matrix(batch.column(1).take(pa.array(own)), int(d))
             extra = np.zeros(len(own)) if query else np.sqrt(np.maximum(longest[int(d)] - norm2[own], 0))
             out[own] = codes(x, extra)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(list(out), pa.list_(pa.int64()))], names=["cls", "vector", "dim", "codes"])
@@ -128,8 +140,9 @@ def _scorer(n: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         asked, cls, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
-            points, ids = _matrix(right.column("vector").combine_chunks()), right.column("cls").to_numpy()
-            queries = _matrix(left.column("vector").combine_chunks())
+            dim = left.column("dim")[0].as_py()
+            points, ids = _matrix(right.column("vector").combine_chunks(), dim), right.column("cls").to_numpy()
+            queries = _matrix(left.column("vector").combine_chunks(), dim)
             for q, query in zip(left.column("cls").to_pylist(), queries):
                 near, exact = _best(query, points, ids, n)
                 asked.append(np.full(len(near), q, np.int64)), cls.append(ids[near]), scores.append(exact)
@@ -146,10 +159,10 @@ def exhaustive(sample: list[tuple[int, bytes, int]], points: DataFrame, n: int)
         out = []
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for d, own in _by_dimension(batch, 2):
-            x = _matrix(batch.column(1).take(pa.array(own)))
+            x = _matrix(batch.column(1).take(pa.array(own)), int(d))
             for q, vector, dim in sent.value:
                 if dim == d:
-                    near, exact = _best(np.frombuffer(vector, "<f4").astype(np.float64), x, ids[own], n)
+                    near, exact = _best(np.frombuffer(vector, "<f8" if len(vector) == 8 * dim else "<f4").astype(np.float64), x, ids[own], n)
                     out += [(q, int(ids[own[k]]), float(s)) for k, s in zip(near, exact)]
         q, cls, score = zip(*out) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(cls, pa.int64()), pa.array(score, pa.float64())], names=["q", "cls", "score"])
@@ -192,12 +205,9 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
     than asked for all are returned. Other columns are ignored; an empty table gives no rows.
     """
     spark = ready(vectors.sparkSession)
-    found = entries(vectors, nearest + 1)
-    usable_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    query_rows = usable_rows.where((F.col("vec_id") % every == 0) & usable(F.col("embedding")))
-    query_rows = in_batches(
-        query_rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))).distinct(), _packed, "cls bigint, vector binary, dim int, norm2 double"
-    )
+    known = known_vectors(vectors)
+    found = entries(known, nearest + 1)
+    query_rows = in_batches(known.where(F.col("vec_id") % every == 0), _packed, "cls bigint, vector binary, dim int, norm2 double")
     asked = query_rows.select(F.col("cls").alias("query_id"), "vector").join(found.select("cls", "vector"), "vector")
     asked = stored(asked.select("query_id", "cls"), "asked")
     longest = {r.dim: r.m for r in found.groupBy("dim").agg(F.max("norm2").alias("m")).collect()}  # one row per vector length
@@ -207,7 +217,7 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
 
     total = points.count()
     deepest = min(MOST_LEVELS, max(1, int(np.ceil(np.log2(max(total, 2))))))
-    levels = F.array(*(F.lit(k) for k in range(1, deepest + 1)))
+    levels = F.array(*(F.lit(k) for k in range(deepest, 0, -STEP)))
     at = ["dim", "tree", "level", "prefix"]
     held = stored(_levels(points.select("dim", "codes"), levels).groupBy(*at).agg(F.count("*").alias("n")), "held")
     stands = _levels(queries.select("cls", "dim", "codes"), levels).join(held, at).groupBy("cls", "level").agg(F.sum("n").alias("n"))
@@ -228,16 +238,19 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
         totals[r.cls][r.level] = r.n
     target = enough(totals, depths) if depths else float("inf")
 
-    level = stands.where(F.col("n") >= F.lit(target)).groupBy("cls").agg(F.max("level").alias("level"))
-    placed = queries.join(level, "cls", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    level = stands.where(F.col("n") >= F.lit(target)).groupBy("cls").agg(F.max(F.struct("level", "n")).alias("m"))
+    # Prefixes that hold as many entries as there are, with those met in several trees, save nothing.
+    placed = queries.join(level, "cls", "left").withColumn("level", F.when(F.col("m.n") < total, F.col("m.level")).otherwise(0)).drop("m")
     requests = placed.select("cls", "vector", "dim", "level", F.posexplode("codes").alias("tree", "code"))
     # At level 0 every tree holds everything, so one is asked.
     requests = requests.where("level > 0 or tree = 0").withColumn("prefix", F.when(F.col("level") > 0, _prefix(F.col("level"))).otherwise(F.lit(0).cast("long")))
     sizes = held.unionByName(points.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix"), "n"))
-    buckets = stored(requests.groupBy(*at).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")).join(sizes, at).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).select(*at, "chunks", "blocks"), "buckets")
-    used = [r.level for r in buckets.select("level").distinct().collect()]  # at most MOST_LEVELS + 1 rows
-    offered = _levels(points, F.array(*(F.lit(k) for k in used)) if used else F.array().cast("array<int>"))
-    offered = offered.withColumn("prefix", F.when(F.col("level") > 0, F.col("prefix")).otherwise(F.lit(0).cast("long")))
+    buckets = stored(requests.groupBy(*at).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")).join(sizes, at).withColumn("chunks", F.ceil(F.col("n") * F.col("dim") / CHUNK).cast("int")).select(*at, "chunks", "blocks"), "buckets")
+    used = [r.level for r in buckets.where("level > 0").select("level").distinct().collect()]  # at most MOST_LEVELS rows
+    columns = ["cls", "vector", *at]
+    offered = points.select("cls", "vector", "dim", F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix"))
+    if used:
+        offered = offered.unionByName(_levels(points, F.array(*(F.lit(k) for k in used))).select(*columns))
     offered = offered.join(buckets, at).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asking = requests.join(buckets, at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     asking = asking.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -246,7 +259,9 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
     two = offered.select(*key, "cls", "vector").groupBy(*key)
     scored = one.cogroup(two).applyInArrow(_scorer(nearest + 1), "q bigint, cls bigint, score double")
 
-    best = scored.distinct().withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("n") <= nearest + 1).drop("n")
+    # What several trees found has one rank, so it goes before the shuffle like all that ranks too low.
+    rank = F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
+    best = scored.withColumn("n", rank).where(F.col("n") <= nearest + 1).drop("n").distinct()
     members = best.join(found.select("cls", F.explode("ids").alias("vec_id")), "cls").select("q", "vec_id", "score")
     members = members.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= nearest + 1).drop("n")
     rows = asked.join(members.withColumnRenamed("q", "cls"), "cls").where("query_id <> vec_id")

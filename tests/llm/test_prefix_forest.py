@@ -50,7 +50,7 @@ def test_structure_is_used(spark):
 
 def test_more_neighbours_from_blocks_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(f, "QUERIES", 8)
-    monkeypatch.setattr(f, "CHUNK", 16)
+    monkeypatch.setattr(f, "CHUNK", 128)
     x = np.random.default_rng(4).standard_normal((120, 8)).astype(np.float32)
     rows = [(k, v.tolist(), "") for k, v in enumerate(x)]
     got: dict[int, set[int]] = {}
@@ -75,3 +75,13 @@ def test_effort_is_the_least_that_suffices():
     assert f.enough(totals, {1: [3, 3], 2: [3, 3]}, 0.9) == 8
     assert f.enough(totals, {1: [2, 2], 2: [2, 2]}, 0.9) == 40
     assert f.enough(totals, {1: [0, 2], 2: [2, 2]}, 0.9) == float("inf")
+
+
+def test_doubles_are_scored_as_given(spark):
+    rows = [(k, [1.0 + k * 1e-12, 0.5, -0.25]) for k in range(60)]
+    got = f.search(frame(spark, rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r.query_id for r in got} == {0, 20, 40}
+    for q in (0, 20, 40):
+        near = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        want = sorted((-sum(a * b for a, b in zip(rows[q][1], x)), i) for i, x in rows if i != q)[:20]
+        assert [i for _, i, _ in near] == [i for _, i in want] and all(abs(s + w) < 1e-15 * 8 for (_, _, s), (w, _) in zip(near, want))
