@@ -3,10 +3,16 @@
 The pages of one host are merged into one tree: elements with the same chain of tags, classes
 and ids are one node. For every node two entropies are taken over the distinct pages that have
 it: how differently its children are arranged (presentation), and how widely each of its features
-(text blocks and link targets, digits folded) is spread over pages (content). Nodes whose
-importance is low are noise: menus, notices and footers that repeat from page to page. A page
-loses every branch whose node is noise, and every branch that its own markup names as
-something other than the article, which covers hosts with too few pages to compare.
+(text blocks and link targets, digits folded) is spread over pages (content). Both make the node's
+importance, from 0 for what is the same on every page to 1 for what differs on each. Where a host
+has too few pages to compare, a node counts as important.
+
+In a page, every branch starts from its node's importance. What else is seen of it weighs in by
+factors: whether its markup names it as something other than the article, whether it is a list of
+links, and how much of the page's text it holds. No single one of these sinks a branch that the tree
+holds important. Branches that end up under a threshold go, so menus and adverts that differ from
+page to page go by their names and shape, and those without telling names by the tree. A branch that
+holds the marked article, or most of a page's text, stays: a host of copies repeats its articles too.
 
 The tree never exists in one place: tasks emit hashed (host, node, feature, page) rows that are
 counted by grouped aggregation. Pages that carry the same article count as one.
@@ -26,7 +32,10 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.shared import in_batches, stored
 
-LOW = 0.2  # importance under which a node is noise
+LOW = 0.2  # importance under which a branch goes
+NAMED = 0.25  # factor of a telling name, tag or role
+LINKS = 0.25  # factor of a list of links
+SMALL = 0.7  # factor of a branch with up to half of the page's text, or beside a marked article
 PAGES = 4  # distinct pages that must have a node before it can be judged
 GAMMA = 0.9
 
@@ -43,13 +52,19 @@ SCOPES = frozenset("ul ol dl table div section article main body".split())
 NOISE = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share consent cookie cookies footer gdpr login menu menubar modal nav navbar navigation "
     "newsletter notice notices notification overlay pager pagination popup promo promotion related recommended search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription toolbar topbar widget".split()
+    "subscription teaser teasers toolbar topbar widget widgets".split()
+)
+# Words that say where a branch stands or what it is made of; beside a telling word they change nothing.
+PLAIN = frozenset(
+    "area bar block body bottom box button buttons col column container content footer fixed global group header inner item items js left link links list main mobile module "
+    "outer panel post posts primary right row secondary section site slot sticky text top unit user wrap wrapper".split()
 )
 REMARKS = frozenset("comment comments disqus discussion replies respond".split())
 TOP = frozenset("header masthead".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
+# A quote opens a string only where an attribute's value begins.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|([^<]+|<)", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -64,7 +79,7 @@ class Node:
     label: str
     path: int
     parent: "Node | None"
-    named: str = ""  # "noise", "remark" or "top" if the markup says so
+    named: str = ""  # "noise", "remark", "top" or "hidden" if the markup says so
     children: list["Node"] = field(default_factory=list)
     blocks: list["Block"] = field(default_factory=list)
 
@@ -86,13 +101,20 @@ def _named(tag: str, attributes: str) -> tuple[str, str]:
         found.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
     names = sorted(_SERIAL.sub("0", x) for key in ("class", "id") for x in found.get(key, "").split())
     label = ".".join([tag, *names])
-    words = {w.lower() for x in names for w in _WORD.findall(x)}
-    if words & REMARKS:
+    if any(_tells(x, REMARKS) for x in names):
         return label, "remark"
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", ""))
-    if tag in ASIDE or hidden or words & NOISE or found.get("role", "").lower() in ROLES:
+    if hidden:
+        return label, "hidden"
+    if tag in ASIDE or found.get("role", "").lower() in ROLES or any(_tells(x, NOISE) for x in names):
         return label, "noise"
-    return label, "top" if tag == "header" or words & TOP else ""
+    return label, "top" if tag == "header" or any(_tells(x, TOP) for x in names) else ""
+
+
+def _tells(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id holds one of the words and nothing beside it that gives it another sense."""
+    own = [w.lower() for w in _WORD.findall(name)]
+    return any(w in words for w in own) and all(w in words or w in PLAIN or w in NOISE or len(w) == 1 for w in own)
 
 
 def parse(page: str) -> tuple[Node, list[Block]]:
@@ -187,30 +209,55 @@ def _has_article(node: Node) -> bool:
     return False
 
 
-def _menu(node: Node) -> bool:
-    """A list of at least three links and little else."""
+def _menu(node: Node, place: dict[int, int], blocks: list[Block]) -> bool:
+    """A list of at least three links and little else, and not one that stands between lines of a story."""
     own, todo = [], [node]
     while todo:
         x = todo.pop()
         own += x.blocks
         todo += x.children
     letters = sum(len(b.text) for b in own)
-    return sum(len(b.links) for b in own) >= 3 and sum(b.linked for b in own) >= 0.8 * letters
+    if sum(len(b.links) for b in own) < 3 or sum(b.linked for b in own) < 0.8 * letters:
+        return False
+    first, last = min(place[id(b)] for b in own), max(place[id(b)] for b in own)
+    line = lambda k: 0 <= k < len(blocks) and bool(blocks[k].text) and 2 * blocks[k].linked < len(blocks[k].text)
+    beside = lambda k: blocks[k].node.parent is node.parent or blocks[k].node is node.parent
+    return not (line(first - 1) and beside(first - 1) and line(last + 1) and beside(last + 1))
+
 
+def _is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") and not node.named
 
-def kept_blocks(root: Node, blocks: list[Block], noise: frozenset[int] = frozenset()) -> list[Block]:
-    """The article's blocks: what no named branch, menu or noise node of the host's tree holds.
 
-    Where a page marks its article, only that is kept. A named branch that holds more than half of
-    the page's text is no menu, and stays, as does a noise node with more than half of the text
-    that is left: a host of near copies repeats its articles too.
+def kept_blocks(root: Node, blocks: list[Block], importance: dict[int, float] | None = None) -> list[Block]:
+    """The article's blocks: what no branch holds whose importance ends up under LOW.
+
+    `importance` has the nodes of the host's tree that can be judged; others count 1. Where what is
+    left lies mostly in marked articles, only these are kept. Hidden branches always go.
     """
-    gone: dict[int, bool] = {}
+    importance = importance or {}
     size: dict[int, int] = {}
     for b in blocks:
         for x in _above(b.node):
             size[id(x)] = size.get(id(x), 0) + len(b.text)
     whole = sum(len(b.text) for b in blocks)
+    plain = sum(len(b.text) for b in blocks if not any(x.named for x in _above(b.node)))
+    in_articles = sum(len(b.text) for b in blocks if any(_is_article(x) for x in _above(b.node)) and not any(x.named for x in _above(b.node)))
+    place = {id(b): k for k, b in enumerate(blocks)}
+    gone: dict[int, bool] = {}
+
+    def weight(node: Node) -> float:
+        inside = any(x.tag in ("article", "main") for x in _above(node.parent))
+        own = size.get(id(node), 0)
+        if node.tag in ("body", "html", "main") or _has_article(node):
+            return 1.0
+        if node.tag == "article" and not (inside and node.named == "remark") and not (node.named == "noise" and 2 * own < whole):
+            return 1.0
+        told = node.named in ("noise", "remark") or node.named == "top" and not inside
+        menu = not told and not inside and node.tag in ("ul", "ol", "div", "table", "section", "p") and _menu(node, place, blocks)
+        if 2 * own > whole and not menu and not (node.named and 2 * in_articles >= plain > 0):
+            return 1.0  # beside it stands neither the article nor much else
+        return importance.get(node.path, 1.0) * SMALL * (NAMED if told else LINKS if menu else 1.0)
 
     def dropped(last: Node) -> bool:
         chain = []
@@ -219,29 +266,13 @@ def kept_blocks(root: Node, blocks: list[Block], noise: frozenset[int] = frozens
                 break
             chain.append(node)
         for node in reversed(chain):
-            inside = any(x.tag in ("article", "main") for x in _above(node.parent))
-            # An article inside another that is named a remark is one.
-            holds = node.tag in ("body", "html", "main") or node.tag == "article" and not (inside and node.named == "remark") or _has_article(node)
-            own = (node.named in ("noise", "remark") or node.named == "top" and not inside) and not holds
-            if own and 2 * size.get(id(node), 0) > whole:
-                own = _menu(node)
-            if not own and not inside and node.tag in ("ul", "ol", "div", "table", "section", "p") and not _has_article(node):
-                own = _menu(node)
-            gone[id(node)] = own or gone.get(id(node.parent), False)
+            gone[id(node)] = gone.get(id(node.parent), False) or node.named == "hidden" or weight(node) < LOW
         return gone.get(id(last), False)
 
     left = [b for b in blocks if not dropped(b.node)]
     held_by_article = [b for b in left if any(x.tag in ("article", "main") for x in _above(b.node))]
-    left = held_by_article or left
-    if noise:
-        total = sum(len(b.text) for b in left)
-        held: dict[int, int] = {}
-        for b in left:
-            for x in _above(b.node):
-                if x.path in noise:
-                    held[x.path] = held.get(x.path, 0) + len(b.text)
-        low = {path for path, size in held.items() if 2 * size <= total}
-        left = [b for b in left if not any(x.path in low for x in _above(b.node))]
+    if 2 * sum(len(b.text) for b in held_by_article) >= sum(len(b.text) for b in left):
+        left = held_by_article or left
     return [b for b in left if b.text]
 
 
@@ -305,11 +336,11 @@ def node_importance(pages: DataFrame) -> DataFrame:
 
 def _extract(batch: pa.RecordBatch) -> pa.RecordBatch:
     out = []
-    for page, noise in zip(batch.column(2), batch.column(3)):
+    for page, judged in zip(batch.column(2), batch.column(3)):
         value = page.as_py()
         text = ""
         if value:
-            text = "\n\n".join(b.text for b in kept_blocks(*parse(value), frozenset(noise.as_py() or ())))
+            text = "\n\n".join(b.text for b in kept_blocks(*parse(value), {x["node"]: x["importance"] for x in judged.as_py() or ()}))
         out.append(text)
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -321,7 +352,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     Repeated rows are each returned and count once in the tree. Other columns are ignored; an empty
     table gives no rows.
     """
-    nodes = node_importance(pages).where((F.col("importance") < LOW) & (F.col("pages") >= PAGES))
-    noise = stored(nodes.groupBy("host").agg(F.collect_set("node").alias("noise")), "noise")  # few nodes a host, as serial numbers in names are folded
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(noise, "host", "left")
-    return in_batches(rows.select("page_id", "url", "html", "noise"), _extract, "page_id bigint, url string, text string, n_chars bigint")
+    nodes = node_importance(pages).where((F.col("importance") < 1) & (F.col("pages") >= PAGES))
+    judged = stored(nodes.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("judged")), "judged")  # few nodes a host, as serial numbers in names are folded
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(judged, "host", "left")
+    return in_batches(rows.select("page_id", "url", "html", "judged"), _extract, "page_id bigint, url string, text string, n_chars bigint")
