@@ -4,7 +4,9 @@ The text of a page speaks through a trigram model, fitted on documents whose lan
 To its likelihood come the language that the markup declares, weighed by how far declarations
 are borne out by the texts that carry them, and the prior of the host. Priors are counted from
 the text evidence of all pages and smoothed level by level: a host towards its domain, the domain
-towards its address suffix, the suffix towards all pages.
+towards its address suffix, the suffix towards all pages. A page's own text counts once, as its
+likelihood: what it added to the counts of its host and of the levels above is taken off again
+for its own prior, and likewise for what its declaration says.
 """
 
 from __future__ import annotations
@@ -27,7 +29,24 @@ BUCKETS = 1 << 15
 BLOCK = 1 << 19  # characters
 TEMPER = 0.25  # neighbouring trigrams say much the same, so each counts a quarter
 DRAW = 5.0  # pages that a level of the priors counts as much as
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+_HTML = re.compile(r"<html\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+_LANG = re.compile(r"(?:^|\s)(xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+_META = re.compile(r"<meta\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+_CONTENT = re.compile(r"(?:^|\s)content\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
+# Labels that stand between a name and a two-letter suffix.
+SECOND = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "ne", "net", "or", "org")
+
+
+def declared(page: str) -> str | None:
+    """The language that a page's markup declares: that of <html lang>, else xml:lang, else a content-language."""
+    found = _HTML.search(page)
+    said = {bool(xml): tag for xml, tag in reversed(_LANG.findall(found[1]))} if found else {}
+    tag = said.get(False) or said.get(True)
+    for attributes in () if tag else _META.findall(page):
+        if "content-language" in attributes.lower():
+            content = _CONTENT.search(attributes)
+            tag = tag or (content and content[1])
+    return tag.lower() if tag else None
 
 
 def _codes() -> np.ndarray:
@@ -89,25 +108,34 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most `size` documents of each language, chosen by hash; those over LONGEST characters left out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """At most `size` documents of each language, chosen by hash; those over LONGEST characters left out.
+
+    Counts per language and cell of the hash tell in which cell the last of them lies, so only
+    documents up to that cell are ranked. Of a repeated doc_id the first text by language and text
+    counts.
+    """
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(F.length("text") <= LONGEST)
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= size).select("doc_id")
-    ids = F.broadcast(ids.distinct())  # `size` rows a language
-    rows = known.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").orderBy("doc_id").collect()
-    return [r.text for r in rows], [r.lang for r in rows]
+    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("cell", F.shiftright("h", 48))
+    counts = hashed.groupBy("lang", "cell").agg(F.count("*").alias("n"))  # at most 65,536 cells a language
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell")) - F.col("n")
+    wanted = counts.withColumn("before", before).where(F.col("before") < size).select("lang", "cell")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    few = hashed.join(wanted, ["lang", "cell"], "left_semi").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
+    ids = F.broadcast(few.select("doc_id").distinct())  # `size` rows a language
+    rows = known.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))
+    found = rows.select("doc_id", "r.*").orderBy("doc_id").collect()
+    return [r.text for r in found], [r.lang for r in found]
 
 
 def _evidence(sent):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, declared = [], []
+        texts, said = [], []
         for page in batch.column(2).to_pylist():
-            found = _LANG.search(page or "")
-            declared.append(found[1].lower() if found else None)
+            said.append(declared(page or ""))
             texts.append("\n".join(b.text for b in kept_blocks(*parse(page))) if page else "")
         logs = sent.value.likelihoods(texts)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(declared, pa.string()), pa.array(list(logs), pa.list_(pa.float64()))], names=["page_id", "host", "declared", "logs"]
+            [batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(list(logs), pa.list_(pa.float64()))], names=["page_id", "host", "declared", "logs"]
         )
 
     return work
@@ -119,11 +147,15 @@ def _softmax(logs: Column) -> Column:
     return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
 
 
-def _smoothed(rows: DataFrame, parent: DataFrame, key: str, up: str, n: int) -> DataFrame:
-    """Priors of `rows` (sums c0.. per `key`), drawn towards those of their parents (p0..)."""
-    total = sum(F.col(f"c{k}") for k in range(n))
-    joined = rows.join(parent.select(F.col(up), *(F.col(f"p{k}").alias(f"q{k}") for k in range(n))), up)
-    return joined.select(*rows.columns, *(((F.col(f"c{k}") + DRAW * F.col(f"q{k}")) / (total + DRAW)).alias(f"p{k}") for k in range(n)))
+def _less(counts: Column, own: Column) -> Column:
+    """Counts without what one page added to them, if it added anything."""
+    return F.when(own.isNull(), counts).otherwise(F.zip_with(counts, own, lambda c, x: F.greatest(c - x, F.lit(0.0))))
+
+
+def _drawn(counts: Column, towards: Column) -> Column:
+    """Shares of the counts after DRAW pages of the level above are added."""
+    total = F.aggregate(counts, F.lit(DRAW), lambda s, c: s + c)
+    return F.zip_with(counts, towards, lambda c, q: (c + DRAW * q) / total)
 
 
 def identify(pages: DataFrame, docs: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -132,7 +164,8 @@ def identify(pages: DataFrame, docs: DataFrame, size: int = SAMPLE) -> DataFrame
     The languages are those of `docs` (doc_id, text, lang). A page without text is judged by its
     declaration and its host, a page without host by those that have none either; with no known
     language, or for ties, the first language by name (null if there is none). text_lang is
-    null without text. Repeated rows are judged each; other columns are ignored.
+    null without text. Repeated rows are judged each, and all count for their host; other columns are
+    ignored; an empty table gives no rows, whole and very long texts are read.
     """
     spark = pages.sparkSession
     model = fit(*training_sample(docs, size))
@@ -145,25 +178,33 @@ def identify(pages: DataFrame, docs: DataFrame, size: int = SAMPLE) -> DataFrame
     heard = F.exists("logs", lambda x: x != 0)
     rows = stored(rows.withColumn("post", F.when(heard, _softmax(F.col("logs")))), "evidence")
     sums = [F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)).alias(f"c{k}") for k in range(n)]
-    again = [F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]
+    listed = lambda prefix, of="c": F.array(*(F.col(f"{of}{k}") for k in range(n))).alias(prefix)
     hosts = rows.groupBy("host").agg(*sums)
     labels = F.split("host", r"\.")
-    hosts = stored(hosts.withColumns({"domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), "suffix": F.element_at(labels, -1)}), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(*again)
+    # A two-letter suffix takes the label before it along where that is none of a name.
+    parts = F.when((F.length(F.element_at(labels, -1)) == 2) & (F.size(labels) > 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND), 2).otherwise(1)
+    tail = lambda count: F.array_join(F.slice(labels, F.greatest(F.size(labels) - count + 1, F.lit(1)), count), ".")
+    hosts = stored(hosts.withColumns({"domain": tail(parts + 1), "suffix": tail(parts)}), "hosts")
+    again = [F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]
+    domains = stored(hosts.groupBy("domain", "suffix").agg(*again), "domains")
     suffixes = domains.groupBy("suffix").agg(*again)
     everywhere = suffixes.agg(*again).first()
-    counts = np.array([everywhere[k] or 0.0 for k in range(n)])
-    whole = (counts + 1) / (counts.sum() + n)
-    top = suffixes.select("suffix").distinct().select("suffix", *(F.lit(float(p)).alias(f"p{k}") for k, p in enumerate(whole)))
-    priors = _smoothed(hosts, _smoothed(domains, _smoothed(suffixes, top, "suffix", "suffix", n), "domain", "suffix", n), "host", "domain", n)
-    priors = priors.select("host", F.array(*(F.log(f"p{k}") for k in range(n))).alias("prior"))
+    counts = [everywhere[k] or 0.0 for k in range(n)]
+    levels = hosts.select("host", "domain", "suffix", listed("ch")).join(domains.select("domain", listed("cd")), "domain").join(suffixes.select("suffix", listed("cs")), "suffix")
     # How often a text of each language carries this declaration; one page's worth goes to what a declaration says.
-    said = rows.where("declared is not null").groupBy("declared").agg(*sums)
-    carried = F.array(*(F.log((F.col(f"c{k}") + F.when(F.col("declared") == model.languages[k], 1.0).otherwise(0.02)) / (float(counts[k]) + 1.0)) for k in range(n)))
-    said = said.select("declared", carried.alias("said"))
-    joined = rows.join(priors, "host").join(said, "declared", "left")
+    said = rows.where("declared is not null").groupBy("declared").agg(*sums).select("declared", listed("cl"))
+    joined = rows.join(levels.select("host", "ch", "cd", "cs"), "host").join(said, "declared", "left")
+    own = F.col("post")
+    every = _less(F.array(*(F.lit(float(c)) for c in counts)), own)
+    whole = F.transform(every, lambda c: (c + 1) / (F.aggregate(every, F.lit(float(n)), lambda s, x: s + x)))
+    joined = joined.withColumn("p", whole)
+    for level in ("cs", "cd", "ch"):
+        joined = joined.withColumn("p", _drawn(_less(F.col(level), own), F.col("p")))
+    prior = F.transform("p", lambda x: F.log(x))
+    languages = F.array(*(F.lit(x) for x in model.languages))
+    carried = F.zip_with(F.arrays_zip(_less(F.col("cl"), own).alias("c"), languages.alias("l")), every, lambda x, t: F.log((x["c"] + F.when(F.col("declared") == x["l"], 1.0).otherwise(0.02)) / (t + 1.0)))
     silent = F.array(*(F.lit(0.0) for _ in range(n)))
-    total = F.zip_with(F.zip_with("logs", "prior", lambda a, b: a + b), F.coalesce("said", silent), lambda a, b: a + b)
+    total = F.zip_with(F.zip_with("logs", prior, lambda a, b: a + b), F.when(F.col("declared").isNotNull(), carried).otherwise(silent), lambda a, b: a + b)
     names = F.array(*(F.lit(x) for x in model.languages))
 
     def best(values: Column) -> Column:
