@@ -64,13 +64,14 @@ def scheduled_ts(date: Column, reading: Column) -> Column:
     2400 becomes 00:00 of the same date, an unreadable clock (null, negative or more than four
     digits) 00:00, and four digits that are no time of day (such as 2575) null.
     """
-    no_time = reading.between(2401, 9999) | (reading.between(0, 2400) & (reading % 100 >= 60))
-    minutes = (
-        F.when(no_time, None)
-        .when(reading.between(0, 2399), F.call_function("div", reading, F.lit(100)).cast("int") * 60 + reading % 100)
-        .otherwise(0)
-    )
-    return date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+    def minutes(r: Column) -> Column:
+        no_time = r.between(2401, 9999) | (r.between(0, 2400) & (r % 100 >= 60))
+        return F.when(no_time, None).when(r.between(0, 2399), F.call_function("div", r, F.lit(100)).cast("int") * 60 + r % 100).otherwise(0)
+
+    # The reading stands once in the expression: filters on the time are pushed down with copies of it,
+    # and with eight readings in each the scan's code grows beyond what the JVM compiles.
+    of_day = F.get(F.transform(F.array(reading), minutes), F.lit(0))
+    return date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), of_day)
 
 
 def epoch_delay(scheduled: Column, actual: Column) -> Column:
