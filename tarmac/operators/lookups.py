@@ -140,18 +140,20 @@ def lookup_flights(requests: DataFrame, history: DataFrame, query: str = "query"
     keys = ["_airline", "_number", "_y", "_m", "_d"]
     dated = flights.withColumns({"_y": F.col("YEAR"), "_m": F.col("MONTH"), "_d": F.col("DAY")})
     wanted = asked.where("_has_id").select(*keys).distinct()
-    found = first_by(dated.join(wanted, keys, "left_semi"), keys, order).select(*keys, F.struct(*NORMALISED).alias("_found"))
+    # The least row of a key: the join has sorted the keys already, and nothing is sorted again.
+    row = F.struct(*order, "DAY_OF_WEEK")
+    least = dated.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.min(row).alias("_row"))
+    found = least.select(*keys, F.struct(*[F.col(f"_row.{c}").alias(c) for c in NORMALISED]).alias("_found"))
 
     # Both opening rows from one pass: the least row in HISTORY_ORDER, of all and of the late.
-    row = F.struct(*order, "DAY_OF_WEEK")
-    opening = flights.agg(F.struct(F.min(row).alias("first"), F.min(F.when(F.col("DEPARTURE_DELAY") > 30, row)).alias("late")).alias("o")).scalar()
+    opening = flights.agg(F.min(row).alias("first"), F.min(F.when(F.col("DEPARTURE_DELAY") > 30, row)).alias("late"))
 
     def opened(name: str) -> Column:
-        found_row = opening.getField(name)
-        return F.when(found_row.isNotNull(), F.struct(*[found_row.getField(c).alias(c) for c in NORMALISED]))
+        return F.when(F.col(name).isNotNull(), F.struct(*[F.col(f"{name}.{c}").alias(c) for c in NORMALISED]))
 
-    first_row = opened("first")
-    first_late = F.coalesce(opened("late"), first_row)
+    # Put together once, beside the aggregate; a request's row only takes one or the other.
+    opening = opening.select(F.struct(opened("first").alias("first"), F.coalesce(opened("late"), opened("first")).alias("late"))).scalar()
+    first_row, first_late = opening.getField("first"), opening.getField("late")
     chosen = asked.join(found, keys, "left").withColumns(
         {
             "matched": F.when(~F.col("_has_id"), "none_asked").when(F.col("_found").isNull(), "first_row").otherwise("id"),
@@ -169,8 +171,8 @@ def schedule_routes(history: DataFrame, wanted: DataFrame | None = None) -> Data
     flights = keyed_history(history)
     if wanted is not None:
         flights = flights.join(wanted, ["_airline", "_number"], "left_semi")
-    route = F.struct(F.col("ORIGIN_AIRPORT").alias("origin"), F.col("DESTINATION_AIRPORT").alias("destination"))
-    firsts = first_by(flights, ["_airline", "_number"], list(HISTORY_ORDER))
+    firsts = flights.groupBy("_airline", "_number").agg(F.min(F.struct(*HISTORY_ORDER)).alias("_row"))
+    route = F.struct(F.col("_row.ORIGIN_AIRPORT").alias("origin"), F.col("_row.DESTINATION_AIRPORT").alias("destination"))
     return firsts.select("_airline", "_number", route.alias("_schedule"))
 
 
@@ -252,10 +254,8 @@ def hub_indices(call_sign: Column, hubs: Column) -> tuple[Column, Column]:
     """
     count = F.size(hubs).cast("bigint")
     modulus = count * count
-    rest = F.lit(0).cast("bigint")
-    for start in (1, 9, 17, 25):
-        part = F.conv(F.substring(F.md5(call_sign), start, 8), 16, 10).cast("bigint")
-        rest = (rest * F.lit(4_294_967_296) + part) % modulus
+    words = F.transform(F.array(*[F.lit(s) for s in (1, 9, 17, 25)]), lambda start: F.conv(F.substring(F.md5(call_sign), start, F.lit(8)), 16, 10).cast("bigint"))
+    rest = F.aggregate(words, F.lit(0).cast("bigint"), lambda r, part: (r * F.lit(4_294_967_296) + part) % modulus)
     first = rest % count
     second = F.floor(rest / count)
     second = F.when(first == second, (second + 1) % count).otherwise(second)

@@ -101,12 +101,7 @@ def pick_weather(
     )
     joined = df.join(now, airport, "left").join(day, [airport, date], "left")
     live = F.coalesce(F.col(date) == today, F.lit(True)) | (F.col(date) == "")
-    calm = F.col("_now").isNull()
-    return joined.withColumns(
-        {
-            f"{prefix}_{r}": F.coalesce(
-                F.when(live & calm, F.lit(fixed.CALM_READINGS[r])).when(live, F.col(f"_now.{r}")).otherwise(F.col(f"_day.{r}")), F.lit(0.0)
-            )
-            for r in READINGS
-        }
-    ).drop("_now", "_day")
+    calm = F.struct(*[F.lit(fixed.CALM_READINGS[r]).cast("double").alias(r) for r in READINGS])
+    # One choice for all readings: one for each would make the code longer than the JVM compiles.
+    chosen = joined.withColumn("_reading", F.when(live, F.coalesce("_now", calm)).otherwise(F.col("_day")))
+    return chosen.withColumns({f"{prefix}_{r}": F.coalesce(F.col(f"_reading.{r}"), F.lit(0.0)) for r in READINGS}).drop("_now", "_day", "_reading")
