@@ -79,3 +79,30 @@ def test_equal_texts_are_searched_once(spark, monkeypatch, tmp_path):
     for r in rows:
         assert r["citations"] == rows[[x["request_id"] % 3 for x in rows].index(r["request_id"] % 3)]["citations"]
         assert r["citations"][0].startswith(f"[{r['request_id'] % 3}]")
+
+
+def test_equal_answers_are_spelled_out_once(spark, monkeypatch, tmp_path):
+    """Requests carry digests: no reply's text is stored per request, and equal lists of documents are put into words once."""
+    from tarmac.plans import analyze as plan
+
+    asked = spark.sql("select id as request_id, if(id % 2 = 0, 'ATL', 'DFW') as origin, 'JFK' as destination, 30 as delay, 'High' as origin_risk, 'Low' as dest_risk from range(40)")
+    nobody = asked.where("request_id = 1").withColumn("request_id", F.lit(None).cast("bigint"))
+    asked = asked.where("request_id <> 7").unionByName(asked.where("request_id = 9")).unionByName(nobody)
+    replies = spark.sql("""select id as request_id, concat('{"primary_cause": "Storm", "search_query": "storm ', id % 3, '"}') as cause_text, cast(null as string) as action_text from range(40) where id <> 5""")
+    documents = spark.sql("select id, cast(id as string) as name, concat('doc ', id) as title, concat('storm ', id) as content, 'ALL' as icao from range(5)").withColumn("text", F.col("content"))
+    embedder = retrieval.fit_text_embedder(documents, "text", 16)
+    corpus = retrieval.embed(documents, "text", embedder, "vector").drop("text")
+    spelled, cite = [], retrieval.citations
+    monkeypatch.setattr(plan.retrieval, "citations", lambda q, *a, **k: spelled.append(q.count()) or cite(q, *a, **k))
+    none = spark.createDataFrame([], "x int")
+    sources = plan.Sources(none, none, none, none, none, none, "2024-01-20", corpus=corpus, embedder=embedder, replies=replies)
+    got = {}
+    for r in plan.explain(asked, sources, str(tmp_path)).select("request_id", "citations").collect():
+        got.setdefault(r["request_id"], []).append(r["citations"])
+    # Three texts; a request that is there twice meets its answers twice, as any join by its id would.
+    assert spelled[0] <= 4
+    assert {k: len(v) for k, v in got.items()} == {**{k: 1 for k in range(40) if k not in (7, 9)}, 9: 4, None: 1}
+    no_corpus = [[plan.fixed.CITATION_NO_CORPUS]]
+    assert got[5] == no_corpus and got[None] == no_corpus
+    assert all(v[0][0].startswith(f"[{k % 3}]") for k, v in got.items() if k not in (None, 5))
+    assert "_text" not in spark.read.parquet(f"{tmp_path}/judged").columns
