@@ -19,6 +19,7 @@ every chunk in a group of its own. Scores are those of the vectors as given, flo
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ CHUNK = 1 << 21  # components of the entries that are scored in one group
 QUERIES = 16_384  # queries of a prefix that are scored in one group
 MOST_LEVELS = 24
 STEP = 2  # bits that are ascended at once
+SENT = 50_000  # rows of a table that every task is sent
+SHALLOW = 8  # levels whose prefixes are few and crowded
 
 
 @functools.cache
@@ -121,6 +124,25 @@ def _levels(coded: DataFrame, levels: Column) -> DataFrame:
     return rows.withColumn("level", F.explode(levels)).withColumn("prefix", _prefix(F.col("level")))
 
 
+def _met(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that is sent to every task if it has few rows, and sorted otherwise.
+
+    Its size on disk says little: codes, levels and counts take many times as much in memory.
+    """
+    return F.broadcast(side) if rows <= SENT else side.hint("merge")
+
+
+def _on_prefixes(rows: Callable[[bool], DataFrame], side: DataFrame, at: list[str]) -> DataFrame:
+    """`rows` joined with `side`, which has one row per prefix.
+
+    `rows` gives those of some levels, up to SHALLOW (False) or beyond it (True). A shallow prefix
+    holds a large share of all rows, but there are few of them, so they are sent; deep ones may
+    be as many as the entries.
+    """
+    few, many = side.where(F.col("level") <= SHALLOW), side.where(F.col("level") > SHALLOW)
+    return rows(False).join(F.broadcast(few), at).unionByName(rows(True).join(_met(many, many.count()), at))
+
+
 def _best(query: np.ndarray, points: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the n best points and their exact scores, best first, ties to smaller ids."""
     rough = points @ query
@@ -210,22 +232,30 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
     query_rows = in_batches(known.where(F.col("vec_id") % every == 0), _packed, "cls bigint, vector binary, dim int, norm2 double")
     asked = query_rows.select(F.col("cls").alias("query_id"), "vector").join(found.select("cls", "vector"), "vector")
     asked = stored(asked.select("query_id", "cls"), "asked")
+    asking_rows = asked.count()
     longest = {r.dim: r.m for r in found.groupBy("dim").agg(F.max("norm2").alias("m")).collect()}  # one row per vector length
     points = stored(in_batches(found.select("cls", "vector", "dim", "norm2"), _coded(longest, False), "cls bigint, vector binary, dim int, codes array<bigint>"), "points")
-    wanted = found.join(asked.select("cls").distinct(), "cls", "left_semi")
+    wanted = found.join(_met(asked.select("cls").distinct(), asking_rows), "cls", "left_semi")
     queries = stored(in_batches(wanted.select("cls", "vector", "dim", "norm2"), _coded(longest, True), "cls bigint, vector binary, dim int, codes array<bigint>"), "queries")
 
     total = points.count()
     deepest = min(MOST_LEVELS, max(1, int(np.ceil(np.log2(max(total, 2))))))
-    levels = F.array(*(F.lit(k) for k in range(deepest, 0, -STEP)))
+    climbed = list(range(deepest, 0, -STEP))
+    levels = F.array(*(F.lit(k) for k in climbed))
+
+    def parted(of: list[int], make: Callable[[Column], DataFrame]) -> Callable[[bool], DataFrame]:
+        return lambda deep: make(F.array(*(F.lit(k) for k in of if (k > SHALLOW) == deep)).cast("array<int>"))
+
     at = ["dim", "tree", "level", "prefix"]
     held = stored(_levels(points.select("dim", "codes"), levels).groupBy(*at).agg(F.count("*").alias("n")), "held")
-    stands = _levels(queries.select("cls", "dim", "codes"), levels).join(held, at).groupBy("cls", "level").agg(F.sum("n").alias("n"))
+    standing = _on_prefixes(parted(climbed, lambda some: _levels(queries.select("cls", "dim", "codes"), some)), held, at)
+    stands = standing.groupBy("cls", "level").agg(F.sum("n").alias("n"))
     stands = stored(stands, "stands")
 
-    chosen = queries.orderBy(F.xxhash64("cls")).limit(SAMPLE).select("cls", "vector", "dim", "codes").collect()
+    drawn = queries.select("cls").orderBy(F.xxhash64("cls")).limit(SAMPLE)
+    chosen = queries.join(F.broadcast(drawn), "cls", "left_semi").select("cls", "vector", "dim", "codes").collect()
     truth = exhaustive([(r.cls, bytes(r.vector), r.dim) for r in chosen], points, nearest + 1)
-    near = truth.join(points.select("cls", "codes"), "cls").select("q", "cls", "codes").collect()  # SAMPLE * (nearest + 1) rows
+    near = points.select("cls", "codes").join(F.broadcast(truth), "cls").select("q", "cls", "codes").collect()  # SAMPLE * (nearest + 1) rows
     own = {r.cls: np.array(r.codes) for r in chosen}
     depths: dict[int, list[int]] = {}
     for r in near:
@@ -240,19 +270,18 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
 
     level = stands.where(F.col("n") >= F.lit(target)).groupBy("cls").agg(F.max(F.struct("level", "n")).alias("m"))
     # Prefixes that hold as many entries as there are, with those met in several trees, save nothing.
-    placed = queries.join(level, "cls", "left").withColumn("level", F.when(F.col("m.n") < total, F.col("m.level")).otherwise(0)).drop("m")
+    placed = queries.join(_met(level, asking_rows), "cls", "left").withColumn("level", F.when(F.col("m.n") < total, F.col("m.level")).otherwise(0)).drop("m")
     requests = placed.select("cls", "vector", "dim", "level", F.posexplode("codes").alias("tree", "code"))
     # At level 0 every tree holds everything, so one is asked.
     requests = requests.where("level > 0 or tree = 0").withColumn("prefix", F.when(F.col("level") > 0, _prefix(F.col("level"))).otherwise(F.lit(0).cast("long")))
     sizes = held.unionByName(points.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix"), "n"))
-    buckets = stored(requests.groupBy(*at).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")).join(sizes, at).withColumn("chunks", F.ceil(F.col("n") * F.col("dim") / CHUNK).cast("int")).select(*at, "chunks", "blocks"), "buckets")
+    buckets = stored(requests.groupBy(*at).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks")).join(sizes.hint("merge"), at).withColumn("chunks", F.ceil(F.col("n") * F.col("dim") / CHUNK).cast("int")).select(*at, "chunks", "blocks"), "buckets")
     used = [r.level for r in buckets.where("level > 0").select("level").distinct().collect()]  # at most MOST_LEVELS rows
     columns = ["cls", "vector", *at]
-    offered = points.select("cls", "vector", "dim", F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix"))
-    if used:
-        offered = offered.unionByName(_levels(points, F.array(*(F.lit(k) for k in used))).select(*columns))
-    offered = offered.join(buckets, at).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asking = requests.join(buckets, at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    offered_whole = points.select("cls", "vector", "dim", F.lit(0).alias("tree"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix"))
+    deeper = parted(used, lambda some: _levels(points, some).select(*columns))
+    offered = _on_prefixes(lambda deep: deeper(deep) if deep else deeper(deep).unionByName(offered_whole), buckets, at).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = _on_prefixes(lambda deep: requests.where((F.col("level") > SHALLOW) == deep), buckets, at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     asking = asking.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     key = [*at, "block", "chunk"]
     one = asking.select(*key, "cls", "vector").groupBy(*key)
@@ -262,8 +291,8 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
     # What several trees found has one rank, so it goes before the shuffle like all that ranks too low.
     rank = F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
     best = scored.withColumn("n", rank).where(F.col("n") <= nearest + 1).drop("n").distinct()
-    members = best.join(found.select("cls", F.explode("ids").alias("vec_id")), "cls").select("q", "vec_id", "score")
+    members = best.join(_met(found.select("cls", F.explode("ids").alias("vec_id")), total * (nearest + 1)), "cls").select("q", "vec_id", "score")
     members = members.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= nearest + 1).drop("n")
-    rows = asked.join(members.withColumnRenamed("q", "cls"), "cls").where("query_id <> vec_id")
+    rows = _met(asked, asking_rows).join(members.withColumnRenamed("q", "cls"), "cls").where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

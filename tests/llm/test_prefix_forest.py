@@ -85,3 +85,23 @@ def test_doubles_are_scored_as_given(spark):
         near = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
         want = sorted((-sum(a * b for a, b in zip(rows[q][1], x)), i) for i, x in rows if i != q)[:20]
         assert [i for _, i, _ in near] == [i for _, i in want] and all(abs(s + w) < 1e-15 * 8 for (_, _, s), (w, _) in zip(near, want))
+
+
+def test_no_large_side_is_sent_whatever_its_size_on_disk(spark, monkeypatch):
+    """With a generous threshold and nothing small enough to be sent, tables of prefixes are sorted, and the neighbours are the same."""
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((20, 8)) * 3
+    rows = [(k, v.tolist(), "") for k, v in enumerate((middle[rng.integers(0, 20, 600)] + rng.standard_normal((600, 8)) * 0.2).astype(np.float32))]
+    want = result(frame(spark, rows, VECTORS))
+    plans, store = {}, f.stored
+    monkeypatch.setattr(f, "stored", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or store(df, label))
+    monkeypatch.setattr(f, "SENT", 0, raising=False)
+    monkeypatch.setattr(f, "SHALLOW", 0, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert result(frame(spark, rows, VECTORS)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plans["stands"] and "SortMergeJoin" in plans["buckets"]
+    assert "BroadcastHashJoin" not in plans["queries"] and "BroadcastHashJoin" not in plans["buckets"]
