@@ -106,3 +106,20 @@ def test_equal_answers_are_spelled_out_once(spark, monkeypatch, tmp_path):
     assert got[5] == no_corpus and got[None] == no_corpus
     assert all(v[0][0].startswith(f"[{k % 3}]") for k, v in got.items() if k not in (None, 5))
     assert "_text" not in spark.read.parquet(f"{tmp_path}/judged").columns
+
+
+def test_no_flight_is_shuffled_for_a_few_readings(spark):
+    from tarmac.plans import features
+
+    flights = spark.sql("select 'ATL' as ORIGIN_AIRPORT, 'JFK' as DESTINATION_AIRPORT, 'DL' as AIRLINE, '1' as FLIGHT_NUMBER, date'2024-01-05' as FL_DATE, cast(id as int) as SCHEDULED_DEPARTURE, timestamp'2024-01-05 00:00:00' as SCHEDULED_TS from range(30)")
+    hourly = spark.sql("select if(id % 2 = 0, 'ATL', 'JFK') as AIRPORT, 2024 as YEAR, 1 as MONTH, 5 as DAY, 0 as HOUR, cast(id as double) as precipitation, cast(null as double) as wind_speed_10m from range(40)")
+    calendar = spark.sql("select date'2024-01-01' as holiday_date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = features.add_other_features(flights, hourly, calendar)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in rows.select("ORIGIN_PRECIP", "ORIGIN_WIND", "DEST_PRECIP", "DEST_WIND").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(38.0, 0.0, 39.0, 0.0)} and "SortMergeJoin" not in plan
